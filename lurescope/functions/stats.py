@@ -35,7 +35,23 @@ def psi_term(expected_share: Column, actual_share: Column) -> Column:
 
 
 def percent_text(p: Column, decimals: int = 1) -> Column:
-    return F.format_string(f"%.{decimals}f%%", p * 100)
+    """``p`` as a percentage with one or two decimals, rounded like C's ``%.nf``.
+
+    Java's formatter rounds the shortest decimal text half up, which turns 6.25 into
+    6.3; C and Python look at the exact binary value and give 6.2. Whether ``x`` lies
+    above the midpoint ``m`` of two outputs is decided by steps that are exact in
+    doubles: powers of two times ``x`` are taken off ``m`` one by one.
+    """
+    scale, *powers = {1: (10, 16.0, 4.0), 2: (100, 128.0, 64.0, 8.0)}[decimals]
+    x = p * 100
+    below = F.floor(x * scale)
+    rest = (below * 2 + 1).cast("double")
+    for power in powers:
+        rest = rest - x * power
+    odd = below % 2 == 1
+    units = below + F.when((rest < 0) | ((rest == 0) & odd), 1).otherwise(0)
+    whole = F.floor(units / scale).cast("string")
+    return F.concat(whole, F.lit("."), F.lpad((units % scale).cast("string"), decimals, "0"), F.lit("%"))
 
 
 def metric_tag(value: Column) -> Column:

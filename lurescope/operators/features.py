@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.contract import CONSTANT_FEATURES, FEATURES, PHISHING, SAFE, SUSPICIOUS
+from lurescope.contract import CONSTANT_FEATURES, FEATURE_STRUCT, FEATURES, PHISHING, SAFE, SUSPICIOUS
 from lurescope.functions import urls
 from lurescope.operators.dns import with_dns_code
 
@@ -83,6 +83,4 @@ def features_json(columns: list[str] | None = None) -> Column:
 
 def features_from_json(text: Column) -> Column:
     """Feature struct of a JSON text; null when the text is not a feature map."""
-    schema = "struct<" + ",".join(f"`{c}`:int" for c in FEATURES) + ">"
-    parsed = F.from_json(text, schema + "", {"mode": "PERMISSIVE"})
-    return F.when(F.get_json_object(text, "$").isNotNull(), parsed)
+    return F.when(F.get_json_object(text, "$").isNotNull(), F.from_json(text, FEATURE_STRUCT))

@@ -66,7 +66,7 @@ def with_history(urls: DataFrame, log: DataFrame, recent_limit: int | None = REC
     if urls.isStreaming:
         joined = urls.join(summary, "url", "left")
     else:
-        joined = salted_left_join(urls, summary, "url", ["url"])
+        joined = salted_left_join(urls, summary, "url", [c for c, t in urls.dtypes if "map<" not in t])
     return joined.withColumns(
         {
             "previous_scans": F.coalesce("previous_scans", F.lit(0)),

@@ -27,7 +27,7 @@ def read_snapshot(spark: SparkSession, root: str, run_id: str) -> DataFrame:
 
 def write_splits(df: DataFrame, root: str, run_id: str) -> None:
     split = F.when(F.col("is_test"), "test").otherwise("train")
-    rows = df.drop("is_test").withColumns({"split": split, "run_id": F.lit(run_id)})
+    rows = df.withColumns({"split": split, "run_id": F.lit(run_id)}).drop("is_test")
     _write(rows, f"{root}/splits", "run_id", "split")
 
 
