@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lurescope.contract import FEATURES
 from lurescope.functions.stats import percent_text
 from lurescope.functions.verdicts import label_text
-from lurescope.operators.features import features_json, flagged
+from lurescope.operators.features import features_json, flag_mask, flagged, masked_names
 
 # --- Fixed values: wording and layout of the published reports --------------
 VERDICT_TEXT = {0: "PHISHING / SUSPICIOUS", 1: "LEGITIMATE / SAFE"}
@@ -99,13 +99,22 @@ def content_key(prediction: Column, columns: list[str] | None = None) -> Column:
     return F.sha2(text, 256)
 
 
-def distinct_reports(df: DataFrame, key: str, order_by: list[str], report: str) -> DataFrame:
-    """(key, n_scans, first, report): one report per content key, the earliest one."""
-    return df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_scans"),
-        F.min(F.struct(*order_by)).alias("first"),
-        F.min_by(report, F.struct(*order_by)).alias("report"),
+def distinct_reports(
+    df: DataFrame, order_by: list[str], p: str = "p_phishing", columns: list[str] | None = None
+) -> DataFrame:
+    """(key, n_scans, first, report, ai_analysis): one report per content key.
+
+    The report is that of the first row in ``order_by``. Only what the text needs is
+    aggregated, and the text is written once per key afterwards.
+    """
+    order = F.struct(*order_by)
+    needed = F.struct(F.col("prediction"), F.col(p).alias("p"), flag_mask(columns).alias("mask"))
+    firsts = df.groupBy(content_key(F.col("prediction"), columns).alias("key")).agg(
+        F.count(F.lit(1)).alias("n_scans"), F.min(order).alias("first"), F.min_by(needed, order).alias("r")
     )
+    signals = masked_names(F.col("r.mask"), columns)
+    staged = firsts.withColumn("report", threat_report(F.col("r.prediction"), F.col("r.p"), signals))
+    return staged.withColumn("ai_analysis", markdown(F.col("report"), F.col("r.p"))).drop("r")
 
 
 def investigation(df: DataFrame, p: str = "phishing_probability", error: str = "") -> DataFrame:

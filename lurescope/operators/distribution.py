@@ -28,17 +28,25 @@ def both_sides(reference: DataFrame, current: DataFrame, columns: list[str]) ->
     return side(reference, True).unionByName(side(current, False))
 
 
-def value_counts(df: DataFrame, columns: list[str], is_ref: str = "is_ref") -> DataFrame:
-    """(feature, value, n_ref, n_cur); ``value`` is null for missing entries."""
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(is_ref).alias("is_ref"))
-    long = wide.unpivot(["is_ref"], columns, "feature", "value")
+def value_counts(df: DataFrame, columns: list[str], copies: Column | None = None) -> DataFrame:
+    """(feature, value, n_ref, n_cur) of rows with an ``is_ref`` flag.
+
+    ``value`` is null for missing entries. ``copies`` is set when a row stands for
+    several equal ones.
+    """
+    n = F.lit(1) if copies is None else copies
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns], "is_ref", n.cast("bigint").alias("n"))
+    # ``stack`` rather than ``unpivot``: its copies in one plan stay equal to Spark, so
+    # all readers of the counts share one scan and one shuffle.
+    pairs = [part for c in columns for part in (F.lit(c), F.col(c))]
+    long = wide.select("is_ref", "n", F.stack(F.lit(len(columns)), *pairs).alias("feature", "value"))
     value = F.when(~F.isnan("value"), F.col("value"))
     return (
         long.withColumn("value", value)
         .groupBy("feature", "value")
         .agg(
-            F.count(F.when(F.col("is_ref"), 1)).alias("n_ref"),
-            F.count(F.when(~F.col("is_ref"), 1)).alias("n_cur"),
+            F.sum(F.when(F.col("is_ref"), F.col("n")).otherwise(0)).alias("n_ref"),
+            F.sum(F.when(F.col("is_ref"), 0).otherwise(F.col("n"))).alias("n_cur"),
         )
     )
 

@@ -23,7 +23,7 @@ def drift_report_from_counts(
     """(feature, ks_p_value, psi, drifted), one row per feature.
 
     Thresholds see the exact figures; rounding comes after. A feature without values
-    on one side has a null p and is not drifted by KS.
+    on one side has a null p and counts as not drifted.
     """
     # Read three times below, so it is stored once instead of being recounted.
     cumulative = reliable_checkpoint(dist.cumulative_counts(counts))
@@ -32,7 +32,8 @@ def drift_report_from_counts(
     # A feature that is null throughout leaves no counts; the list brings it back.
     listed = counts.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     joined = listed.join(F.broadcast(summary), "feature", "left").join(F.broadcast(shift), "feature", "left")
-    drifted = F.coalesce(F.col("ks_p") < ks_threshold, F.lit(False)) | (F.coalesce("psi", F.lit(0.0)) > psi_threshold)
+    moved = (F.col("ks_p") < ks_threshold) | (F.coalesce("psi", F.lit(0.0)) > psi_threshold)
+    drifted = F.col("ks_p").isNotNull() & moved
     return joined.select(
         "feature",
         F.round("ks_p", 6).alias("ks_p_value"),

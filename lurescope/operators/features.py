@@ -76,6 +76,18 @@ def flagged(columns: list[str] | None = None) -> Column:
     return F.transform(hits, lambda x: x["name"])
 
 
+def flag_mask(columns: list[str] | None = None) -> Column:
+    """The flagged features of a row as bits, so that they aggregate as a number."""
+    bits = [F.when(F.col(c) < SAFE, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns or FEATURES)]
+    return sum((b.cast("bigint") for b in bits), F.lit(0).cast("bigint"))
+
+
+def masked_names(mask: Column, columns: list[str] | None = None) -> Column:
+    """Names of the bits set in a mask, in contract order."""
+    names = F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, c) for i, c in enumerate(columns or FEATURES)])
+    return F.filter(names, lambda x: x.isNotNull())
+
+
 def features_json(columns: list[str] | None = None) -> Column:
     """The feature map of a row as JSON text, keys in contract order."""
     return F.to_json(F.struct(*[F.col(c) for c in columns or FEATURES]))

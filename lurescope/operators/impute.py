@@ -148,7 +148,8 @@ def knn_impute(
     typed = {c: F.col(c).cast("double") for c in columns}
     complete = df.where(~gaps).withColumns(typed)
     keyed = df.where(gaps).withColumn("row_key", F.to_json(row_values(columns)))
-    joined = salted_left_join(keyed, by_row, "row_key", [c for c in df.columns if c in columns])
+    others = [c for c, t in df.dtypes if c not in columns and "map<" not in t]
+    joined = salted_left_join(keyed, by_row, "row_key", others)
     value = {
         c: F.coalesce(F.when(~F.isnan(typed[c]), typed[c]), F.try_element_at("fills", F.lit(i)), default[c])
         for i, c in enumerate(columns)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lurescope.contract import FEATURES, NEIGHBOURS
 from lurescope.operators.impute import column_means, fit_donors, knn_impute
 from lurescope.operators.scale import apply_robust_scale, fit_robust_scale
+from lurescope.session import reliable_checkpoint
 
 
 @dataclass
@@ -22,8 +24,12 @@ class Preprocessor:
         columns = self.columns or FEATURES
         donors = fit_donors(train, columns)
         means = column_means(donors, columns)
-        filled = knn_impute(train, donors, columns, self.neighbours, means)
-        return PreprocessorModel(columns, self.neighbours, donors, means, fit_robust_scale(filled, columns))
+        # The donors are the training rows with their counts, so the scale is fitted on
+        # them as well and the training table itself is read once.
+        rows = donors.select(*[F.get("donor", F.lit(i)).alias(c) for i, c in enumerate(columns)], "copies")
+        filled = knn_impute(rows, donors, columns, self.neighbours, means)
+        scale = reliable_checkpoint(fit_robust_scale(filled, columns, "copies"))
+        return PreprocessorModel(columns, self.neighbours, donors, means, scale)
 
 
 @dataclass

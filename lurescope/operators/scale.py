@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from lurescope.operators import distribution as dist
 
 
-def fit_robust_scale(train: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, median, iqr, scale), one row per column."""
-    counts = dist.value_counts(train.select(*columns, F.lit(True).alias("is_ref")), columns)
+def fit_robust_scale(train: DataFrame, columns: list[str], copies: str | None = None) -> DataFrame:
+    """(feature, median, iqr, scale), one row per column.
+
+    ``copies`` names the count column when ``train`` holds distinct rows.
+    """
+    n = F.col(copies) if copies else None
+    counts = dist.value_counts(train.withColumn("is_ref", F.lit(True)), columns, n)
     summary = dist.summarise(dist.cumulative_counts(counts), [0.25, 0.5, 0.75])
     q = [F.get("quantiles", F.lit(i)) for i in range(3)]
     iqr = q[2] - q[0]

@@ -363,10 +363,13 @@ ORACLE = {
     "url_features": f"WITH {url_parts('pages')} SELECT page_id, url, {ALL} FROM coded",
     "url_features_mutated": f"WITH {VARIANTS},{url_parts('variants')} SELECT page_id, variant, {ALL} FROM coded",
     "url_flag_summary": f"""WITH {VARIANTS},{url_parts('variants')},
-hits AS (SELECT netloc, {" + ".join(f"({c} = -1)::INT" for c in FEATURES)} AS k, {SIGNALS} AS signals FROM coded)
-SELECT netloc, count(*) AS n_urls, CAST(sum(k) AS BIGINT) AS n_phishing_codes,
-       CAST(sum(len(signals)) AS BIGINT) AS n_flagged, max(array_to_string(signals, ',')) AS last_signals
+hits AS (SELECT *, {" + ".join(f"({c} = -1)::INT" for c in FEATURES)} AS k, {HITS} AS h FROM coded)
+SELECT netloc, count(*) AS n_urls, CAST(sum(k) AS BIGINT) AS n_phishing_codes, CAST(sum(h) AS BIGINT) AS n_flagged,
+       array_to_string(list_filter([{", ".join(f"CASE WHEN bool_or({c} < 1) THEN '{c}' END" for c in FEATURES)}],
+                                   lambda x: x IS NOT NULL), ',') AS signals
 FROM hits GROUP BY netloc ORDER BY n_phishing_codes DESC, netloc LIMIT 20""",
+    "flagged_signals": f"""WITH {url_parts('pages')}
+SELECT page_id, array_to_string({SIGNALS}, ',') AS signals FROM coded""",
     "url_parts": f"""WITH {VARIANTS},{url_parts('variants')}
 SELECT page_id, variant, u, netloc, scheme, port_no, parse_error FROM coded""",
     "url_intake_rejects": f"""WITH {VARIANTS},
@@ -401,6 +404,10 @@ SELECT feature, CAST(i - 1 AS INTEGER) AS decile, round(q[i], 6) AS value FROM q
 SELECT feature AS column_name, round(ks_p, 6) AS p_value, coalesce(ks_p < 0.05, false) AS drift_status FROM ks""",
     "validation_verdict": f"""WITH {LABELLED},{long_of('labelled', [*FEATURES, 'Result'], 'SSLfinal_State = -1')},{KS}
 SELECT NOT coalesce(bool_or(ks_p < 0.05), false) AS drift_free FROM ks""",
+    "contract_check": f"""WITH {LABELLED}
+SELECT CASE WHEN SSLfinal_State = -1 THEN 'train' ELSE 'test' END AS split, 31 AS expected_columns,
+       CASE WHEN SSLfinal_State = -1 THEN 31 ELSE 30 END AS actual_columns, SSLfinal_State = -1 AS ok, false AS dataset_ok,
+       count(*) AS n, 'invalid' AS kind FROM labelled GROUP BY SSLfinal_State""",
     "seeded_split": f"SELECT o_orderkey, {split('orders', 'o_orderkey')} AS is_test FROM orders",
     "split_counts": f"""WITH s AS (SELECT page_id, {split('pages', 'page_id')} AS is_test FROM pages)
 SELECT is_test, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS id_sum FROM s GROUP BY is_test""",
@@ -466,7 +473,7 @@ SELECT {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in FEATURES)},
     "report_dedup": f"""WITH {VARIANTS},{PAGE_SCORES.replace("FROM pages", "FROM variants")},
 keyed AS (SELECT page_id, variant, {CONTENT_KEY} AS key, {MARKDOWN} AS ai_analysis FROM scored)
 SELECT key, count(*) AS n_scans, arg_min(page_id, (page_id, variant)) AS first_page,
-       CAST(length(arg_min(ai_analysis, (page_id, variant))) AS INTEGER) AS report_chars FROM keyed GROUP BY key""",
+       arg_min(ai_analysis, (page_id, variant)) AS ai_analysis FROM keyed GROUP BY key""",
     "prompt_dataset": f"""WITH {PAGE_SCORES}
 SELECT page_id, {text(reports.PROMPT_PREAMBLE)} || chr(10) || chr(10) || 'URL: ' || url || chr(10)
        || 'ML classifier verdict: ' || {by_prediction(reports.VERDICT_TEXT)} || chr(10)

@@ -13,7 +13,7 @@ from lurescope.functions.stats import metric_tag
 from lurescope.operators import adaboost, classify, distribution, drift, gates, history, impute, metrics, quality, scale
 from lurescope.operators import training, transcript
 from lurescope.operators.dns import lookup_dns
-from lurescope.operators.features import extract_features, feature_array, features_json, flagged
+from lurescope.operators.features import extract_features, feature_array, features_json, flag_mask, flagged, masked_names
 from lurescope.operators.intake import check_feedback, check_intake
 from lurescope.operators.patterns import distinct_rows, with_folds
 from lurescope.functions.verdicts import with_verdict
@@ -61,15 +61,22 @@ def url_features_mutated(spark, sf_dir):
 def url_flag_summary(spark, sf_dir):
     """Flagship: authorities with the most phishing codes."""
     rows = extract_features(inputs.url_variants(spark, sf_dir), keep_parts=True)
-    names = flagged()
     hits = sum((F.when(F.col(c) == -1, 1).otherwise(0) for c in FEATURES), F.lit(0))
+    mask = flag_mask()
     per_host = rows.groupBy("netloc").agg(
         F.count(F.lit(1)).alias("n_urls"),
         F.sum(hits).alias("n_phishing_codes"),
-        F.sum(F.size(names)).alias("n_flagged"),
-        F.max(F.array_join(names, ",")).alias("last_signals"),
+        F.sum(F.bit_count(mask)).alias("n_flagged"),
+        F.bit_or(mask).alias("mask"),
     )
-    return per_host.orderBy(F.desc("n_phishing_codes"), "netloc").limit(20)
+    top = per_host.orderBy(F.desc("n_phishing_codes"), "netloc").limit(20)
+    return top.withColumn("signals", F.array_join(masked_names(F.col("mask")), ",")).drop("mask")
+
+
+@query
+def flagged_signals(spark, sf_dir):
+    rows = inputs.page_features(spark, sf_dir)
+    return rows.select("page_id", F.array_join(flagged(), ",").alias("signals"))
 
 
 @query
@@ -173,8 +180,14 @@ def validation_verdict(spark, sf_dir):
 
 @query
 def contract_check(spark, sf_dir):
+    """A dataset whose test half lacks a column: everything goes to ``invalid``."""
+    root = shared_folder(spark, "store")
     whole = inputs.labelled_pages(spark, sf_dir).drop("page_id", "variant", "url")
-    return quality.contract_verdict({"train": whole, "test": whole.drop("Iframe")})
+    splits = {"train": whole.where("SSLfinal_State = -1"), "test": whole.where("SSLfinal_State = 1").drop("Iframe")}
+    verdict = quality.contract_verdict(splits)
+    kind = store.route_splits(splits, verdict.first()["dataset_ok"], root, "r1")
+    stored = spark.read.parquet(f"{root}/{kind}").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return verdict.join(stored, "split").withColumn("kind", F.lit(kind))
 
 
 # --- preparation ------------------------------------------------------------
@@ -393,12 +406,9 @@ def report_markdown(spark, sf_dir):
 
 @query
 def report_dedup(spark, sf_dir):
-    rows = extract_features(inputs.url_variants(spark, sf_dir))
-    rows = reports.with_report(heuristic(rows)).withColumn("key", reports.content_key(F.col("prediction")))
-    firsts = reports.distinct_reports(rows, "key", ["page_id", "variant"], "ai_analysis")
-    return firsts.select(
-        "key", "n_scans", F.col("first.page_id").alias("first_page"), F.length("report").alias("report_chars")
-    )
+    rows = heuristic(extract_features(inputs.url_variants(spark, sf_dir)))
+    firsts = reports.distinct_reports(rows, ["page_id", "variant"])
+    return firsts.select("key", "n_scans", F.col("first.page_id").alias("first_page"), "ai_analysis")
 
 
 @query

@@ -43,9 +43,11 @@ def score_stream(
     """
 
     def work(batch: DataFrame, epoch: int) -> None:
+        batch.persist()  # two sinks read it
         scored, rejected = score_urls(batch, classify, dns)
         logs.log_scans(scored, root, f"{name}-{epoch:012d}")
         _replace(rejected, f"{root}/rejected_urls", f"{name}-{epoch:012d}")
+        batch.unpersist()
 
     writer = urls.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -57,8 +59,10 @@ def feedback_stream(
     """Valid corrections go to the feedback log, the others to ``rejected_feedback``."""
 
     def work(batch: DataFrame, epoch: int) -> None:
+        batch.persist()  # two sinks read it
         rejects = logs.log_feedback(batch, root, f"{name}-{epoch:012d}")
         _replace(rejects, f"{root}/rejected_feedback", f"{name}-{epoch:012d}")
+        batch.unpersist()
 
     writer = feedback.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
