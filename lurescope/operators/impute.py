@@ -29,11 +29,20 @@ ROW_STEP = 128
 
 def row_values(columns: list[str]) -> Column:
     """The row as an array of doubles; NaN counts as a gap."""
-    return F.array(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns])
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    return F.transform(values, lambda x: F.when(~F.isnan(x), x))
 
 
-def has_gap(columns: list[str]) -> Column:
-    return F.exists(row_values(columns), lambda x: x.isNull())
+def with_row_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Add ``row_values`` and ``has_gap``.
+
+    They come out of a one-row generator, so a filter on ``has_gap`` stays a filter on
+    one column. Spread over thirty columns it would make the optimizer derive a
+    constraint for every combination of renamed columns.
+    """
+    values = row_values(columns)
+    gap = F.exists(values, lambda x: x.isNull())
+    return df.select("*", F.inline(F.array(F.struct(values.alias("row_values"), gap.alias("has_gap")))))
 
 
 def fit_donors(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -137,21 +146,21 @@ def knn_impute(
     A gap without any comparable donor gets the training mean of its column.
     """
     means = column_means(donors, columns) if means is None else means
-    gaps = has_gap(columns)
-    receivers = reliable_checkpoint(df.where(gaps).select(row_values(columns).alias("receiver")).distinct())
+    marked = with_row_values(df, columns)
+    receivers = reliable_checkpoint(marked.where("has_gap").select(F.col("row_values").alias("receiver")).distinct())
     filled = nearest_donors(receivers, donors, len(columns), k)
     by_row = filled.groupBy("receiver").agg(  # at most one entry per column
         F.map_from_entries(F.collect_list(F.struct("gap", "value"))).alias("fills")
     )
     by_row = by_row.withColumn("row_key", F.to_json("receiver")).select("row_key", "fills")
     default = means.select(F.struct(*columns)).scalar()
-    typed = {c: F.col(c).cast("double") for c in columns}
-    complete = df.where(~gaps).withColumns(typed)
-    keyed = df.where(gaps).withColumn("row_key", F.to_json(row_values(columns)))
+    carried = [c for c in df.columns if c not in columns]
+    known = {c: F.get("row_values", F.lit(i)) for i, c in enumerate(columns)}
+    complete = marked.where("not has_gap").select(*carried, *[known[c].alias(c) for c in columns])
+    keyed = marked.where("has_gap").withColumn("row_key", F.to_json("row_values"))
     others = [c for c, t in df.dtypes if c not in columns and "map<" not in t]
     joined = salted_left_join(keyed, by_row, "row_key", others)
-    value = {
-        c: F.coalesce(F.when(~F.isnan(typed[c]), typed[c]), F.try_element_at("fills", F.lit(i)), default[c])
-        for i, c in enumerate(columns)
-    }
-    return complete.unionByName(joined.withColumns(value).select(*complete.columns))
+    filled = [
+        F.coalesce(known[c], F.try_element_at("fills", F.lit(i)), default[c]).alias(c) for i, c in enumerate(columns)
+    ]
+    return complete.unionByName(joined.select(*carried, *filled)).select(*df.columns)

@@ -102,7 +102,8 @@ def evaluate_candidate(
     champion = load_champion(spark, root)
     scored = candidate.predict(test).withColumnRenamed("prediction", "candidate").drop("probability")
     if champion is not None:
-        scored = champion.predict(scored).withColumnRenamed("prediction", "champion")
+        # Two models in one plan repeat each other's work; the first scores are stored.
+        scored = champion.predict(reliable_checkpoint(scored)).withColumnRenamed("prediction", "champion")
     names = ("candidate", "champion" if champion is not None else None)
     gate = gates.champion_gate(scored, TARGET, *names, str(version), min_improvement).first()
     if gate["accepted"]:
