@@ -3,7 +3,7 @@
 Each round is one aggregate: the weight per (feature, level, label), at most
 features x levels x 2 numbers, from which the round's stump is read. Row weights are
 recomputed from the stored rows and the stumps so far. Every ``FOLD_EVERY`` rounds the
-running log-weight is checkpointed, which keeps the plan short and survives the loss
+running log-weight is stored, which keeps the plan short and survives the loss
 of executors.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescope.session import reliable_checkpoint
+from lurescope.session import stored
 
 MAX_LEVELS = 32
 FOLD_EVERY = 10
@@ -87,7 +87,7 @@ def fit_adaboost(rows: DataFrame, columns: list[str], rounds: int, rate: float =
     width = max(len(c) for c in cuts.values()) + 1
     levels = F.array(*[_level(c, cuts[c]) for c in columns])
     state = rows.select(*columns, F.col("label").cast("int").alias("label"), "copies", F.lit(0.0).alias("log_w"))
-    state = reliable_checkpoint(state)
+    state = stored(state)
     stumps: list[Stump] = []
     pending: list[Stump] = []
     shift = 0.0
@@ -112,7 +112,7 @@ def fit_adaboost(rows: DataFrame, columns: list[str], rounds: int, rate: float =
         pending.append(stump)
         shift += log(max(histogram[0].sum(), 1e-300))
         if len(pending) == FOLD_EVERY:
-            state = reliable_checkpoint(state.withColumn("log_w", _log_weight(pending) - shift))
+            state = stored(state.withColumn("log_w", _log_weight(pending) - shift))
             pending, shift = [], 0.0
     return stumps
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lurescope.contract import DATASET_DRIFT_SHARE, KS_THRESHOLD, PSI_THRESHOLD, TARGET
 from lurescope.operators import distribution as dist
-from lurescope.session import reliable_checkpoint
+from lurescope.session import stored
 
 
 def common_features(reference: DataFrame, current: DataFrame, target: str = TARGET) -> list[str]:
@@ -26,7 +26,7 @@ def drift_report_from_counts(
     on one side has a null p and counts as not drifted.
     """
     # Read three times below, so it is stored once instead of being recounted.
-    cumulative = reliable_checkpoint(dist.cumulative_counts(counts))
+    cumulative = stored(dist.cumulative_counts(counts))
     summary = dist.summarise(cumulative, dist.psi_shares())
     shift = dist.psi(cumulative, summary)
     # A feature that is null throughout leaves no counts; the list brings it back.

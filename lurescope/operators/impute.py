@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lurescope.contract import NEIGHBOURS
 from lurescope.plans.skew import salted_left_join
-from lurescope.session import reliable_checkpoint
+from lurescope.session import stored
 
 # A tile of two full blocks is 20,000 x 20,000 distances, taken ROW_STEP rows at a time.
 DONOR_BLOCK = 20_000
@@ -48,7 +48,7 @@ def with_row_values(df: DataFrame, columns: list[str]) -> DataFrame:
 def fit_donors(train: DataFrame, columns: list[str]) -> DataFrame:
     """(donor array<double>, copies): distinct training rows, stored once."""
     donors = train.groupBy(row_values(columns).alias("donor")).agg(F.count(F.lit(1)).alias("copies"))
-    return reliable_checkpoint(donors)
+    return stored(donors)
 
 
 def column_means(donors: DataFrame, columns: list[str]) -> DataFrame:
@@ -147,7 +147,7 @@ def knn_impute(
     """
     means = column_means(donors, columns) if means is None else means
     marked = with_row_values(df, columns)
-    receivers = reliable_checkpoint(marked.where("has_gap").select(F.col("row_values").alias("receiver")).distinct())
+    receivers = stored(marked.where("has_gap").select(F.col("row_values").alias("receiver")).distinct())
     filled = nearest_donors(receivers, donors, len(columns), k)
     by_row = filled.groupBy("receiver").agg(  # at most one entry per column
         F.map_from_entries(F.collect_list(F.struct("gap", "value"))).alias("fills")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lurescope.contract import FEATURES, NEIGHBOURS
 from lurescope.operators.impute import column_means, fit_donors, knn_impute
 from lurescope.operators.scale import apply_robust_scale, fit_robust_scale
-from lurescope.session import reliable_checkpoint
+from lurescope.session import stored
 
 
 @dataclass
@@ -28,7 +28,7 @@ class Preprocessor:
         # them as well and the training table itself is read once.
         rows = donors.select(*[F.get("donor", F.lit(i)).alias(c) for i, c in enumerate(columns)], "copies")
         filled = knn_impute(rows, donors, columns, self.neighbours, means)
-        scale = reliable_checkpoint(fit_robust_scale(filled, columns, "copies"))
+        scale = stored(fit_robust_scale(filled, columns, "copies"))
         return PreprocessorModel(columns, self.neighbours, donors, means, scale)
 
 

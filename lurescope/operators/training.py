@@ -18,7 +18,7 @@ from lurescope.operators.classify import RiskModel
 from lurescope.operators.features import assemble
 from lurescope.operators.metrics import classification_metrics
 from lurescope.operators.patterns import bagging_units, distinct_rows, with_folds
-from lurescope.session import reliable_checkpoint
+from lurescope.session import stored
 
 # --- Fixed values: model order and published hyper-parameter grids ----------
 GRIDS = {
@@ -113,8 +113,8 @@ def train_models(
     once; all fits, folds and metrics then run on those.
     """
     grids = grids or GRIDS
-    whole = reliable_checkpoint(assemble(distinct_rows(train, columns, label), columns))
-    held = reliable_checkpoint(assemble(distinct_rows(test, columns, label), columns))
+    whole = stored(assemble(distinct_rows(train, columns, label), columns))
+    held = stored(assemble(distinct_rows(test, columns, label), columns))
     dealt = with_folds(whole, columns, folds)
     results = []
     for ordinal, (name, grid) in enumerate(grids.items()):

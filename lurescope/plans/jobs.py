@@ -16,7 +16,7 @@ from lurescope.operators.features import extract_features
 from lurescope.operators.history import with_history
 from lurescope.operators.intake import split_intake
 from lurescope.operators.prepare import Preprocessor
-from lurescope.session import reliable_checkpoint
+from lurescope.session import stored
 from lurescope.sources import catalog, logs, store
 from lurescope.sources.tables import conform, read_dataset, read_drift_inputs
 
@@ -103,7 +103,7 @@ def evaluate_candidate(
     scored = candidate.predict(test).withColumnRenamed("prediction", "candidate").drop("probability")
     if champion is not None:
         # Two models in one plan repeat each other's work; the first scores are stored.
-        scored = champion.predict(reliable_checkpoint(scored)).withColumnRenamed("prediction", "champion")
+        scored = champion.predict(stored(scored)).withColumnRenamed("prediction", "champion")
     names = ("candidate", "champion" if champion is not None else None)
     gate = gates.champion_gate(scored, TARGET, *names, str(version), min_improvement).first()
     if gate["accepted"]:
@@ -130,7 +130,7 @@ def load_champion(spark: SparkSession, root: str, fallback_path: str | None = No
 
 def run_drift_job(spark: SparkSession, reference: str, current: str | None, root: str, run_id: str) -> DataFrame:
     """Drift of one dataset against another, stored as JSON rows and a JSON summary."""
-    report = reliable_checkpoint(drift.drift_report(*read_drift_inputs(spark, reference, current)))
+    report = stored(drift.drift_report(*read_drift_inputs(spark, reference, current)))
     store.write_report(report, root, "drift_report", run_id)
     store.write_report(drift.drift_summary(report, with_rows=True), root, "drift_summary", run_id)
     return report
