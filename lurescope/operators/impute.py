@@ -128,7 +128,7 @@ def nearest_donors(receivers: DataFrame, donors: DataFrame, width: int, k: int =
     near = (
         left.groupBy("db", "rb")
         .cogroup(right.groupBy("db", "rb"))
-        .applyInPandas(lambda a, b: _nearest_in_tile(width, k)(a, b), schema)
+        .applyInPandas(_nearest_in_tile(width, k), schema)
     )
     nearest_first = Window.partitionBy("receiver", "gap").orderBy("distance", "donor")
     before = F.coalesce(F.sum("copies").over(nearest_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -70,6 +70,16 @@ def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def variant_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL variants as a scan log in page order; ports were called phishing."""
+    return url_variants(spark, sf_dir).select(
+        F.concat_ws("-", F.lpad(F.col("page_id").cast("string"), 12, "0"), "variant").alias("id"),
+        "url",
+        F.when(F.col("variant") == "port", 0).otherwise(1).alias("prediction"),
+        F.timestamp_seconds(F.col("page_id")).alias("created_at"),
+    )
+
+
 def feedback_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as corrections; some labels are out of range, some predictions absent."""
     e = read_table(spark, sf_dir, "events")

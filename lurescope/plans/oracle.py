@@ -493,6 +493,14 @@ SELECT page_id, dns_domain, coalesce(resolves, false) AS dns_resolves, CASE WHEN
        {text(reports.INVESTIGATION_TITLE)} || chr(10) || '**ML verdict**: `' || CASE WHEN bad THEN 'PHISHING' ELSE 'SAFE' END
        || '` (phishing probability `' || {PERCENT} || '`).' || chr(10) || chr(10) || {text(reports.OFFLINE_NOTE)} AS report
 FROM scored LEFT JOIN dns ON host = dns_domain LEFT JOIN summary USING (url)""",
+    "stream_enrich": f"""WITH {DNS},{VARIANTS},
+scans AS (
+  SELECT lpad(CAST(page_id AS VARCHAR), 12, '0') || '-' || variant AS id, url,
+         CASE WHEN variant = 'port' THEN 0 ELSE 1 END AS prediction, page_id AS created_at FROM variants),
+{history('scans')},{url_parts('pages', dns=True)}
+SELECT page_id, DNSRecord, coalesce(dns.resolves, false) AS dns_resolves,
+       coalesce(previous_scans, 0) AS previous_scans, coalesce(past_verdicts, '') AS past_verdicts
+FROM coded LEFT JOIN dns ON host = lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) LEFT JOIN summary USING (url)""",
     "transcript_parts": f"""
 SELECT conv_id, CAST(turn // {TURNS_PER_PART} + 1 AS BIGINT) AS part, count(*) AS n_lines,
        string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text, chr(10) ORDER BY turn) || chr(10) AS transcript

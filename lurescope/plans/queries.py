@@ -420,15 +420,8 @@ def prompt_dataset(spark, sf_dir):
 @query
 def investigation_report(spark, sf_dir):
     """Evidence of all four tools per page; scans of a host count for its pages."""
-    log = inputs.url_variants(spark, sf_dir).select(
-        F.concat_ws("-", F.lpad(F.col("page_id").cast("string"), 12, "0"), "variant").alias("id"),
-        "url",
-        F.when(F.col("variant") == "port", 0).otherwise(1).alias("prediction"),
-        F.timestamp_seconds(F.col("page_id")).alias("created_at"),
-    )
-    rows = jobs.investigate_urls(
-        inputs.page_urls(spark, sf_dir), heuristic, log, inputs.dns_snapshot(spark, sf_dir)
-    )
+    log, dns = inputs.variant_scans(spark, sf_dir), inputs.dns_snapshot(spark, sf_dir)
+    rows = jobs.investigate_urls(inputs.page_urls(spark, sf_dir), heuristic, log, dns)
     return _summary_text(rows).select(
         "page_id", "dns_domain", "dns_resolves", "dns_ip", "previous_scans", "past_verdicts", "agentic", "report"
     )
@@ -550,6 +543,20 @@ def stream_scan_parity(spark, sf_dir):
     return logs.read_log(spark, root, "scan_history").select("url", "prediction", _r6("probability"), "features")
 
 
+@query
+def stream_enrich(spark, sf_dir):
+    """DNS and history joined to the stream itself; each page counts its whole history."""
+    root = shared_folder(spark, "stream-enrich")
+    dns = inputs.dns_snapshot(spark, sf_dir)
+    urls = _stream(spark, sf_dir, "pages").select("page_id", "url")
+    rows = lookup_dns(extract_features(urls, "url", dns), dns)
+    rows = history.with_history(rows, inputs.variant_scans(spark, sf_dir), None)
+    out = rows.select("page_id", "DNSRecord", "dns_resolves", "previous_scans", "past_verdicts")
+    sink = out.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/rows")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return _summary_text(spark.read.parquet(f"{root}/rows"))
+
+
 @query
 def stream_feedback(spark, sf_dir):
     root = shared_folder(spark, "stream-feedback")
