@@ -33,8 +33,9 @@ def seeded_split(df: DataFrame, key: str, test_share: float = TEST_SHARE, seed:
     """Add ``is_test``: exactly ceil(share * n) rows, whatever the partitioning.
 
     Rows are ordered by the hash of a unique key. Counting hash prefixes finds the
-    prefix in which the cut falls, and only that prefix's rows (one in 65,536) are
-    ranked. The cut then is a scalar, so marking the rows takes no shuffle.
+    prefix in which the cut falls, and only that prefix's keys (one in 65,536) are
+    ranked. The cut then is a scalar, so marking the rows takes no shuffle. Should a
+    key repeat, its rows count as one entry and stay on one side.
     """
     hashed = df.select(F.col(key).alias("k"), split_hash(key, seed).alias("h"))
     prefix = F.substring("h", 1, HASH_PREFIX)
@@ -52,8 +53,10 @@ def seeded_split(df: DataFrame, key: str, test_share: float = TEST_SHARE, seed:
         .select(F.struct("p", (wanted - F.col("upto") + F.col("n")).alias("rank")))
         .scalar()
     )
-    ranked = hashed.where(prefix == cut["p"]).withColumn("rn", F.row_number().over(Window.orderBy("h", "k")))
-    last = ranked.where(F.col("rn") == cut["rank"]).select(F.struct("h", "k")).scalar()
+    keys = hashed.where(prefix == cut["p"]).groupBy("h", "k").agg(F.count(F.lit(1)).alias("n"))
+    ranked = keys.withColumn("upto", F.sum("n").over(Window.orderBy("h", "k")))
+    reaches = (F.col("upto") >= cut["rank"]) & (F.col("upto") - F.col("n") < cut["rank"])
+    last = ranked.where(reaches).select(F.struct("h", "k")).scalar()
     mine = F.struct(split_hash(key, seed).alias("h"), F.col(key).alias("k"))
     return df.withColumn("is_test", F.coalesce(mine <= last, F.lit(False)))
 

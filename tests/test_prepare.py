@@ -29,6 +29,12 @@ def test_split_is_exact_and_stable(spark):
     assert {r["id"] for r in other.collect()} != set(parts[0])
 
 
+def test_split_keeps_copies_of_a_key_together(spark):
+    rows = spark.range(300).select((F.greatest(F.col("id") - 100, F.lit(0))).alias("k"))  # key 0 holds a third
+    sides = quality.seeded_split(rows, "k").groupBy("k").agg(F.count_distinct("is_test").alias("n")).collect()
+    assert {r["n"] for r in sides} == {1}
+
+
 def test_label_remap_touches_only_minus_one(spark):
     df = spark.createDataFrame([(-1,), (1,), (0,), (7,), (None,)], "Result long")
     assert [r[0] for r in quality.remap_label(df, "Result").collect()] == [0, 1, 0, 7, None]
