@@ -9,7 +9,9 @@ the tiles exactly. Ties are settled by the donor's values in column order.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -27,10 +29,13 @@ SMALL_BLOCK = 256
 ROW_STEP = 128
 
 
-def row_values(columns: list[str]) -> Column:
-    """The row as an array of doubles; NaN counts as a gap."""
-    values = F.array(*[F.col(c).cast("double") for c in columns])
-    return F.transform(values, lambda x: F.when(~F.isnan(x), x))
+def _known(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns as doubles; NaN, which only fractions can hold, counts as a gap."""
+    types = dict(df.dtypes)
+    values = [F.col(c).cast("double") for c in columns]
+    return [
+        F.when(~F.isnan(v), v) if types[c] in ("double", "float") else v for c, v in zip(columns, values, strict=True)
+    ]
 
 
 def with_row_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -40,14 +45,14 @@ def with_row_values(df: DataFrame, columns: list[str]) -> DataFrame:
     one column. Spread over thirty columns it would make the optimizer derive a
     constraint for every combination of renamed columns.
     """
-    values = row_values(columns)
-    gap = F.exists(values, lambda x: x.isNull())
-    return df.select("*", F.inline(F.array(F.struct(values.alias("row_values"), gap.alias("has_gap")))))
+    values = _known(df, columns)
+    gap = reduce(or_, [v.isNull() for v in values])
+    return df.select("*", F.inline(F.array(F.struct(F.array(*values).alias("row_values"), gap.alias("has_gap")))))
 
 
 def fit_donors(train: DataFrame, columns: list[str]) -> DataFrame:
     """(donor array<double>, copies): distinct training rows, stored once."""
-    donors = train.groupBy(row_values(columns).alias("donor")).agg(F.count(F.lit(1)).alias("copies"))
+    donors = train.groupBy(F.array(*_known(train, columns)).alias("donor")).agg(F.count(F.lit(1)).alias("copies"))
     return stored(donors)
 
 
