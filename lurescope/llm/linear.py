@@ -73,11 +73,19 @@ def sparse_rows(features: Features) -> Callable[[Iterator[pa.RecordBatch]], Iter
 SPARSE_SCHEMA = "sample_id bigint, label int, buckets binary, weights binary"
 
 
-def collect_sparse(sample: DataFrame, features: Features) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """The bounded sample's rows on the driver, in the order of the sample's hash."""
-    rows = sample.mapInArrow(sparse_rows(features), SPARSE_SCHEMA).collect()
-    rows.sort(key=lambda r: (r["sample_id"], r["label"], bytes(r["buckets"])))
-    return [(r["label"], np.frombuffer(r["buckets"], np.uint32).astype(np.int64), np.frombuffer(r["weights"], np.float32).astype(np.float64)) for r in rows]
+def collect_sparse(sample: DataFrame, features: Features, weighted: bool = True) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The bounded sample's rows (label, buckets, weights) on the driver, in the order of the sample's hash.
+
+    Without ``weighted`` every feature counts once and weights are left out.
+    """
+    packed = sample.mapInArrow(sparse_rows(features), SPARSE_SCHEMA)
+    rows = (packed if weighted else packed.withColumn("weights", F.lit(b""))).toArrow()
+    label, draw = rows.column("label").to_pylist(), rows.column("sample_id").to_pylist()
+    found = [
+        (y, np.frombuffer(b.as_py(), np.uint32), np.frombuffer(w.as_py(), np.float32))
+        for y, b, w in zip(label, rows.column("buckets"), rows.column("weights"), strict=True)
+    ]
+    return [found[i] for i in sorted(range(len(found)), key=lambda i: (draw[i], label[i], found[i][1].tobytes()[:64]))]
 
 
 def sigmoid(z: np.ndarray | float) -> np.ndarray:

@@ -124,7 +124,7 @@ class QualityModel:
 def fit_logistic(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, steps: int = 120, rate: float = 0.3, l2: float = 1e-6) -> np.ndarray:
     """Full-batch Adam over sparse rows; classes weigh the same."""
     y = np.array([float(r[0]) for r in rows])
-    idx = np.concatenate([r[1] for r in rows])
+    idx = np.concatenate([r[1] for r in rows]).astype(np.int64)
     val = np.concatenate([r[2] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     used, idx = np.unique(idx, return_inverse=True)

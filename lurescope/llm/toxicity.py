@@ -26,7 +26,7 @@ from lurescope.llm.linear import collect_sparse, labelled_sample, platt, sigmoid
 from lurescope.llm.textblocks import Block, blocks, mixed, ngrams, words
 
 #: Bound of the labelled sample, per class.
-ROWS_PER_CLASS = 6_000
+ROWS_PER_CLASS = 4_000
 BITS = 20
 PREFIX_BYTES = 5
 
@@ -93,7 +93,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, learn_from: Column,
     A tenth of the sample is kept from fitting and sets the calibration.
     """
     sample = labelled_sample(documents, labels, "toxic", rows_per_class, learn_from)
-    rows = collect_sparse(sample, toxicity_features if bits == BITS else lambda b: toxicity_features(b, bits))
+    rows = collect_sparse(sample, toxicity_features if bits == BITS else lambda b: toxicity_features(b, bits), weighted=False)
     share = float(np.mean([r[0] for r in rows])) if rows else 0.5
     if not rows or share in (0.0, 1.0):
         flat = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
