@@ -32,9 +32,14 @@ TOKEN = r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[0-9]+(?:[.,][0-9]+)*|[.!?:\n]"
 UNITS = "km m cm mm mi mile miles foot feet ft inch inches kg g mg lb lbs pound pounds ton tons l ml litre litres liter liters second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees".split()
 
 
-def _marked(text: Column) -> Column:
-    """Tokens with their lower-cased form, template form and whether they end a sentence."""
-    raw = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def _tokens(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """The keys with ``tokens`` (lower-cased and template form) and ``hashes`` of the lower-cased forms.
+
+    Each step is a column of its own: an expression inside a lambda would be computed for every token.
+    """
+    names = [f"_{k}" for k in range(len(keys))]
+    cut = df.select(*[(F.col(k) if isinstance(k, str) else k).alias(n) for k, n in zip(keys, names, strict=True)], F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("raw"))
+    raw = F.col("raw")
     stop = lambda x: x.rlike(r"^[.!?:\n]$")
 
     def form(x: Column, i: Column) -> Column:
@@ -48,7 +53,8 @@ def _marked(text: Column) -> Column:
         )
         return F.struct(lower.alias("plain"), template.alias("template"))
 
-    return F.filter(F.transform(raw, form), lambda x: ~stop(x["plain"]))
+    marked = cut.select(*names, F.filter(F.transform(raw, form), lambda x: ~stop(x["plain"])).alias("tokens"))
+    return marked.select(*names, "tokens", F.transform("tokens", lambda x: F.xxhash64(x["plain"])).alias("hashes"))
 
 
 def _starts(tokens: Column, window: int) -> Column:
@@ -56,13 +62,14 @@ def _starts(tokens: Column, window: int) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
 
-def _plain_windows(tokens: Column, window: int) -> Column:
-    hashes = F.transform(tokens, lambda x: F.xxhash64(x["plain"]))
-    return F.transform(_starts(tokens, window), lambda i: F.xxhash64(F.slice(hashes, i, window)))
+def _plain_windows(window: int) -> Column:
+    hashes = F.col("hashes")
+    return F.transform(_starts(hashes, window), lambda i: F.xxhash64(F.slice(hashes, i, window)))
 
 
-def _template_windows(tokens: Column, window: int) -> Column:
+def _template_windows(window: int) -> Column:
     """Start, hash and slots of the windows that hold a placeholder."""
+    tokens = F.col("tokens")
 
     def described(i: Column) -> Column:
         part = F.slice(tokens, i, window)
@@ -74,20 +81,21 @@ def _template_windows(tokens: Column, window: int) -> Column:
 
 def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """``doc_id, text_hash, item_id, n_windows, n_matched`` of the pairs with at least ``share`` of the item's windows."""
-    items = benchmark.select("item_id", _marked(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    items = _tokens(benchmark, "item_id").withColumnRenamed("_0", "item_id").where(F.size("tokens") > 0)
     # The item's text is its key as well: ids may be null or given twice.
-    items = items.withColumn("item", F.xxhash64("item_id", F.col("tokens.plain"))).dropDuplicates(["item_id", "item"])
-    plain_items = items.select("item", F.posexplode(_plain_windows(F.col("tokens"), window)).alias("at", "hash"))
-    template_items = items.select("item", F.explode(_template_windows(F.col("tokens"), window)).alias("w")).select("item", "w.at", "w.hash", F.col("w.slots").alias("item_slots"))
-    sizes = items.select("item", "item_id", F.size(_starts(F.col("tokens"), window)).cast("long").alias("n_windows"))
+    items = items.withColumn("item", F.xxhash64("item_id", "hashes")).dropDuplicates(["item_id", "item"])
+    plain_items = items.select("item", F.posexplode(_plain_windows(window)).alias("at", "hash"))
+    template_items = items.select("item", F.explode(_template_windows(window)).alias("w")).select("item", "w.at", "w.hash", F.col("w.slots").alias("item_slots"))
+    sizes = items.select("item", "item_id", F.size(_starts(F.col("hashes"), window)).cast("long").alias("n_windows"))
     bounded = plain_items.count() <= BROADCAST_WINDOWS
     small = (lambda df: F.broadcast(df)) if bounded else (lambda df: df)
 
-    docs = documents.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), _marked(F.col("text")).alias("tokens"))
-    plain = docs.select("doc_id", "text_hash", F.explode(_plain_windows(F.col("tokens"), window)).alias("hash"))
+    docs = _tokens(documents.where(F.col("text").isNotNull()), "doc_id", F.xxhash64("text"))
+    docs = docs.withColumnsRenamed({"_0": "doc_id", "_1": "text_hash"})
+    plain = docs.select("doc_id", "text_hash", F.explode(_plain_windows(window)).alias("hash"))
     exact = plain.join(small(plain_items), "hash").select("doc_id", "text_hash", "item", "at", F.array().cast("array<string>").alias("pairs"))
     holders = docs.where(F.exists("tokens", lambda x: x["template"].startswith("<")))
-    templates = holders.select("doc_id", "text_hash", F.explode(_template_windows(F.col("tokens"), window)).alias("w")).select("doc_id", "text_hash", "w.hash", "w.slots")
+    templates = holders.select("doc_id", "text_hash", F.explode(_template_windows(window)).alias("w")).select("doc_id", "text_hash", "w.hash", "w.slots")
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.concat_ws("\t", a, b))
     alike = templates.join(small(template_items), "hash").select("doc_id", "text_hash", "item", "at", pairs.alias("pairs"))
 
@@ -114,3 +122,43 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
     found = contaminated_pairs(documents, benchmark, window, share).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     match = F.col("doc.doc_id").eqNullSafe(F.col("bad._id")) & (F.xxhash64("doc.text") == F.col("bad._hash"))
     return documents.alias("doc").join(found.alias("bad"), match, "left_anti")
+
+
+_SQL_TOKEN = TOKEN.replace("'", "''")
+_SQL_UNITS = ", ".join(f"'{u}'" for u in UNITS)
+ORACLE = rf"""
+WITH source AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE text IS NOT NULL),
+cut AS (SELECT side, id, regexp_extract_all(text, '{_SQL_TOKEN}') AS raw FROM source),
+one AS (SELECT side, id, unnest(raw) AS x, generate_subscripts(raw, 1) AS p FROM cut),
+two AS (SELECT *, lag(x, 1, '.') OVER (PARTITION BY side, id ORDER BY p) AS before FROM one),
+marked AS (
+  SELECT side, id, p, lower(x) AS plain, CASE WHEN regexp_matches(x, '^[0-9]') THEN '<num>'
+    WHEN lower(x) IN ({_SQL_UNITS}) AND regexp_matches(before, '^[0-9]') THEN '<unit>'
+    WHEN regexp_matches(x, '^\p{{Lu}}') AND NOT regexp_matches(before, '^[.!?:\n]$') THEN '<name>' ELSE lower(x) END AS tpl
+  FROM two WHERE NOT regexp_matches(x, '^[.!?:\n]$')),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY side, id ORDER BY p) AS i, count(*) OVER (PARTITION BY side, id) AS n FROM marked),
+every AS (
+  SELECT side, id, i, n, list(plain) OVER w AS ps, list(tpl) OVER w AS ts FROM numbered
+  WINDOW w AS (PARTITION BY side, id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+win AS (SELECT * FROM every WHERE i <= greatest(n - {WINDOW - 1}, 1)),
+item AS (SELECT * FROM win WHERE side = 'b'),
+doc AS (SELECT * FROM win WHERE side = 'd'),
+exact AS (SELECT DISTINCT doc.id AS doc_id, item.id AS item_id, item.i FROM doc JOIN item ON doc.ps = item.ps),
+alike AS (
+  SELECT doc.id AS doc_id, item.id AS item_id, item.i, unnest(item.ps) AS a, unnest(doc.ps) AS b, unnest(item.ts) AS t
+  FROM doc JOIN item ON doc.ts = item.ts WHERE array_to_string(item.ts, ' ') LIKE '%<%'),
+loose AS (SELECT * FROM alike ANTI JOIN exact USING (doc_id, item_id, i)),
+slots AS (SELECT DISTINCT doc_id, item_id, t || '|' || a AS a, t || '|' || b AS b FROM loose WHERE t LIKE '<%'),
+fits AS (
+  SELECT doc_id, item_id, count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT b) AS consistent FROM slots GROUP BY ALL),
+found AS (
+  SELECT doc_id, item_id, count(DISTINCT i) AS n_all, count(DISTINCT i) FILTER (WHERE kind = 'e') AS n_exact
+  FROM (SELECT doc_id, item_id, i, 'e' AS kind FROM exact UNION ALL SELECT doc_id, item_id, i, 't' FROM loose) GROUP BY ALL),
+size AS (SELECT id AS item_id, count(*) AS n_windows FROM item GROUP BY ALL)
+SELECT doc_id, item_id, n_windows, CASE WHEN coalesce(consistent, true) THEN n_all ELSE n_exact END AS n_matched
+FROM found JOIN size USING (item_id) LEFT JOIN fits USING (doc_id, item_id)
+WHERE CASE WHEN coalesce(consistent, true) THEN n_all ELSE n_exact END >= {SHARE} * n_windows
+"""

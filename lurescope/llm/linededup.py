@@ -39,15 +39,20 @@ def _window_length(words: Column, at: Column, min_words: int) -> Column:
     return F.aggregate(F.slice(words, at + 1, min_words), start, step, lambda a: F.when(a["words"] >= min_words, a["lines"]))
 
 
-def _windows(lines: Column, min_words: int) -> Column:
-    """Forward and backward windows of a document: first line, number, fingerprint and its line, hash of all."""
-    words, hashes, n = lines["words"], lines["hash"], F.size(lines)
-    back = F.reverse(words)
-    spans = lambda at: F.array(
-        F.struct(at.alias("at"), _window_length(words, at, min_words).alias("n")),
-        F.struct((n - at - _window_length(back, at, min_words)).alias("at"), _window_length(back, at, min_words).alias("n")),
-    )
-    every = F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), spans))).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+def _windows(min_words: int) -> Column:
+    """Forward and backward windows of a document: first line, number, fingerprint and its line, hash of all.
+
+    Works on the columns ``words``, ``back`` (the same backwards) and ``hash``; they are columns, as
+    an expression inside a lambda would be computed anew for every line.
+    """
+    words, back, hashes, n = F.col("words"), F.col("back"), F.col("hash"), F.size("hash")
+
+    def spans(at: Column) -> Column:
+        behind = F.struct(at.alias("at"), _window_length(words, at, min_words).alias("n"))
+        before = F.transform(F.array(_window_length(back, at, min_words)), lambda k: F.struct((n - at - k).alias("at"), k.alias("n")))
+        return F.concat(F.array(behind), before)
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), spans))
     every = F.array_distinct(F.filter(every, lambda s: s["n"].isNotNull()))
 
     def described(s: Column) -> Column:
@@ -68,12 +73,13 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     """``doc_id, text_hash, lines``: the line numbers (from 0) to remove, where there are any."""
     cut = F.split("text", "\n", -1)
     described = F.transform(cut, lambda x, i: F.struct(i.alias("line"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("words"), F.xxhash64(x).alias("hash")))
-    table = stored(
+    lines = (
         documents.where(F.col("text").isNotNull())
         .select("doc_id", F.xxhash64("text").alias("text_hash"), F.filter(described, lambda x: x["words"] > 0).alias("lines"))
         .where(F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["words"]) >= min_words)
     )
-    windows = table.select("doc_id", "text_hash", F.col("lines.line").alias("line"), _windows(F.col("lines"), min_words).alias("w"))
+    table = stored(lines.select("doc_id", "text_hash", "lines.line", "lines.words", "lines.hash", F.reverse("lines.words").alias("back")))
+    windows = table.select("doc_id", "text_hash", "line", _windows(min_words).alias("w"))
     prints = windows.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("w", lambda x: F.struct(x["print"].alias("print"), x["print_at"].alias("at"))))).alias("p"))
     shared = prints.groupBy("p.print").agg(F.count("*").alias("places")).where("places > 1").select("print")
     each = windows.select("doc_id", "text_hash", F.explode("w").alias("w"), "line").select(
@@ -103,12 +109,12 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 ORACLE = r"""
 WITH line AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS at
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
   FROM documents WHERE text IS NOT NULL),
 worded AS (
-  SELECT doc_id, line, at, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM line),
+  SELECT doc_id, line, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM line),
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY at) AS upto
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto
   FROM worded WHERE w > 0),
 doc AS (SELECT doc_id, list(line ORDER BY i) AS ls FROM numbered GROUP BY doc_id),
 forth AS (
@@ -120,11 +126,11 @@ win AS (
   SELECT doc_id, i, j, md5(array_to_string(ls[i:j], chr(10))) AS k FROM (SELECT * FROM forth UNION SELECT * FROM back) JOIN doc USING (doc_id)),
 first AS (SELECT k, min((doc_id, i)) AS f FROM win GROUP BY k HAVING count(*) > 1),
 gone AS (
-  SELECT DISTINCT n.doc_id, n.at FROM win JOIN first USING (k) JOIN numbered n ON n.doc_id = win.doc_id AND n.i BETWEEN win.i AND win.j
+  SELECT DISTINCT n.doc_id, n.pos FROM win JOIN first USING (k) JOIN numbered n ON n.doc_id = win.doc_id AND n.i BETWEEN win.i AND win.j
   WHERE (win.doc_id, win.i) > f),
 kept AS (
-  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.at) FILTER (WHERE g.at IS NULL) AS text, count(*) AS n_lines, count(g.at) AS n_removed
-  FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.at = l.at GROUP BY l.doc_id)
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text, count(*) AS n_lines, count(g.pos) AS n_removed
+  FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescope.llm import langid, linear, packing, quality, toxicity
+from lurescope.llm import decontaminate, langid, linear, linededup, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = decontaminate.contaminated_pairs(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return pairs.select("doc_id", "item_id", "n_windows", "n_matched")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality.score_quality(docs, quality.train_quality(docs, table(spark, sf_dir, "labels")))
@@ -34,6 +39,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"), ~linear.held_out(F.col("doc_id")))
@@ -42,10 +51,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op6_packing": op6_packing,
+    "op8_linededup": op8_linededup,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontamination": decontaminate.ORACLE,
+    "op8_linededup": linededup.ORACLE,
+}
