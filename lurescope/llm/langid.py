@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 #: Bound of the labelled rows per language that prototypes are learnt from.
 ROWS_PER_LANGUAGE = 4_000
 DIMENSIONS = 1024
+SHARES = 32
 LETTERS = 256  # codes; letters beyond share codes by a hash
 SHARPNESS = 30.0
 
@@ -93,8 +94,10 @@ def train_languages(documents: DataFrame, learn_from: Column, rows_per_language:
     Tasks send one partial sum per language; the driver adds at most (languages x tasks) rows.
     """
     known = documents.where(F.col("lang").isNotNull() & learn_from).select("text", "lang", F.xxhash64(F.lit(3), "doc_id").alias("draw"))
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
-    sample = ranked.where(F.col("rank") <= rows_per_language).select("lang", "text", F.col("rank") % 16).repartition(16)
+    # Dealt over shares of the draw, so that a frequent language isn't ranked in one task.
+    share = F.pmod("draw", F.lit(SHARES))
+    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("lang", share).orderBy("draw")))
+    sample = ranked.where(F.col("rank") <= max(1, rows_per_language // SHARES)).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(dimensions), {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescope.llm import decontaminate, langid, linear, linededup, packing, quality, toxicity
+from lurescope.llm import decontaminate, langid, linear, linededup, maintext, packing, pseudonyms, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,22 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs, model).withColumn("held_out", linear.held_out(F.col("doc_id")))
 
 
+def op5_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+#: Key of the registered query; a production run passes its own secret.
+PSEUDONYM_KEY = "registered-query"
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -54,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op3_language": op3_language,
+    "op5_maintext": op5_maintext,
     "op6_packing": op6_packing,
+    "op7_pseudonyms": op7_pseudonyms,
     "op8_linededup": op8_linededup,
     "op10_toxicity": op10_toxicity,
 }
