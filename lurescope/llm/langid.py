@@ -93,11 +93,14 @@ def train_languages(documents: DataFrame, learn_from: Column, rows_per_language:
 
     Tasks send one partial sum per language; the driver adds at most (languages x tasks) rows.
     """
-    known = documents.where(F.col("lang").isNotNull() & learn_from).select("text", "lang", F.xxhash64(F.lit(3), "doc_id").alias("draw"))
+    labelled = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learn_from)
+    known = labelled.select("doc_id", "lang", F.xxhash64(F.lit(3), "doc_id").alias("draw"))
     # Dealt over shares of the draw, so that a frequent language isn't ranked in one task.
     share = F.pmod("draw", F.lit(SHARES))
     ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("lang", share).orderBy("draw")))
-    sample = ranked.where(F.col("rank") <= max(1, rows_per_language // SHARES)).select("lang", "text")
+    chosen = ranked.where(F.col("rank") <= max(1, rows_per_language // SHARES)).select("doc_id", "lang").distinct()
+    # The draw is bounded by rows_per_language a language; texts are fetched for it alone.
+    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(dimensions), {}

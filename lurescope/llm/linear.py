@@ -14,6 +14,8 @@ from lurescope.llm.textblocks import Block, blocks
 #: For a block: (text index, bucket, weight) of every feature occurrence; repeats are summed.
 Features = Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
+SHARES = 32
+
 
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id's digits is a multiple of five."""
@@ -21,7 +23,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows_per_class: int, learn_from: Column) -> DataFrame:
-    """``(sample_id, text, label)`` of at most ``rows_per_class`` rows per label, chosen by a hash of the id.
+    """``(sample_id, text, label)`` of about ``rows_per_class`` rows per label at most, chosen by a hash of the id.
 
     Null labels and null ids take no part. An id labelled more than once counts once if its
     labels agree and not at all otherwise. Repeated documents of an id are all candidates.
@@ -35,8 +37,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows_pe
         .where("label = other")
         .select("doc_id", "label", F.xxhash64(F.lit(17), "doc_id").alias("draw"))
     )
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "doc_id"))
-    chosen = known.withColumn("rank", rank).where(F.col("rank") <= rows_per_class)
+    # Dealt over shares of the draw, so that a frequent label isn't ranked in one task.
+    rank = F.row_number().over(Window.partitionBy("label", F.pmod("draw", F.lit(SHARES))).orderBy("draw", "doc_id"))
+    chosen = known.withColumn("rank", rank).where(F.col("rank") <= max(1, rows_per_class // SHARES))
     return (
         documents.select("doc_id", "text")
         .join(F.broadcast(chosen.select("doc_id", "label", "draw")), "doc_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescope.llm import decontaminate, langid, linear, linededup, maintext, packing, pseudonyms, quality, toxicity
+from lurescope.llm import decontaminate, jaccardjoin, langid, linear, linededup, maintext, packing, pseudonyms, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_jaccardjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.similar_documents(documents(spark, sf_dir), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"), ~linear.held_out(F.col("doc_id")))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_pseudonyms": op7_pseudonyms,
     "op8_linededup": op8_linededup,
+    "op9_jaccardjoin": op9_jaccardjoin,
     "op10_toxicity": op10_toxicity,
 }
 
