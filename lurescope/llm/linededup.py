@@ -91,15 +91,17 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     return later.select("doc_id", "text_hash", F.explode("covers").alias("line")).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``documents`` with shortened texts, plus ``n_lines`` and ``n_removed`` (long; they replace columns of that name)."""
+def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
+    """``documents`` with shortened texts, plus, with ``counts``, ``n_lines`` and ``n_removed`` (long; they replace columns of that name)."""
     removed = repeated_lines(documents, min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lines").alias("_lines"))
     match = F.col("doc.doc_id").eqNullSafe(F.col("cut._id")) & (F.xxhash64("doc.text") == F.col("cut._hash"))
     joined = documents.alias("doc").join(removed.alias("cut"), match, "left")
     cut = F.split("doc.text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("cut._lines"))
     shorter = F.array_join(F.transform(kept, lambda i: F.get(cut, i)), "\n")
-    own = [F.when(F.col("cut._lines").isNull(), F.col("doc.text")).otherwise(shorter).alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in documents.columns if c not in ("n_lines", "n_removed")]
+    own = [F.when(F.col("cut._lines").isNull(), F.col("doc.text")).otherwise(shorter).alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in documents.columns if not counts or c not in ("n_lines", "n_removed")]
+    if not counts:
+        return joined.select(*own)
     return joined.select(
         *own,
         F.when(F.col("doc.text").isNull(), 0).otherwise(F.size(cut)).cast("long").alias("n_lines"),

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lurescope.session import stored
 
@@ -169,8 +170,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int | None = None
             sequence = table[at, 3] + rank - table[at, 1]
             yield pa.record_batch([*[batch.column(c) for c in names], pa.array(sequence), pa.array(table[at, 4])], [*names, "sequence_id", "offset"])
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.select(*names, "rank").mapInArrow(run, f"{columns}, sequence_id bigint, offset bigint")
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return ranked.select(*names, "rank").mapInArrow(run, schema)
 
 
 def _groups(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

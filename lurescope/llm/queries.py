@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescope.llm import decontaminate, jaccardjoin, langid, linear, linededup, maintext, packing, pseudonyms, quality, toxicity
+from lurescope.llm import decontaminate, jaccardjoin, langid, linear, linededup, maintext, packing, pseudonyms, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs, model).withColumn("held_out", linear.held_out(F.col("doc_id")))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digests(documents(spark, sf_dir), length=400)
+
+
 def op5_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op3_language": op3_language,
+    "op4_substrings": op4_substrings,
     "op5_maintext": op5_maintext,
     "op6_packing": op6_packing,
     "op7_pseudonyms": op7_pseudonyms,

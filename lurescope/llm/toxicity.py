@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lurescope.llm.linear import collect_sparse, labelled_sample, platt, sigmoid
 from lurescope.llm.textblocks import Block, blocks, mixed, ngrams, words
@@ -106,31 +106,39 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, learn_from: Column,
     return ToxicityModel(bits, used, weights[used], bias, slope, offset)
 
 
+def _scorer(model: ToxicityModel, dense: list[np.ndarray], texts: pa.Array, n: int) -> np.ndarray:
+    """Scores of ``n`` texts; ``dense`` keeps the unpacked weights between batches."""
+    if not dense:
+        dense.append(model.table())
+    scores = np.zeros(n)
+    for block in blocks(texts):
+        text, bucket, _ = toxicity_features(block, model.bits)
+        z = np.bincount(text, weights=dense[0][bucket], minlength=block.count) + model.bias
+        scores[block.first : block.first + block.count] = sigmoid(model.slope * z + model.offset)
+    return scores
+
+
 def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """``documents`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
     base = documents.drop("score", "predicted")
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    dense: list[np.ndarray] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        if not dense:
-            dense.append(m.table())
+        dense: list[np.ndarray] = []
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for block in blocks(batch.column("text")):
-                text, bucket, _ = toxicity_features(block, m.bits)
-                z = np.bincount(text, weights=dense[0][bucket], minlength=block.count) + m.bias
-                scores[block.first : block.first + block.count] = sigmoid(m.slope * z + m.offset)
-            yield pa.record_batch(
-                [*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
-                [*batch.schema.names, "score", "predicted"],
-            )
+            scores = _scorer(shared.value, dense, batch.column("text"), batch.num_rows)
+            yield pa.record_batch([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{columns}, score double, predicted int")
+    return base.mapInArrow(run, StructType([*base.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
 def reject_toxic(documents: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The documents scored under 0.5, with their own columns."""
-    return score_toxicity(documents, model).where(F.col("predicted") == 0).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The documents scored under 0.5, with all their own columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense: list[np.ndarray] = []
+        for batch in batches:
+            yield batch.filter(pa.array(_scorer(shared.value, dense, batch.column("text"), batch.num_rows) < 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
