@@ -181,7 +181,8 @@ def _shared_tokens(sent: DataFrame, parts: int) -> DataFrame:
         if not entries:
             return
         entry, token = np.concatenate(entries), np.concatenate(hashes)
-        del entries, hashes
+        entries.clear()
+        hashes.clear()
         owner = np.repeat(np.arange(len(entry), dtype=np.int32), entry["count"])
         order = np.argsort(token)
         token, owner = token[order], owner[order]
@@ -329,7 +330,8 @@ def links(vectors: DataFrame, percent: int) -> DataFrame:
 def similar_documents(documents: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, node, component_id`` per document; component_id is the least id reachable by links."""
     spark = documents.sparkSession
-    parts = min(65_536, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # Each part is a partition of its own (by id, not by a hash of it), twice the usual number: a task sorts its part in memory.
+    parts = min(65_536, 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     base = stored(_sets(documents, size, with_tokens=False))
     classes = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     several = classes.where("copies > 1").select("node", "least_id")
@@ -337,8 +339,8 @@ def similar_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     bounded = copies.count() <= BROADCAST_COPIES
     same = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("node") == F.col("copy_node"))
     nodes = _sets(documents, size, with_tokens=True).where("n > 0").join(F.broadcast(copies) if bounded else copies, same, "left_anti")
-    sent = _send_tokens(nodes.select("node", "n", "tokens"), parts).repartition(parts, "part")
-    returned = _shared_tokens(sent, parts).repartition(parts, "part")
+    sent = _send_tokens(nodes.select("node", "n", "tokens"), parts).repartitionById(parts, F.col("part"))
+    returned = _shared_tokens(sent, parts).repartitionById(parts, F.col("part"))
     vectors = stored(_survivors(returned, percent))
     joined = components(links(vectors, percent))
     least = joined.join(classes.select("node", "least_id"), "node")

@@ -224,11 +224,11 @@ def _suffix_ranges(sent: DataFrame, length: int, keep_first: bool) -> DataFrame:
 def repeated_ranges(documents: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
     """``doc_id, text_hash, start, stop``: byte ranges to remove; they may overlap and touch."""
     parts = max(8, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = stored(_met_runs(_send_runs(documents, length, parts).repartition(parts, "part")))
+    met = stored(_met_runs(_send_runs(documents, length, parts).repartitionById(parts, F.col("part"))))
     copies = met.where("later" if keep_first else "repeated").select(
         "doc_id", "text_hash", F.col("at").cast("bigint").alias("start"), (F.col("at") + F.col("windows") - 1 + length).cast("bigint").alias("stop")
     )
-    suffixes = _send_suffixes(documents, met, length, parts).repartition(parts, "part")
+    suffixes = _send_suffixes(documents, met, length, parts).repartitionById(parts, F.col("part"))
     return copies.unionByName(stored(_suffix_ranges(suffixes, length, keep_first)))
 
 
