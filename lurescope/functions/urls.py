@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,7 +14,15 @@ from lurescope.contract import LURE_WORDS, PHISHING, SAFE, SHORTENERS, SUSPICIOU
 TRIM_PATTERN = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
 NETLOC_PATTERN = r"^https?://([^/?#]*)"
 DOTTED_QUAD = r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"
-BRACKETED_IP = r"\[(?:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\]]*)?|[vV][0-9A-Fa-f]+\.[^\]]+)\]"
+_GROUP = r"[0-9A-Fa-f]{1,4}"
+_QUAD = r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!\]|%)|(?=\]|%))){4}"
+# Eight groups, or up to seven around one ``::``; a dotted quad stands last and counts twice.
+_FULL = rf"(?:{_GROUP}:){{6}}(?:{_GROUP}:{_GROUP}|{_QUAD})"
+_SHORT = rf"(?!(?::*+[^:%\]]++){{8}})(?!(?::*+[^:%.\]]++){{6}}:*+[0-9]++\.)(?:{_GROUP}(?::{_GROUP})*)?::(?:(?:{_GROUP}:)*(?:{_GROUP}|{_QUAD}))?"
+BRACKETED_ADDRESS = rf"(?s)^[^\[]*\[(?:(?:{_FULL}|{_SHORT})(?:%[^%\]]+)?|[vV][0-9A-Fa-f]+\.[^\]]+)\]"
+
+#: Characters that compatibility normalisation turns into a delimiter of the authority part.
+DELIMITER_LIKE = "".join(chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and set("/?#@:") & set(unicodedata.normalize("NFKC", chr(c))))
 
 
 def trimmed(url: Column) -> Column:
@@ -32,9 +41,9 @@ def raw_netloc(u: Column) -> Column:
 
 
 def bad_brackets(netloc: Column) -> Column:
-    """True for an address literal that cannot be parsed."""
+    """True for an authority part that cannot be parsed: address literals, look-alikes of delimiters."""
     opens, closes = netloc.contains("["), netloc.contains("]")
-    return (opens != closes) | (opens & closes & ~netloc.rlike(BRACKETED_IP))
+    return (opens != closes) | (opens & closes & ~netloc.rlike(BRACKETED_ADDRESS)) | netloc.rlike(f"[{DELIMITER_LIKE}]")
 
 
 def host_and_port(netloc: Column) -> Column:

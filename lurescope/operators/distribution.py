@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lurescope.contract import PSI_BUCKETS
 from lurescope.functions.stats import ks_p_value, psi_term, with_rank_in_edges
@@ -19,11 +20,19 @@ MAX_CHUNKS = 1024
 SKETCH_ACCURACY = 10000
 
 
+def number(df: DataFrame, column: str) -> Column:
+    """The column as double; what is no number counts as missing."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.NumericType | T.BooleanType | T.StringType):
+        return F.col(f"`{column}`").try_cast("double").alias(column)
+    return F.lit(None).cast("double").alias(column)
+
+
 def both_sides(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
     """The two datasets under one schema, told apart by ``is_ref``."""
 
     def side(df: DataFrame, is_ref: bool) -> DataFrame:
-        return df.select(*[F.col(c).cast("double").alias(c) for c in columns], F.lit(is_ref).alias("is_ref"))
+        return df.select(*[number(df, c) for c in columns], F.lit(is_ref).alias("is_ref"))
 
     return side(reference, True).unionByName(side(current, False))
 
@@ -35,7 +44,7 @@ def value_counts(df: DataFrame, columns: list[str], copies: Column | None = None
     several equal ones.
     """
     n = F.lit(1) if copies is None else copies
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns], "is_ref", n.cast("bigint").alias("n"))
+    wide = df.select(*[number(df, c) for c in columns], "is_ref", n.cast("bigint").alias("n"))
     # ``stack`` rather than ``unpivot``: its copies in one plan stay equal to Spark, so
     # all readers of the counts share one scan and one shuffle.
     pairs = [part for c in columns for part in (F.lit(c), F.col(c))]

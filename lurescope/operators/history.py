@@ -40,8 +40,10 @@ def url_history(log: DataFrame, url: str, recent_limit: int = RECENT_SCANS) -> D
     return newest(log, recent_limit).where(F.col("url") == url)
 
 
-def history_summary(log: DataFrame, recent_limit: int | None = RECENT_SCANS) -> DataFrame:
-    """(url, previous_scans, past_verdicts): count and the five newest verdicts.
+def history_summary(log: DataFrame, recent_limit: int | None = None) -> DataFrame:
+    """(url, previous_scans, past_verdicts): count and the five newest verdicts, over the whole log.
+
+    ``recent_limit`` looks at that many newest scans of all URLs only, as the published single-URL lookup does.
 
     Counting combines map-side, and the rank filter lets every task drop all but five
     rows per URL before the shuffle, so a URL with a third of all scans stays cheap.
@@ -60,7 +62,7 @@ def history_summary(log: DataFrame, recent_limit: int | None = RECENT_SCANS) ->
     return counts.join(recent, "url")
 
 
-def with_history(urls: DataFrame, log: DataFrame, recent_limit: int | None = RECENT_SCANS) -> DataFrame:
+def with_history(urls: DataFrame, log: DataFrame, recent_limit: int | None = None) -> DataFrame:
     """Left join of the history summary; URLs without scans get 0 and an empty list."""
     summary = history_summary(log, recent_limit)
     if urls.isStreaming:

@@ -16,7 +16,7 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, variant, url): every page URL in fourteen spellings."""
+    """(page_id, variant, url): every page URL in nineteen spellings."""
     url = F.col("url")
     prefix, netloc, rest = (F.regexp_extract(url, p, 1) for p in (PREFIX, AUTHORITY, REST))
     forms: dict[str, Column] = {
@@ -33,6 +33,11 @@ def url_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         "spaces": F.concat(F.lit(" \t"), url, F.lit("\n ")),
         "bad_port": F.concat(prefix, netloc, F.lit(":99999"), rest),
         "bad_address": F.concat(prefix, F.lit("[::1"), rest),
+        "two_gaps": F.concat(prefix, F.lit("[1::2::3]"), rest),
+        "quad_colon": F.concat(prefix, F.lit("[1.2.3.4:]"), rest),
+        "mapped": F.concat(prefix, F.lit("[::ffff:1.2.3.4]:81"), rest),
+        "zone": F.concat(prefix, F.lit("[fe80::1%25eth-0]"), rest),
+        "look_alike": F.concat(prefix, F.lit("a\u2100"), netloc, rest),
         "blank": F.lit("   "),
     }
     pairs = [F.struct(F.lit(name).alias("variant"), form.alias("url")) for name, form in forms.items()]

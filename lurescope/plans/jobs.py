@@ -60,9 +60,10 @@ def run_training_job(
 
     verdict = quality.contract_verdict(splits)
     ok = verdict.first()["dataset_ok"]
+    # Routed before anything reads the values: rows of a broken dataset always reach ``invalid``.
+    kind = store.route_splits(splits, ok, root, run_id)
     report = drift.validation_drift(splits["train"], splits["test"])
     store.write_report(report, root, "validation_drift", run_id)
-    kind = store.route_splits(splits, ok, root, run_id)
     if not ok:
         raise ValueError(f"run {run_id}: the dataset breaks the column contract; rows are under {kind}/")
 

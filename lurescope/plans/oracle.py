@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lurescope.contract import FEATURES, LURE_WORDS, SHORTENERS
 from lurescope.functions import reports
-from lurescope.functions.urls import BRACKETED_IP, DOTTED_QUAD
+from lurescope.functions.urls import DOTTED_QUAD
 from lurescope.operators.transcript import CHAT_PREAMBLE, TURNS_PER_PART
 from lurescope.plans.inputs import CODES, MEASURES, RULES
 from lurescope.sources.catalog import MODEL_NAME
@@ -16,6 +16,25 @@ def text(value: str) -> str:
 
 # --- URL features -----------------------------------------------------------
 
+
+def _ipv6() -> str:
+    """Every shape of an IPv6 literal written out, one alternative per number of groups before ``::``."""
+    group = "[0-9A-Fa-f]{1,4}"
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    quad = f"{octet}\\.{octet}\\.{octet}\\.{octet}"
+    shapes = [f"(?:{group}:){{7}}{group}", f"(?:{group}:){{6}}{quad}"]
+    for before in range(8):
+        head = f"(?:{group}(?::{group}){{{before - 1}}})" if before else ""
+        room = 7 - before
+        tails = [""] + ([f"{group}(?::{group}){{0,{room - 1}}}"] if room else []) + ([f"(?:{group}:){{0,{room - 2}}}{quad}"] if room >= 2 else [])
+        shapes += [f"{head}::{t}" for t in tails]
+    return "^(?:" + "|".join(f"(?:{x})" for x in shapes) + ")(?:%[^%]+)?$"
+
+
+#: The literal between the first ``[`` and the next ``]``; characters that look like delimiters, by code point.
+LITERAL = "split_part(substring(raw, strpos(raw, '[') + 1), ']', 1)"
+LOOK_ALIKES = "".join(map(chr, (0x2047, 0x2048, 0x2049, 0x2100, 0x2101, 0x2105, 0x2106, 0x2A74, 0xFE13, 0xFE16, 0xFE55, 0xFE56, 0xFE5F, 0xFE6B, 0xFF03, 0xFF0F, 0xFF1A, 0xFF1F, 0xFF20)))
+
 VARIANTS = f"""
 parts AS (
   SELECT page_id, url, regexp_extract(url, '^(https?://)', 1) AS s,
@@ -36,6 +55,11 @@ variants AS (
   UNION ALL SELECT page_id, 'spaces', ' ' || chr(9) || url || chr(10) || ' ' FROM parts
   UNION ALL SELECT page_id, 'bad_port', s || n || ':99999' || r FROM parts
   UNION ALL SELECT page_id, 'bad_address', s || '[::1' || r FROM parts
+  UNION ALL SELECT page_id, 'two_gaps', s || '[1::2::3]' || r FROM parts
+  UNION ALL SELECT page_id, 'quad_colon', s || '[1.2.3.4:]' || r FROM parts
+  UNION ALL SELECT page_id, 'mapped', s || '[::ffff:1.2.3.4]:81' || r FROM parts
+  UNION ALL SELECT page_id, 'zone', s || '[fe80::1%25eth-0]' || r FROM parts
+  UNION ALL SELECT page_id, 'look_alike', s || 'a' || chr(8448) || n || r FROM parts
   UNION ALL SELECT page_id, 'blank', '   ' FROM parts)"""
 
 
@@ -80,7 +104,8 @@ p2 AS (
   SELECT *, regexp_extract(regexp_replace(u, '[\\t\\r\\n]', '', 'g'), '^https?://([^/?#]*)', 1) AS raw FROM p1),
 p3 AS (
   SELECT *, (contains(raw, '[') <> contains(raw, ']'))
-            OR (contains(raw, '[') AND contains(raw, ']') AND NOT regexp_matches(raw, {text(BRACKETED_IP)})) AS bad,
+            OR (contains(raw, '[') AND contains(raw, ']') AND NOT regexp_matches({LITERAL}, {text(_ipv6())})
+                AND NOT regexp_matches({LITERAL}, '(?s)^[vV][0-9A-Fa-f]+\\..+$')) OR regexp_matches(raw, '[{LOOK_ALIKES}]') AS bad,
          regexp_extract(raw, '(?s)([^@]*)$', 1) AS info FROM p2),
 p35 AS (
   SELECT *, CASE WHEN contains(info, '[') THEN regexp_extract(info, '(?s)^[^\\[]*\\[[^\\]]*\\][^:]*:(.*)$', 1)
@@ -285,8 +310,6 @@ summary AS (
   FROM ranked GROUP BY url)"""
 
 
-RECENT = "recent AS (SELECT * FROM scans ORDER BY created_at DESC, id DESC LIMIT 100)"
-
 
 def split(source: str, key: str) -> str:
     order = f"md5(CAST({key} AS VARCHAR) || '42'), {key}"
@@ -452,11 +475,11 @@ SELECT id, url, prediction, round(probability, 6) AS probability,
        CASE WHEN event_type <> 'error' THEN code END AS url_length_code, created_at
 FROM scans ORDER BY created_at DESC, id DESC LIMIT 50""",
     "history_for_url": f"""WITH {SCAN_LOG},
-busiest AS (SELECT url FROM scans GROUP BY url ORDER BY count(*) DESC, url LIMIT 1),
-newest AS (SELECT * FROM scans ORDER BY created_at DESC, id DESC LIMIT 1000)
+newest AS (SELECT * FROM scans ORDER BY created_at DESC, id DESC LIMIT 100),
+busiest AS (SELECT url FROM newest GROUP BY url ORDER BY count(*) DESC, url LIMIT 1)
 SELECT id, url, prediction, created_at FROM newest WHERE url = (SELECT url FROM busiest)""",
     "history_summary": f"WITH {SCAN_LOG},{history('scans')} SELECT url, previous_scans, past_verdicts FROM summary",
-    "history_enrich": f"""WITH {SCAN_LOG},{RECENT},{history('recent')},
+    "history_enrich": f"""WITH {SCAN_LOG},{history('scans')},
 users AS (SELECT c_custkey, 'http://site' || c_custkey || '.example.com/' AS url FROM customer)
 SELECT c_custkey, url, coalesce(previous_scans, 0) AS previous_scans, coalesce(past_verdicts, '') AS past_verdicts
 FROM users LEFT JOIN summary USING (url)""",
@@ -483,7 +506,7 @@ SELECT page_id, {text(reports.PROMPT_PREAMBLE)} || chr(10) || chr(10) || 'URL: '
 scans AS (
   SELECT lpad(CAST(page_id AS VARCHAR), 12, '0') || '-' || variant AS id, url,
          CASE WHEN variant = 'port' THEN 0 ELSE 1 END AS prediction, page_id AS created_at FROM variants),
-{RECENT},{history('recent')},{url_parts('pages', dns=True)},
+{history('scans')},{url_parts('pages', dns=True)},
 scored AS (
   SELECT page_id, url, round(CAST({HITS} AS DOUBLE) / ({HITS} + 3), 4) AS p_phishing,
          CAST({HITS} AS DOUBLE) / ({HITS} + 3) > 0.5 AS bad, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS dns_domain

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescope.contract import FEATURES, NEIGHBOURS
+from lurescope.contract import FEATURES, NEIGHBOURS, RECENT_SCANS
 from lurescope.functions import reports
 from lurescope.functions.stats import metric_tag
 from lurescope.operators import adaboost, classify, distribution, drift, gates, history, impute, metrics, quality, scale
@@ -350,8 +350,9 @@ def scan_history_topk(spark, sf_dir):
 @query
 def history_for_url(spark, sf_dir):
     log = inputs.scan_log(spark, sf_dir)
-    busiest = log.groupBy("url").count().orderBy(F.desc("count"), "url").select("url").first()["url"]
-    return history.url_history(log, busiest, 1000).select("id", "url", "prediction", "created_at")
+    recent = history.newest(log, RECENT_SCANS)
+    busiest = recent.groupBy("url").count().orderBy(F.desc("count"), "url").select("url").first()["url"]
+    return history.url_history(log, busiest).select("id", "url", "prediction", "created_at")
 
 
 def _summary_text(df: DataFrame) -> DataFrame:
@@ -578,11 +579,20 @@ def stream_feedback(spark, sf_dir):
 
 @query
 def stream_drift(spark, sf_dir):
-    """Daily counts of banded event values against purchases as the reference."""
+    """Daily counts of banded event values against purchases as the reference.
+
+    The events arrive as many files, newest first, one per micro-batch.
+    """
     root = shared_folder(spark, "stream-drift")
+    events = read_table(spark, sf_dir, "events")
+    span = events.agg(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last")).first()
+    quarter = F.floor(F.datediff(F.to_date("ts"), F.lit(span["first"])) * 4 / ((span["last"] - span["first"]).days + 1))
+    for k in (3, 2, 1, 0):
+        events.where(quarter == k).write.mode("append").parquet(f"{root}/arriving")
     band = F.when(F.col("value") > 100, -1).when(F.col("value") > 30, 0).otherwise(1)
     hour = F.hour("ts") % 3 - 1
-    stream = _stream(spark, sf_dir, "events").select("ts", band.alias("value_band"), hour.alias("hour_band"))
+    arriving = streams.read_stream(spark, f"{root}/arriving", events.schema, files_per_batch=1)
+    stream = arriving.select("ts", band.alias("value_band"), hour.alias("hour_band"))
     columns = ["value_band", "hour_band"]
     streams.drift_stream(stream, root, f"{root}/checkpoint", columns).awaitTermination()
     fixed = read_table(spark, sf_dir, "events").where("event_type = 'purchase'")

@@ -12,9 +12,6 @@ from lurescope.operators.drift import drift_report_from_counts
 from lurescope.plans.jobs import score_urls
 from lurescope.sources import logs
 
-WINDOW = "1 day"
-LATENESS = "1 day"
-
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
     """A file stream; naive timestamps become UTC instants, as watermarks need."""
@@ -68,11 +65,11 @@ def feedback_stream(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def windowed_counts(stream: DataFrame, columns: list[str], ts: str = "ts") -> DataFrame:
-    """(window, feature, value, n): state is one row per distinct code and day."""
+def daily_counts(rows: DataFrame, columns: list[str], ts: str = "ts") -> DataFrame:
+    """(day, feature, value, n) of a batch of rows."""
     values = [F.col(c).cast("double").alias(c) for c in columns]
-    long = stream.withWatermark(ts, LATENESS).select(ts, *values).unpivot([ts], columns, "feature", "value")
-    return long.groupBy(F.window(ts, WINDOW).alias("window"), "feature", "value").count().withColumnRenamed("count", "n")
+    long = rows.select(F.to_date(ts).alias("day"), *values).unpivot(["day"], columns, "feature", "value")
+    return long.groupBy("day", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def window_drift(reference_counts: DataFrame, window_counts: DataFrame, columns: list[str]) -> DataFrame:
@@ -95,24 +92,22 @@ def drift_stream(
     ts: str = "ts",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Store the running counts per day; the state of a day ends with the watermark.
+    """Count every micro-batch by day; days may come in any order and as late as they like.
 
-    Every batch stores the totals it changed, under its own partition. Totals only
-    grow, so the highest stored total of a group is the latest one.
+    There is no watermark and no state: a batch stores its own counts under its own partition,
+    so a repeated batch is stored once, and readers add the batches up.
     """
-    counts = windowed_counts(stream, columns or FEATURES, ts)
 
     def work(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select(F.to_date("window.start").alias("day"), "feature", "value", "n")
-        _replace(rows, f"{root}/window_counts", f"{epoch:012d}")
+        _replace(daily_counts(batch, columns or FEATURES, ts), f"{root}/window_counts", f"{epoch:012d}")
 
-    writer = counts.writeStream.outputMode("update").foreachBatch(work).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stored_counts(spark: SparkSession, root: str) -> DataFrame:
-    """(day, feature, value, n) as last counted."""
-    return spark.read.parquet(f"{root}/window_counts").groupBy("day", "feature", "value").agg(F.max("n").alias("n"))
+    """(day, feature, value, n) over all batches."""
+    return spark.read.parquet(f"{root}/window_counts").groupBy("day", "feature", "value").agg(F.sum("n").alias("n"))
 
 
 def stored_drift(
