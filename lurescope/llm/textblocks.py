@@ -12,8 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -71,18 +72,25 @@ class Words:
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a string column into blocks; a null is an empty text."""
+    """Cut a string column into blocks; a null is an empty text.
+
+    Only one block's texts are copied out of the column at a time.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    texts = [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+    def block(first: int, end: int) -> Block:
+        return _block([x or b"" for x in column.slice(first, end - first).cast(pa.binary()).to_pylist()], first)
+
     first, size = 0, 0
-    for i, x in enumerate(texts):
-        if i > first and size + len(x) > limit:
-            yield _block(texts[first:i], first)
+    for i, n in enumerate(sizes):
+        if i > first and size + n > limit:
+            yield block(first, i)
             first, size = i, 0
-        size += len(x)
-    if texts:
-        yield _block(texts[first:], first)
+        size += n
+    if sizes:
+        yield block(first, len(sizes))
 
 
 def _block(texts: list[bytes], first: int) -> Block:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lurescope.llm.linear import collect_sparse, labelled_sample, platt, sigmoid
-from lurescope.llm.textblocks import Block, blocks, mixed, ngrams, words
+from lurescope.llm.textblocks import _LOWER, Block, blocks, mixed, ngrams, words
 
 #: Bound of the labelled sample, per class.
 ROWS_PER_CLASS = 4_000
@@ -37,7 +37,7 @@ def toxicity_features(block: Block, bits: int = BITS) -> tuple[np.ndarray, np.nd
     long = w.end - w.start > PREFIX_BYTES
     start = w.start[long]
     packed = np.zeros(len(start), dtype=np.uint64)
-    lower = block.data | np.where((block.data >= 65) & (block.data <= 90), 32, 0).astype(np.uint8)
+    lower = _LOWER[block.data]
     for k in range(PREFIX_BYTES):
         packed = (packed << np.uint64(8)) | lower[start + k]
     grams = [(w.hash, w.text), (mixed(packed ^ np.uint64(0x5DEECE66D1234567)), w.text[long]), ngrams(w, (0, 1)), ngrams(w, (0, 2))]
@@ -140,5 +140,6 @@ def reject_toxic(documents: DataFrame, model: ToxicityModel) -> DataFrame:
         dense: list[np.ndarray] = []
         for batch in batches:
             yield batch.filter(pa.array(_scorer(shared.value, dense, batch.column("text"), batch.num_rows) < 0.5))
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
     return documents.mapInArrow(run, documents.schema)
