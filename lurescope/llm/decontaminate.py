@@ -4,10 +4,12 @@ Texts are cut into words (runs of letters, inner apostrophes allowed) and number
 by ``<num>``, a unit after a number by ``<unit>`` and capitalised words that do not begin a
 sentence by ``<name>``; other words are lower-cased. Windows of five tokens are hashed twice:
 as lower-cased words, and as a template where they hold a placeholder. The benchmark's windows
-are joined with the documents' by hash. A template match counts if the slots of
-its (document, item) pair are consistent: each value of the item stands for one value in the
-document and no two for the same, over all its windows. So re-parameterised
-questions are caught and chance matches of templates are not.
+are joined with the documents' by hash. Template matches count if their slots
+are consistent: each value of the item stands for one value in the
+document and no two for the same. So re-parameterised
+questions are caught and chance matches of templates are not. Slots are compared over all matches of a (document, item)
+pair; where these disagree, over the matches of one alignment (start in the document less start in the item, within
+a slack), and the best alignment counts. So a second variant, or a chance match elsewhere in a long text, hides nothing.
 
 A document is contaminated by an item if at least ``share`` of the item's windows are found in it.
 
@@ -22,10 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lurescope.session import stored
+
 WINDOW = 5
 SHARE = 0.8
 #: Largest number of benchmark windows that are broadcast; beyond it the join is a shuffle.
 BROADCAST_WINDOWS = 400_000
+#: Alignments up to this far apart are also judged together: a value may have more or fewer words than the item's.
+SLACKS = (0, 1, 2, 4, 8)
 
 TOKEN = r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[0-9]+(?:[.,][0-9]+)*|[.!?:\n]"
 # Unit words and signs looked for after a number.
@@ -93,28 +99,42 @@ def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, window: int =
     docs = _tokens(documents.where(F.col("text").isNotNull()), "doc_id", F.xxhash64("text"))
     docs = docs.withColumnsRenamed({"_0": "doc_id", "_1": "text_hash"})
     plain = docs.select("doc_id", "text_hash", F.explode(_plain_windows(window)).alias("hash"))
-    exact = plain.join(small(plain_items), "hash").select("doc_id", "text_hash", "item", "at", F.array().cast("array<string>").alias("pairs"))
+    exact = plain.join(small(plain_items), "hash").select("doc_id", "text_hash", "item", "at", F.lit(None).cast("int").alias("shift"), F.array().cast("array<string>").alias("pairs"))
     holders = docs.where(F.exists("tokens", lambda x: x["template"].startswith("<")))
-    templates = holders.select("doc_id", "text_hash", F.explode(_template_windows(window)).alias("w")).select("doc_id", "text_hash", "w.hash", "w.slots")
+    templates = holders.select("doc_id", "text_hash", F.explode(_template_windows(window)).alias("w")).select("doc_id", "text_hash", "w.hash", "w.slots", F.col("w.at").alias("start"))
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.concat_ws("\t", a, b))
-    alike = templates.join(small(template_items), "hash").select("doc_id", "text_hash", "item", "at", pairs.alias("pairs"))
+    alike = templates.join(small(template_items), "hash").select("doc_id", "text_hash", "item", "at", (F.col("start") - F.col("at")).cast("int").alias("shift"), pairs.alias("pairs"))
 
     key = ["doc_id", "text_hash", "item"]
-    found = exact.unionByName(alike).groupBy(*key, "at").agg(F.min(F.size("pairs")).alias("slots"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    hits = stored(exact.unionByName(alike).distinct())
+    found = hits.groupBy(*key, "at").agg(F.min(F.size("pairs")).alias("slots"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     gathered = found.groupBy(*key).agg(
         F.count("*").alias("n_all"),
         F.count(F.when(F.col("slots") == 0, 1)).alias("n_exact"),
         F.array_distinct(F.flatten(F.collect_set(F.when(F.col("slots") > 0, F.col("pairs"))))).alias("pairs"),
+        F.collect_set(F.when(F.col("slots") == 0, F.col("at"))).alias("exact_at"),
     )
     side = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: F.split(p, "\t")[k])))
     consistent = (side(0) == F.size("pairs")) & (side(1) == F.size("pairs"))
-    matched = F.when(consistent, F.col("n_all")).otherwise(F.col("n_exact"))
-    return (
-        gathered.withColumn("n_matched", matched)
-        .join(small(sizes), "item")
-        .where(F.col("n_matched") >= F.lit(share) * F.col("n_windows"))
-        .select("doc_id", "text_hash", "item_id", "n_windows", "n_matched")
+    enough = lambda n: n >= F.lit(share) * F.col("n_windows")
+    judged = stored(gathered.join(small(sizes), "item").where(enough(F.col("n_all"))).withColumn("consistent", consistent).drop("pairs"))
+
+    # Pairs whose matches disagree as a whole: every alignment by itself, beside the exact matches.
+    same = [F.col(f"h.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key]
+    unclear = judged.where(~F.col("consistent") & ~enough(F.col("n_exact")))
+    loose = hits.alias("h").join(unclear.alias("o"), same).where(F.col("shift").isNotNull() & ~F.array_contains("exact_at", F.col("at"))).select(*[f"h.{k}" for k in key], "at", "shift", "pairs")
+    spans = F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.lit(w)), lambda d, w=w: F.struct(F.lit(w).alias("slack"), (F.col("shift") - d).alias("from"))) for w in SLACKS]))
+    aligned = (
+        loose.withColumn("span", F.explode(spans))
+        .groupBy(*key, "span")
+        .agg(F.count_distinct("at").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        .where(consistent)
+        .groupBy(*[F.col(k).alias(f"_{k}") for k in key])
+        .agg(F.max("n").alias("n_aligned"))
     )
+    best = judged.join(aligned, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left")
+    matched = F.when(F.col("consistent"), F.col("n_all")).otherwise(F.col("n_exact") + F.coalesce("n_aligned", F.lit(0)))
+    return best.withColumn("n_matched", matched).where(enough(F.col("n_matched"))).select("doc_id", "text_hash", "item_id", "n_windows", "n_matched")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:

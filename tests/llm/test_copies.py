@@ -184,6 +184,20 @@ def test_templates_and_slots(spark):
     assert got == {(1, 0), (2, 0)}
 
 
+def test_variants_and_chance_hits_hide_no_copy(spark):
+    one = ITEM.replace("Anna", "Peter").replace("12", "40").replace("3 dollars", "7 euros").replace("5 of", "6 of")
+    two = ITEM.replace("Anna", "Maria").replace("12", "99").replace("3 dollars", "8 euros").replace("5 of", "2 of")
+    wide = one.replace("Peter", "Peter Paul").replace(" apples", " green apples")
+    filler = "Some words of another text stand here without a number. " * 200
+    chance = "They paid 70 euros each and then left. "
+    mixed = ITEM.replace("12 apples", "9 apples").replace("5 of", "9 of")
+    scattered = " ".join(filler + ITEM[a : a + 45].replace("12", "40").replace("3", str(a)) for a in range(0, len(ITEM), 30))
+    rows = [(1, f"Sheet. {one}? {two}?"), (2, filler + one + ". " + filler + chance), (None, f"Sheet. {one}? {two}?"), (3, f"{mixed}. {chance}"), (4, scattered), (5, f"{chance} {one}. {wide}.")]
+    items = spark.createDataFrame([(0, ITEM), (None, ITEM)], "item_id bigint, text string")
+    got = sorted((str(r.doc_id), str(r.item_id)) for r in decontaminate.contaminated_pairs(frame(spark, rows), items).collect())
+    assert got == sorted((str(d), str(i)) for d in (1, 2, 5, None) for i in (0, None))
+
+
 def test_decontamination_of_odd_rows(spark, odd, odd_rows, none):
     items = spark.createDataFrame([(0, odd_rows[0][1][:200], "own"), (None, "x", None), (5, None, None), (0, odd_rows[0][1][:200], "own")], "item_id bigint, text string, n string")
     kept = decontaminate.drop_contaminated(odd, items)
