@@ -8,10 +8,10 @@ a format: equal values get equal pseudonyms in every document, different ones di
 pseudonyms, and no table of values is kept.
 
 Kinds: payment card numbers (13 to 19 digits, Luhn; the check digit is made anew), US phone numbers (area and
-exchange stay 2 to 9 at the front), social security numbers (valid areas, groups and serials), IPv4
+exchange stay 2 to 9, or 0 and 1, at the front; 0 and 1 only where parentheses, +1, or equal dashes or dots mark the number), social security numbers (valid areas, groups and serials), IPv4
 addresses (first octet stays 1 to 223), dates (YYYY-MM-DD that exist from 1900 to 2099), IBANs (mod 97; check
 digits made anew), e-mail names, and secrets (access key ids, long hexadecimal
-strings). Numbers that fail the validation of every kind stay as they are.
+strings of one case). Numbers that fail the validation of every kind stay as they are.
 
 Defined cases: a null text stays null, an empty one empty. A text without a value is returned as it is. A pseudonym may by
 chance equal its value. Rows are handled one by one: repeated rows, null ids and extra columns
@@ -33,10 +33,14 @@ IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-PHONE = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+# Parentheses, +1 and equal dashes or dots mark a number whatever its digits; other groups begin with 2 to 9.
+MARKED = r"(?:\+?1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|\+1[ .-]?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
+PLAIN = r"(?:1[ .-]?)?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}"
+ALIKE = r"(?<![0-9][.-])(?:1[.-])?(?:[0-9]{3}-[0-9]{3}-|[0-9]{3}\.[0-9]{3}\.)[0-9]{4}(?![.-][0-9])"
+PHONE = rf"(?:{MARKED}|{PLAIN}|{ALIKE})(?![0-9])"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 KEY = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-HEX = r"(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,}(?![A-Za-z0-9])"
+HEX = r"(?:(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,}|(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{16,})(?![A-Za-z0-9])"
 # A value begins where no letter, digit or sign of a longer one stands before it.
 VALUE = rf"(?<![A-Za-z0-9._%+@-]){EMAIL}|(?<![0-9.]){IPV4}|(?<![A-Za-z0-9]){KEY}|(?<![A-Za-z0-9]){IBAN}|(?<![A-Za-z0-9]){HEX}|(?<![0-9-])(?:{DATE}|{SSN})|(?<![A-Za-z0-9]){PHONE}|(?<![0-9]){CARD}"
 
@@ -77,7 +81,7 @@ def _feistel(limbs: Column, moduli: Column, kind: str, key: str) -> Column:
 def _characters(value: Column, kind: str, key: str, fixed: Column | None = None, from_two: Column | None = None) -> Column:
     """Permute digits and letters (A to Z) within their class; other characters stay, as do the places in ``fixed``.
 
-    Places in ``from_two`` hold digits from 2 to 9.
+    Places in ``from_two`` keep digits from 2 to 9 apart from 0 and 1.
     """
 
     def of(c: Column, i: Column) -> Column:
@@ -86,7 +90,8 @@ def _characters(value: Column, kind: str, key: str, fixed: Column | None = None,
         as_class = lambda base, n: F.struct(F.lit(base).alias("base"), (code - base).cast("bigint").alias("limb"), F.lit(n).cast("bigint").alias("modulus"))
         classes = F.when(free & code.between(97, 122), as_class(97, 26)).when(free & code.between(65, 90), as_class(65, 26))
         if from_two is not None:
-            classes = classes.when(free & F.array_contains(from_two, i), as_class(50, 8))
+            lead = free & F.array_contains(from_two, i)
+            classes = classes.when(lead & (code < 50), as_class(48, 2)).when(lead, as_class(50, 8))
         classes = classes.when(free & code.between(48, 57), as_class(48, 10))
         return classes.otherwise(F.struct(code.alias("base"), F.lit(0).cast("bigint").alias("limb"), F.lit(1).cast("bigint").alias("modulus")))
 
@@ -120,8 +125,8 @@ def _phone(v: Column, key: str) -> Column:
         area = F.when(x["number"].startswith("("), 1).otherwise(0)
         return F.concat(x["prefix"], _characters(x["number"], "phone", key, from_two=F.array(area, F.length(x["number"]) - 8)))
 
-    prefix = F.regexp_extract(v, r"^(?:\+?1[ .-]?)?", 0)
-    return _let(F.struct(prefix.alias("prefix"), F.substring(v, F.length(prefix) + 1, F.length(v)).alias("number")), run)
+    number = F.regexp_extract(v, r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$", 0)
+    return _let(F.struct(F.substring(v, F.lit(1), F.length(v) - F.length(number)).alias("prefix"), number.alias("number")), run)
 
 
 def _numbers(v: Column, separator: str) -> Column:
@@ -172,13 +177,17 @@ def _iban(v: Column, key: str) -> Column:
         return F.concat(F.substring(v, 1, 2), F.lpad(check.cast("string"), 2, "0"), body)
 
     body = F.substring(v, F.lit(5), F.length(v))
-    return F.when(_mod97(F.concat(body, F.substring(v, 1, 4))) == 1, _let(_characters(body, "iban", key), checked))
+    # What only looks like an IBAN may hold hexadecimal secrets.
+    part = lambda x: F.when(x.rlike(f"^{HEX}$"), _hex(x, key)).otherwise(x)
+    secrets = F.when(v.rlike(f"(?:^| ){HEX}"), F.array_join(F.transform(F.split(v, " "), part), " "))
+    return F.when(_mod97(F.concat(body, F.substring(v, 1, 4))) == 1, _let(_characters(body, "iban", key), checked)).otherwise(secrets)
 
 
 def _hex(v: Column, key: str) -> Column:
-    limbs = F.transform(F.filter(F.split(v, ""), lambda c: c != ""), lambda c: (F.instr(F.lit(HEX_DIGITS), c) - 1).cast("bigint"))
+    limbs = F.transform(F.filter(F.split(F.lower(v), ""), lambda c: c != ""), lambda c: (F.instr(F.lit(HEX_DIGITS), c) - 1).cast("bigint"))
     text = lambda p: F.array_join(F.transform(p, lambda n: F.substring(F.lit(HEX_DIGITS), (n + 1).cast("int"), F.lit(1))), "")
-    return _let(_feistel(limbs, F.transform(limbs, lambda _: F.lit(16)), "hex", key), text)
+    new = _let(_feistel(limbs, F.transform(limbs, lambda _: F.lit(16)), "hex", key), text)
+    return F.when(v.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 
 def pseudonym(v: Column, key: str) -> Column:

@@ -174,6 +174,25 @@ def test_pseudonyms_are_a_permutation(spark):
     assert all(not x.startswith(("000", "666", "9")) and x[4:6] != "00" and x[7:] != "0000" for x in one[len(days) :])
 
 
+def test_no_planted_phone_or_secret_is_left(spark):
+    values = ["+1 (017) 555-7713", "(132) 555-1352", "(232) 055-1352", "1-017-555-7713", "132.555.1352", "+1 017 155 7713", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "AB12CDEF34567890"]
+    values += ["AB12CDEF34567890 9233A8ECF7C5B09F"]
+    kept = ["100 200 3000", "12-017-555-7713-99"]
+    rows = [(k, f"see {v}, then") for k, v in enumerate(values + kept)]
+    got = [r.text[4:-6] for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").orderBy("doc_id").collect()]
+    form = lambda v: re.sub("[0-9A-F]", "0", v)
+    assert all(a != b and form(a) == form(b) for a, b in zip(values, got, strict=False)) and got[len(values) :] == kept
+    assert all(not set(a.split()) & set(b.split()) - {"+1"} for a, b in zip(values, got, strict=False))
+    leads = [f"({a}1{b}) {c}55-0{d}00" for a in "0123" for b in "09" for c in "019" for d in "12"]
+    new = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(leads)), "doc_id bigint, text string"), "k").collect()]
+    assert len(set(new)) == len(leads)
+    loose = re.compile(r"\(\d{3}\) ?\d{3}-\d{4}|\b(?=[0-9]*[A-F])[0-9A-F]{16,}\b")
+    docs = spark.read.parquet(f"{FULL}/documents.parquet").where("text IS NOT NULL")
+    before = {r.doc_id: loose.findall(r.text) for r in docs.collect()}
+    after = pseudonyms.pseudonymise(docs.where(F.col("doc_id").isin([k for k, v in before.items() if v])), "k")
+    assert not [r.doc_id for r in after.collect() if set(before[r.doc_id]) & set(loose.findall(r.text))]
+
+
 def test_pseudonyms_of_odd_rows(spark, odd, odd_rows, none):
     got = pseudonyms.pseudonymise(odd, "k")
     assert set(got.columns) == set(odd.columns) and got.count() == len(odd_rows)
