@@ -3,9 +3,11 @@
 A page becomes a tree of its block elements. Every paragraph-like block gives points for its length and
 its commas to its parent, half of them to the grandparent and a falling share further up; a
 container's points are discounted by its link density. The best container is kept together
-with those of its siblings that score near it or are headings or running text. Navigation,
+with those of its siblings that score near it or are headings or running text; inside an article or main
+element all of that element is kept. Navigation,
 headers, footers, side columns, notices, adverts, forms, scripts, styles and reader comments go by
-element, role or class, link lists by their density.
+element, role or class, link lists by their density. A class drops no element around the main element, nor one named
+after layout around most of the running text or of the articles' text; if nothing is left, classes are not looked at.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by one line feed. Nothing is cut or capped.
@@ -48,14 +50,21 @@ _BAD = re.compile(
     r"nav|navbar|navigation|breadcrumbs?|pager|pagination|footer|foot|header|masthead|toolbar|topbar|related|recommended|recommendations|widget|widgets|skip|hidden|search|login|toc)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Words of ``_BAD`` that also name layout or a part of an article; the others name what is no part of it.
+_LAYOUT = re.compile(r"(?:^|[\s_-])(?:banner|notice|notices|alert|popup|modal|overlay|sidebar|side|rail|menu|menus|nav|navbar|navigation|header|masthead|toolbar|topbar|footer|foot|search|toc|hidden|skip|widget|widgets)(?=$|[\s_-])", re.IGNORECASE)
+#: Of these, words that an article's own parts carry: ``article-header`` stays, ``main-nav`` does not.
+_OWN = re.compile(r"(?:^|[\s_-])(?:banner|notice|notices|alert|side|header|masthead|search|toc)(?=$|[\s_-])", re.IGNORECASE)
+_MODIFIER = re.compile(r"(?:has|with|without|no|is|not)[_-]", re.IGNORECASE)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|main|content|body|post|entry|story|text|page)(?=$|[\s_-])", re.IGNORECASE)
 
 
 class _Node:
-    __slots__ = ("children", "dropped", "good", "length", "links", "linked", "parent", "score", "tag")
+    __slots__ = ("by_class", "children", "dropped", "good", "length", "links", "linked", "parent", "score", "tag", "whole")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool, good: bool):
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, good: bool, whole: str = "", by_class: str = ""):
         self.tag, self.parent, self.dropped, self.good = tag, parent, dropped, good
+        self.whole = whole  # "article" or "main", by element or role
+        self.by_class = by_class  # "layout" or "other", where its names ask to drop it
         self.children: list[_Node | str] = []  # blocks of text and block elements, in page order
         self.score = 0.0
         self.length = self.linked = self.links = 0
@@ -74,9 +83,24 @@ def _is_dropped(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.IGNORECASE):
         return True
-    if tag == "header":
-        return True
-    return bool(_BAD.search(attributes.get("class", "")) or _BAD.search(attributes.get("id", "")))
+    return tag == "header"
+
+
+def _named(tag: str, attributes: dict[str, str]) -> str:
+    """"layout" or "other" if class or id ask to drop the element, by the kind of their words."""
+    kind = ""
+    if tag in NEVER_DROPPED or attributes.get("role", "").lower() in ("main", "article"):
+        return kind
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = [w for w in _BAD.findall(name) if w]
+        if not words or _MODIFIER.match(name):
+            continue
+        if _GOOD.search(name) and all(_OWN.search(w) for w in words):
+            continue
+        if not all(_LAYOUT.search(w) for w in words):
+            return "other"
+        kind = "layout"
+    return kind
 
 
 def parse(page: str) -> _Node:
@@ -147,7 +171,7 @@ def parse(page: str) -> _Node:
             continue
         if tag in INLINE:
             attributes = {} if end else _attributes(m[3])
-            if not attributes or not _is_dropped(tag, attributes):
+            if not attributes or not (_is_dropped(tag, attributes) or _named(tag, attributes)):
                 continue
         if end:
             opened = find({tag}, {"html"} if tag not in ("li", "p") else SCOPES - {tag})
@@ -162,14 +186,41 @@ def parse(page: str) -> _Node:
             continue
         attributes = _attributes(m[3])
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        good = tag in ("article", "main") or attributes.get("role") in ("main", "article") or bool(_GOOD.search(names))
-        node = _Node(tag, node, node.dropped or _is_dropped(tag, attributes), good)
+        role = attributes.get("role", "").lower()
+        whole = tag if tag in ("article", "main") else role if role in ("article", "main") else ""
+        node = _Node(tag, node, node.dropped or _is_dropped(tag, attributes), bool(whole or _GOOD.search(names)), whole, _named(tag, attributes))
     tail = page[at:]
     text(tail if not re.match(r"<[/a-zA-Z!?]", tail) else "")
     flush()
     return root
 
 
+def _drop_by_class(root: _Node) -> bool:
+    """Mark what class and id drop, with all inside; false if they drop nothing."""
+    nodes = _ordered(root)
+    running, articles, mains = {}, {}, set()
+    for n in reversed(nodes):  # children before parents
+        running[n] = running.get(n, 0) + max(0, n.length - n.linked)
+        if n.whole:
+            articles[n] = running[n]
+        if n.whole == "main":
+            mains.add(n)
+        if n.parent is not None:
+            running[n.parent] = running.get(n.parent, 0) + running[n]
+            articles[n.parent] = articles.get(n.parent, 0) + articles.get(n, 0)
+            if n in mains:
+                mains.add(n.parent)
+    marked = False
+    for n in nodes:  # parents first
+        if n.parent is not None and n.parent.dropped:
+            n.dropped = True
+        elif n.by_class and n not in mains:
+            most = 2 * running[n] > running[root] if not articles.get(root) else 2 * articles.get(n, 0) > articles[root]
+            n.dropped = not (n.by_class == "layout" and most)
+            marked = marked or n.dropped
+    return marked
+
+
 def _ordered(root: _Node) -> list[_Node]:
     """Kept nodes, parents first."""
     found, todo = [], [root]
@@ -221,17 +272,55 @@ def _blocks(top: _Node, out: list[str]) -> None:
             todo.extend(reversed(x.children))
 
 
+def _around(best: _Node) -> _Node | None:
+    """The article that ``best`` lies in, or else the main element."""
+    above, up = [], best.parent
+    while up is not None:
+        if up.whole:
+            above.append(up)
+        up = up.parent
+    if best.whole == "article":
+        return next((n for n in above if n.whole == "main"), None)
+    return next((n for n in above if n.whole == "article"), above[0] if above else None)
+
+
+def _all_of(around: _Node, best: _Node) -> list[_Node | str]:
+    """Everything in ``around`` that is not dropped; beside the way to ``best``, elements of few links only."""
+    way, n = set(), best
+    while n is not around:
+        way.add(n)
+        n = n.parent
+    kept: list[_Node | str] = []
+    todo: list[_Node | str] = list(reversed(around.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or x is best:
+            kept.append(x)
+        elif x in way:
+            todo.extend(reversed(x.children))
+        elif not x.dropped and x.length and x.linked < 0.5 * x.length and not _link_list(x):
+            kept.append(x)
+    return kept
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    marked = _drop_by_class(root)
     nodes = [n for n in _score(root) if n.length]
+    if not nodes and marked:
+        root = parse(page)
+        nodes = [n for n in _score(root) if n.length]
     if not nodes:
         return ""
     holders = [n for n in nodes if n is root or n.tag in ("div", "section", "article", "main", "body", "td", "blockquote", "center", "tr", "tbody", "table", "ul", "ol", "dl", "details")]
     best = max(holders, key=lambda n: n.score) if holders else root
-    kept = [best]
-    if best.parent is not None:
+    kept: list[_Node | str] = [best]
+    around = _around(best)
+    if around is not None:
+        kept = _all_of(around, best)
+    elif best.parent is not None:
         least = max(5.0, 0.2 * best.score)
         kept = []
         for n in best.parent.children:

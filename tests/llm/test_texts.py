@@ -110,6 +110,23 @@ def test_main_text():
     assert maintext.main_text(deep) == "deep, down"
 
 
+def test_class_names_and_scores_drop_no_article():
+    text = "The first paragraph, with commas, is long enough to count as running text."
+    body = f"<h1>T</h1><p>{text}</p><p>{text}</p>"
+    want = f"T\n{text}\n{text}"
+    for wrap in ("class='page has-sidebar'", "id='wrap' class='nav-open'", "class='content-sidebar-wrap'", "id=search", "class=sidebar"):
+        assert maintext.main_text(f"<body><div {wrap}><article>{body}</article></div><div class=footer><p>Imprint, terms</p></div>") == want
+        assert maintext.main_text(f"<body><div {wrap}><div>{body}</div></div>") == want
+    assert maintext.main_text(f"<article><div class='article-header'><h1>T</h1></div><p>{text}</p><p>{text}</p></article>") == want
+    assert maintext.main_text(f"<div class=comments><p>{text}</p></div>") == text
+    comments = "<div id=comments>" + f"<article><p>{text} Nice!</p></article>" * 9 + "</div>"
+    assert maintext.main_text(f"<body><article>{body}</article>{comments}") == want
+    assert maintext.main_text(f"<body><div class=main-nav><p>Home, start, all</p></div><article>{body}</article>") == want
+    long = "<p>" + "word, word, and more words, " * 14 + "end.</p>"
+    page = f"<body><article><h1>T</h1><section>{long * 10}</section><section><p>A short section.</p></section><div>Loose end</div><ul><li>one</li></ul></article>"
+    assert maintext.main_text(page).split("\n")[:1] + maintext.main_text(page).split("\n")[-3:] == ["T", "A short section.", "Loose end", "one"]
+
+
 def test_main_text_query(spark, none):
     got = {r.page_id: r for r in queries.op5_maintext(spark, FULL).collect()}
     pages = spark.read.parquet(f"{FULL}/pages.parquet").collect()
