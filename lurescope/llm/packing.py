@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -34,31 +35,46 @@ from lurescope.session import stored
 
 CAPACITY = 2048
 CLOSING_ID = 0
+LONG_RUN = 50_000
+_BLANKS = re.compile(r"\s+")
 
 
 class DocumentEncoder:
     """Ids of whole texts, without special tokens.
 
     ``ranks_path`` holds the vocabulary of ``byte_bpe_50k.json`` as ranks: the same ids (a test
-    compares them) for a quarter of the time.
+    compares them) for a quarter of the time. Texts with a run of ``LONG_RUN`` white spaces, where
+    ``tiktoken`` runs out of stack, go to ``tokenizers`` with ``vocabulary_path``, the file itself.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, vocabulary_path: str | None = None):
         import tiktoken
 
+        self.vocabulary_path, self.whole = vocabulary_path, None
+
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str | None) -> np.ndarray:
+        if text and self.vocabulary_path and len(text) >= LONG_RUN and any(len(m[0]) >= LONG_RUN for m in _BLANKS.finditer(text)):
+            return np.array(self._tokenizer().encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(self.encoding.encode_ordinary(text), dtype="<u4") if text else np.zeros(0, dtype="<u4")
 
+    def _tokenizer(self):
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.vocabulary_path)
+            self.whole.encode_special_tokens = True  # as in the ranks: a marker in a text is text
+        return self.whole
+
 
 def public_encoder() -> DocumentEncoder:
     """The public byte-level vocabulary, where the installed package has it on this machine."""
     import public_tokenizers
 
-    return DocumentEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return DocumentEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:

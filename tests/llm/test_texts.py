@@ -36,6 +36,12 @@ def test_ids_equal_the_tokenizers(spark):
     assert [encode(t).tolist() for t in texts] == reference_ids(texts)
 
 
+def test_ids_of_very_long_runs(spark):
+    texts = [" " * 1_000_000, "a  b" + "\n" * 1_000_000 + "x", "q" + " \t" * 400_000, "a\n" + " " * 60_000 + "<|endoftext|> z", "b" * 300_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    check_pieces(packing.pack_documents(docs).toPandas(), list(enumerate(texts)), 2048)
+
+
 @pytest.mark.parametrize("capacity", [5, 64, 2048])
 def test_plan_places_every_piece(capacity):
     rng = np.random.default_rng(capacity)
