@@ -72,11 +72,11 @@ def _whole(hashes: np.ndarray) -> np.uint64:
 
 
 def _sets(documents: DataFrame, size: int, with_tokens: bool) -> DataFrame:
-    """``doc_id, n, node`` per row (node 0 for an empty set), and the packed tokens if asked for."""
+    """``doc_id, text_hash, n, node`` per row (node 0 for an empty set), and the packed tokens if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, texts = batch.column("doc_id"), batch.column("text_hash")
             for block in blocks(batch.column("text")):
                 hashes, text = shingle_sets(block, size)
                 cut = np.searchsorted(text, np.arange(block.count + 1))
@@ -87,13 +87,13 @@ def _sets(documents: DataFrame, size: int, with_tokens: bool) -> DataFrame:
                     # Two sums of the set's hashes, mixed differently, and its size name the set.
                     one, two = (np.add.reduceat(mixed(hashes ^ np.uint64(k)), cut[full]) for k in (0x1234567, 0x7654321))
                     node[full] = mixed(mixed(one) + np.uint64(3) * two + n[full].astype(np.uint64)) | np.uint64(1)
-                columns = [ids.slice(block.first, block.count), pa.array(n.astype(np.int64)), pa.array(node.view(np.int64))]
+                columns = [ids.slice(block.first, block.count), texts.slice(block.first, block.count), pa.array(n.astype(np.int64)), pa.array(node.view(np.int64))]
                 if with_tokens:
                     columns.append(pa.array([hashes[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
-                yield pa.record_batch(columns, ["doc_id", "n", "node", *["tokens"] * with_tokens])
+                yield pa.record_batch(columns, ["doc_id", "text_hash", "n", "node", *["tokens"] * with_tokens])
 
-    schema = "doc_id bigint, n bigint, node bigint" + ", tokens binary" * with_tokens
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    schema = "doc_id bigint, text_hash bigint, n bigint, node bigint" + ", tokens binary" * with_tokens
+    return documents.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def _packed(keys: np.ndarray, columns: dict[str, np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
@@ -327,8 +327,8 @@ def links(vectors: DataFrame, percent: int) -> DataFrame:
     return first.unionByName(_verified(stored(rest), vectors, percent))
 
 
-def similar_documents(documents: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, node, component_id`` per document; component_id is the least id reachable by links."""
+def _linked_nodes(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored ``doc_id, text_hash, n, node`` per row; ``node, least_id`` of every node; ``node, component`` of the linked ones."""
     spark = documents.sparkSession
     # Each part is a partition of its own (by id, not by a hash of it), twice the usual number: a task sorts its part in memory.
     parts = min(65_536, 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -342,7 +342,12 @@ def similar_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     sent = _send_tokens(nodes.select("node", "n", "tokens"), parts).repartitionById(parts, F.col("part"))
     returned = _shared_tokens(sent, parts).repartitionById(parts, F.col("part"))
     vectors = stored(_survivors(returned, percent))
-    joined = components(links(vectors, percent))
+    return base, classes, components(links(vectors, percent))
+
+
+def similar_documents(documents: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """``doc_id, n_shingles, node, component_id`` per document; component_id is the least id reachable by links."""
+    base, classes, joined = _linked_nodes(documents, size, percent)
     least = joined.join(classes.select("node", "least_id"), "node")
     of_component = least.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = joined.join(of_component, "component").select("node", "component_id")
@@ -351,10 +356,15 @@ def similar_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
 
 
 def keep_one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the first of their component, or linked with nothing; with their own columns.
+    """One document of every component, the one with the least id, and those linked with nothing; with their own columns.
 
-    Rows alike in id and text stay together.
+    Only rows alike in id and text stay together. Null ids come last; the node and the text's hash settle ties.
     """
-    found = similar_documents(documents, size, percent).where("component_id <> doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    base, _, joined = _linked_nodes(documents, size, percent)
+    rows = base.where("n > 0").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = rows.select("component", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node", "text_hash").alias("row"))
+    first = rows.groupBy("component").agg(F.min("row").alias("first"), F.max("row").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("component", "first")
+    later = rows.join(first, "component").where(~F.col("row").eqNullSafe(F.col("first")))
+    gone = later.select(F.col("row.doc_id").alias("_gone"), F.col("row.text_hash").alias("_hash")).distinct()
+    match = F.col("doc.doc_id").cast("bigint").eqNullSafe(F.col("bad._gone")) & (F.xxhash64("doc.text") == F.col("bad._hash"))
+    return documents.alias("doc").join(gone.alias("bad"), match, "left_anti")

@@ -126,6 +126,17 @@ def test_jaccard_join_of_odd_rows(spark, odd, odd_rows, none):
     assert jaccardjoin.similar_documents(none).count() == 0
 
 
+def test_one_of_each_group_stays(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    third = " ".join(f"u{k}" for k in range(60))
+    clean, lone = "A clean text with a null id and words of its own.", "Another text of a repeated id, alike to nothing."
+    rows = [(1, base), (None, base + " end"), (None, clean), (2, base + " more"), (2, lone), (None, other), (None, other + " end"), (3, third), (3, third + " end"), (3, third.upper()), (4, ""), (None, None)]
+    kept = [(r.doc_id, r.text) for r in jaccardjoin.keep_one_of_each(frame(spark, rows)).collect()]
+    assert {(1, base), (None, clean), (2, lone), (4, ""), (None, None)} <= set(kept) and len(kept) == 7
+    assert sum(d is None and (t or "").startswith("v0") for d, t in kept) == 1 and sum(d == 3 for d, _ in kept) == 1
+
+
 def test_components(spark):
     r = random.Random(5)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 470)] + [(7, 7)]
