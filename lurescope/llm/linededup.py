@@ -8,8 +8,9 @@ Winnowing: from every line a window reaches as far as it needs for ``min_words``
 and backwards. The smallest line hash of a window is its fingerprint, so two copies of a run
 share theirs. Fingerprints found at one position only end the search for their windows;
 those left are joined on the hash of all their lines. Forward windows settle a run up to its last
-``min_words`` words and backward windows the rest: the match is extended both ways
-to the run's ends. Every window is compared with its first place only, so
+``min_words`` words and backward windows the rest. No match is extended from fingerprint positions: hashes of whole
+windows replace that step, since every line of a repeated run is in a repeated window, and extension
+would need a row per pair of places. Every window is compared with its first place only, so
 a run that fills a third of all rows costs one row per copy.
 
 Defined cases: a null text stays null with no lines; an empty text stays. Rows alike in id
