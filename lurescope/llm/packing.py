@@ -40,34 +40,32 @@ _BLANKS = re.compile(r"\s+")
 
 
 class DocumentEncoder:
-    """Ids of whole texts, without special tokens.
+    """Ids of whole texts, without special tokens at the ends.
 
-    ``ranks_path`` holds the vocabulary of ``byte_bpe_50k.json`` as ranks: the same ids (a test
-    compares them) for a quarter of the time. Texts with a run of ``LONG_RUN`` white spaces, where
-    ``tiktoken`` runs out of stack, go to ``tokenizers`` with ``vocabulary_path``, the file itself.
+    The ids are those that ``tokenizers`` gives with ``vocabulary_path`` and its default settings: the string of an
+    added token inside a text is that token. ``ranks_path`` holds the same vocabulary as ranks, which give the same ids
+    (a test compares them) for a quarter of the time; texts that hold an added token's string, or a run of
+    ``LONG_RUN`` white spaces, where ``tiktoken`` runs out of stack, go to ``tokenizers`` itself.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, vocabulary_path: str | None = None):
+    def __init__(self, ranks_path: str, pattern: str, vocabulary_path: str):
         import tiktoken
-
-        self.vocabulary_path, self.whole = vocabulary_path, None
+        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = Tokenizer.from_file(vocabulary_path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def ids(self, text: str | None) -> np.ndarray:
-        if text and self.vocabulary_path and len(text) >= LONG_RUN and any(len(m[0]) >= LONG_RUN for m in _BLANKS.finditer(text)):
-            return np.array(self._tokenizer().encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4") if text else np.zeros(0, dtype="<u4")
-
-    def _tokenizer(self):
-        if self.whole is None:
-            from tokenizers import Tokenizer
-
-            self.whole = Tokenizer.from_file(self.vocabulary_path)
-            self.whole.encode_special_tokens = True  # as in the ranks: a marker in a text is text
-        return self.whole
+        if not text:
+            return np.zeros(0, dtype="<u4")
+        odd = any(a in text for a in self.added) or (
+            len(text) >= LONG_RUN and any(len(m[0]) >= LONG_RUN for m in _BLANKS.finditer(text))
+        )
+        ids = self.whole.encode(text, add_special_tokens=False).ids if odd else self.encoding.encode_ordinary(text)
+        return np.array(ids, dtype="<u4")
 
 
 def public_encoder() -> DocumentEncoder:
