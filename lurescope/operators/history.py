@@ -10,6 +10,7 @@ from lurescope.functions.reports import history_verdict
 from lurescope.operators.features import features_from_json
 from lurescope.plans.skew import salted_left_join
 
+
 def _newest_first() -> list:
     return [F.col("created_at").desc(), F.col("id").desc()]
 
@@ -40,10 +41,11 @@ def url_history(log: DataFrame, url: str, recent_limit: int = RECENT_SCANS) -> D
     return newest(log, recent_limit).where(F.col("url") == url)
 
 
-def history_summary(log: DataFrame, recent_limit: int | None = None) -> DataFrame:
-    """(url, previous_scans, past_verdicts): count and the five newest verdicts, over the whole log.
+def history_summary(log: DataFrame, recent_limit: int | None = RECENT_SCANS) -> DataFrame:
+    """(url, previous_scans, past_verdicts): count and the five newest verdicts.
 
-    ``recent_limit`` looks at that many newest scans of all URLs only, as the published single-URL lookup does.
+    As in the published lookup, only the ``recent_limit`` newest scans of all URLs are looked at;
+    None looks at the whole log, which is what a table of URLs wants.
 
     Counting combines map-side, and the rank filter lets every task drop all but five
     rows per URL before the shuffle, so a URL with a third of all scans stays cheap.
@@ -62,7 +64,7 @@ def history_summary(log: DataFrame, recent_limit: int | None = None) -> DataFram
     return counts.join(recent, "url")
 
 
-def with_history(urls: DataFrame, log: DataFrame, recent_limit: int | None = None) -> DataFrame:
+def with_history(urls: DataFrame, log: DataFrame, recent_limit: int | None = RECENT_SCANS) -> DataFrame:
     """Left join of the history summary; URLs without scans get 0 and an empty list."""
     summary = history_summary(log, recent_limit)
     if urls.isStreaming:

@@ -165,5 +165,5 @@ def investigate_urls(
     if dns is not None:
         rows = lookup_dns(rows, dns)
     if scans is not None:
-        rows = with_history(rows, scans)
+        rows = with_history(rows, scans, None)
     return investigation(rows, error=error)

@@ -371,7 +371,7 @@ def history_enrich(spark, sf_dir):
         "c_custkey",
         F.concat(F.lit("http://site"), F.col("c_custkey").cast("string"), F.lit(".example.com/")).alias("url"),
     )
-    return _summary_text(history.with_history(users, log))
+    return _summary_text(history.with_history(users, log, None))
 
 
 @query
