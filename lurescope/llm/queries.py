@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescope.llm import decontaminate, jaccardjoin, langid, linear, linededup, maintext, packing, pseudonyms, quality, substrings, toxicity
+from lurescope.llm import bytepairs, decontaminate, jaccardjoin, langid, linear, linededup, maintext, packing, pseudonyms, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", linear.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op13_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_linededup": op8_linededup,
     "op9_jaccardjoin": op9_jaccardjoin,
     "op10_toxicity": op10_toxicity,
+    "op13_bytepairs": op13_bytepairs,
 }
 
 SQL: dict[str, str] = {
