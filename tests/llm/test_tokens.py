@@ -4,14 +4,17 @@ import base64
 import hashlib
 import random
 import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 import regex
+import sentencepiece
 import tiktoken
+from tokenizers import Tokenizer
 
-from lurescope.llm import bytepairs, queries, spacechunks
+from lurescope.llm import alignment, bytepairs, queries, spacechunks
 
 FULL = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -137,3 +140,111 @@ def test_encoding_of_odd_rows(spark, odd, odd_rows, none, library):
     assert got == expected_digests([r[:2] for r in odd_rows], library)
     carried = bytepairs.decode_ids(bytepairs.encode_texts(odd))
     assert carried.columns == [*odd.columns, "ids", "decoded"] and carried.count() == len(odd_rows)
+
+
+# --- alignment --------------------------------------------------------------
+
+
+def byte_letters():
+    """The same table from the vocabulary itself: single-byte tokens are the first 256 ids of its rank file."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return {a.id_to_token(i): ranks[i] for i in range(50256)}
+
+
+def plain_alignment(rows):
+    """Whole texts by both libraries, ends from decoded bytes alone, all overlapping pairs."""
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    letters = byte_letters()
+    found, held = [], Counter()
+    for doc_id, text in rows:
+        raw = (" " + (text or "")).encode()
+        a_ids, b_ids = a.encode(raw.decode(), add_special_tokens=False).ids, b.encode(text or "")
+        a_bytes = [letters[a.id_to_token(i)] for i in a_ids]
+        pieces = [b.id_to_piece(i) for i in b_ids]
+        b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in zip(b_ids, pieces, strict=True)]
+        if not text or b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+            found.append((doc_id, [], [], [], []))
+            continue
+        a_ends, b_ends = np.cumsum([len(x) for x in a_bytes]).tolist(), np.cumsum([len(x) for x in b_bytes]).tolist()
+        links, i, j = [], 0, 0
+        for i in range(len(a_ids)):
+            start = a_ends[i - 1] if i else 0
+            while j and b_ends[j - 1] > start:
+                j -= 1
+            while j < len(b_ids) and (b_ends[j - 1] if j else 0) < a_ends[i]:
+                if b_ends[j] > start:
+                    links.append((a_ids[i], b_ids[j]))
+                j += 1
+            j = min(j, len(b_ids) - 1)
+        cuts = sorted(set(a_ends) & set(b_ends))
+        held.update(set(links))
+        groups, x, y = [], 0, 0
+        for cut in cuts:
+            p, q = a_ends.index(cut, x) + 1, b_ends.index(cut, y) + 1
+            groups.append(",".join(map(str, a_ids[x:p])) + "|" + ",".join(map(str, b_ids[y:q])))
+            x, y = p, q
+        found.append((doc_id, a_ids, b_ids, groups, links))
+    highest = defaultdict(int)
+    for (x, _), n in held.items():
+        highest[x] = max(highest[x], n)
+    out = []
+    for doc_id, a_ids, b_ids, groups, links in found:
+        best = sum(held[p] == highest[p[0]] for p in links)
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if a_ids else ""
+        out.append((doc_id, len(a_ids), len(b_ids), len(groups), len(links), best, sum(held[p] for p in links), digest))
+    return sorted(out, key=repr)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_op12_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FULL}/documents.parquet").collect()]
+    got = queries.QUERIES["op12_alignment"](spark, FULL)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert rows_of(got) == plain_alignment(rows)
+
+
+@pytest.mark.parametrize("shared", [0, 40, alignment.SHARED])
+def test_alignment_of_odd_rows(spark, odd, odd_rows, none, shared):
+    assert alignment.alignment_digests(none, shared_limit=shared).count() == 0
+    assert rows_of(alignment.alignment_digests(odd, shared_limit=shared)) == plain_alignment([r[:2] for r in odd_rows])
+    rng = random.Random(shared)
+    alphabet = ["a", "b", "  ", " ", "\n", "\u6f22", "\U0001f600", "\u00e9", "the", "ing", "<s>", "\t", "\u3000", "'s", "1"]
+    rows = list(enumerate([*ODD_TEXTS, *("".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(150))]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert rows_of(alignment.alignment_digests(df, shared_limit=shared)) == plain_alignment(rows)
+
+
+def test_spans_cover_the_text(spark):
+    rows = list(enumerate(["caf\u00e9 \u6f22\u5b57 \U0001f469 x", None, "\u2581x"]))
+    found = alignment.align_tokens(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    raw = b" " + rows[0][1].encode()
+    for side in ("a", "b"):
+        lengths = np.frombuffer(found[0][f"{side}_lengths"], "<u4")
+        assert lengths.sum() == len(raw) and len(lengths) == found[0][f"n_{side}"] and (lengths > 0).all()
+        assert all(not found[k][f"{side}_ids"] and found[k]["groups_sha256"] == "" for k in (1, 2))
+
+
+def test_whole_texts_where_pieces_cross_spaces(spark):
+    both = alignment.public_tokenizers_pair()
+    assert both.b_begins_at_spaces
+    both.b_begins_at_spaces = False
+    texts = ["one two three", " lead", "x"]
+    whole = [x[0] for x in alignment._Aligner(both).texts(texts)]
+    both.b_begins_at_spaces = True
+    parts = list(alignment._Aligner(both).texts(texts))
+    assert [x.a_ids for x in whole] == [b"".join(y.a_ids for y in p) for p in parts]
+    assert [x.groups for x in whole] == [";".join(y.groups for y in p) for p in parts]
+
+
+def test_one_passage_in_a_third_of_all_rows(spark):
+    rng = random.Random(9)
+    rows = [(k, "shared passage of words" if k % 3 == 0 else "".join(rng.choices("abc de", k=30))) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    assert rows_of(alignment.alignment_digests(df, shared_limit=30)) == plain_alignment(rows)
