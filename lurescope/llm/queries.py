@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescope.llm import alignment, bytepairs, decontaminate, jaccardjoin, langid, linear, linededup, maintext, packing, pseudonyms, quality, substrings, toxicity
+from lurescope.llm import alignment, bytepairs, decontaminate, jaccardjoin, langid, linear, linededup, maintext, packing, pseudonyms, quality, substrings, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", linear.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digests(documents(spark, sf_dir))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_linededup": op8_linededup,
     "op9_jaccardjoin": op9_jaccardjoin,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
     "op12_alignment": op12_alignment,
     "op13_bytepairs": op13_bytepairs,
 }
