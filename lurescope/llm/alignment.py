@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,45 +40,45 @@ from lurescope.llm.spacechunks import chunks, windows
 from lurescope.llm.textblocks import mixed
 from lurescope.session import stored
 
-KEPT = 150_000
-SHORT = 200
+KEPT = 400_000
+SHORT = 100
+TOGETHER = 1 << 20
 SHARED = 2_000_000
 PER_PART = 1_000_000
-BATCH = 2_000
+BATCH = 500
 SLICE = 50_000
 _U4 = np.dtype("<u4")
 
 
-@dataclass(slots=True)
-class Aligned:
-    """One chunk: packed ids and byte lengths of both sides, the digest's text, and its links as pairs."""
+class Aligned(NamedTuple):
+    """One chunk: the digest's text, its links as packed pairs, sizes, and packed ids and byte lengths of both sides."""
 
-    a_ids: bytes
-    a_lengths: bytes
-    b_ids: bytes
-    b_lengths: bytes
     groups: str
-    n_groups: int
     links: bytes  # little-endian unsigned 64-bit: A's id above B's
+    n_groups: int
+    n_a: int
+    n_b: int
+    sides: tuple[bytes, bytes, bytes, bytes] | None
 
 
-def token_ends(spans: list[tuple[int, int]], decoded: list[bytes], widths: list[int]) -> list[int]:
-    """Byte ends of tokens from their character spans, refined by decoded bytes.
+def token_ends(spans: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens from their character spans (one line each), refined by the bytes they decode to.
 
-    ``widths``: bytes of each character. A token that ends where the next one begins ends between two characters,
-    and the bytes up to there are known; tokens that overlap or share an end split a character, and their
-    ends follow from the last known end and the bytes of the tokens since.
+    ``sizes``: decoded bytes of each token; ``before``: bytes before each character, with the whole behind. A token that
+    ends where the next one begins ends between two characters, and the bytes up to there are known; tokens that overlap
+    or share an end split a character, and their ends follow from the last known end and the bytes since.
     """
-    before = [0]
-    for w in widths:
-        before.append(before[-1] + w)
-    ends, at = [], 0
-    for k, (_, end) in enumerate(spans):
-        shares = k + 1 < len(spans) and (spans[k + 1][0] < end or spans[k + 1][1] <= end)
-        starts_late = k and spans[k][1] <= spans[k - 1][1]
-        at = at + len(decoded[k]) if shares or starts_late else before[end]
-        ends.append(at)
-    return ends
+    n = len(spans)
+    if not n:
+        return np.zeros(0, np.int64)
+    end = spans[:, 1]
+    split = np.zeros(n, dtype=bool)
+    split[:-1] = (spans[1:, 0] < end[:-1]) | (end[1:] <= end[:-1])
+    split[1:] |= end[1:] <= end[:-1]
+    known = np.maximum.accumulate(np.where(split, -1, np.arange(n)))
+    total = np.cumsum(sizes)
+    base = np.where(known >= 0, before[end[known]] - total[known], 0)
+    return total + base
 
 
 class Tokenizers:
@@ -92,53 +92,75 @@ class Tokenizers:
         self.a = Tokenizer.from_file(bytes_path)
         self.a.encode_special_tokens = True  # their strings inside a text are text
         letters = _byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in t)}
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            if all(c in letters for c in token):
+                self.a_bytes[i] = bytes(letters[c] for c in token)
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         #: No piece goes on over a space after another character, so no piece leaves its chunk.
         self.b_begins_at_spaces = all("▁" not in p.lstrip("▁") for p in pieces)
 
-    def align(self, texts: list[str]) -> list[Aligned | None]:
-        """Alignment of each text; None where the bytes of a side aren't those of space+text."""
-        a_side = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        return [self._one(t, e.ids, e.offsets) for t, e in zip(texts, a_side, strict=True)]
-
-    def _one(self, text: str, a: list[int], a_spans: list[tuple[int, int]]) -> Aligned | None:
+    def align(self, parts: list[str], sides: bool = False) -> list[Aligned | None]:
+        """Alignment of chunks, which are encoded together as one text; None where a side's bytes aren't those of space+chunk."""
+        text = " ".join(parts)
         spaced = " " + text
         raw = spaced.encode()
+        a_side = self.a.encode(spaced, add_special_tokens=False)
         b_side = self.b.encode_as_offset_mapping(text)
-        b, b_spans = b_side["ids"], b_side["offsets"]
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return None
-        widths = [1] * len(spaced) if len(raw) == len(spaced) else [len(c.encode()) for c in spaced]
-        a_ends = token_ends(a_spans, a_bytes, widths)
+        a, b = np.array(a_side.ids, np.int64), np.array(b_side["ids"], np.int64)
+        if b"".join([self.a_bytes[i] for i in a_side.ids]) != raw or b"".join([self.b_bytes[i] for i in b_side["ids"]]) != raw:
+            if len(parts) == 1:
+                return [None]
+            half = len(parts) // 2
+            return self.align(parts[:half], sides) + self.align(parts[half:], sides)
+        code = np.frombuffer(spaced.encode("utf-32-le"), "<u4")
+        width = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+        before = np.concatenate(([0], np.cumsum(width)))
+        a_ends = token_ends(np.array(a_side.offsets, np.int64).reshape(-1, 2), self.a_sizes[a], before)
         # B's spans are those of the text, so one character is missing in front.
-        b_ends = token_ends([(s + 1 if s or k else 0, e + 1) for k, (s, e) in enumerate(b_spans)], b_bytes, widths)
-        return _aligned(a, a_ends, b, b_ends)
-
-
-def _aligned(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> Aligned:
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    while i < len(a):
-        links.append(a[i] << 32 | b[j])
-        x, y = a_ends[i], b_ends[j]
-        if x <= y:
-            i += 1
-        if y <= x:
-            j += 1
-        if x == y:
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-            first_a, first_b = i, j
-    return Aligned(
-        np.array(a, _U4).tobytes(), np.diff(np.array([0, *a_ends])).astype(_U4).tobytes(),
-        np.array(b, _U4).tobytes(), np.diff(np.array([0, *b_ends])).astype(_U4).tobytes(),
-        ";".join(groups), len(groups), np.array(links, "<u8").tobytes(),
-    )
+        b_spans = np.array(b_side["offsets"], np.int64).reshape(-1, 2) + 1
+        b_ends = token_ends(b_spans, self.b_sizes[b], before)
+        ends = np.union1d(a_ends, b_ends)
+        links = (a[np.searchsorted(a_ends, ends)] << 32) | b[np.searchsorted(b_ends, ends)]
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_cut, b_cut = np.searchsorted(a_ends, cuts) + 1, np.searchsorted(b_ends, cuts) + 1
+        groups = _group_texts(a_side.ids, a_cut.tolist(), b_side["ids"], b_cut.tolist())
+
+        at = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in parts])
+        if not np.isin(at, cuts).all():
+            raise ValueError("a token goes on over a single space")
+        g = [0, *(np.searchsorted(cuts, at) + 1).tolist()]
+        k = [0, *(np.searchsorted(ends, at) + 1).tolist()]
+        x, y = [0, *a_cut[np.array(g[1:]) - 1].tolist()], [0, *b_cut[np.array(g[1:]) - 1].tolist()]
+        packed = links.astype("<u8").tobytes()
+        whole = [v.astype(_U4).tobytes() for v in (a, np.diff(a_ends, prepend=0), b, np.diff(b_ends, prepend=0))] if sides else None
+        found = []
+        for i in range(len(parts)):
+            own = None
+            if whole is not None:
+                a_part, b_part = slice(4 * x[i], 4 * x[i + 1]), slice(4 * y[i], 4 * y[i + 1])
+                own = (whole[0][a_part], whole[1][a_part], whole[2][b_part], whole[3][b_part])
+            text = ";".join(groups[g[i] : g[i + 1]])
+            found.append(Aligned(text, packed[8 * k[i] : 8 * k[i + 1]], g[i + 1] - g[i], x[i + 1] - x[i], y[i + 1] - y[i], own))
+        return found
+
+
+def _group_texts(a: list[int], a_cut: list[int], b: list[int], b_cut: list[int]) -> list[str]:
+    """``a1,a2|b1`` of every group; the cuts are the number of tokens up to each group's end."""
+    a_text, b_text, x, y, found = [*map(str, a)], [*map(str, b)], 0, 0, []
+    for p, q in zip(a_cut, b_cut, strict=True):
+        if p - x == 1 and q - y == 1:
+            found.append(a_text[x] + "|" + b_text[y])
+        else:
+            found.append(",".join(a_text[x:p]) + "|" + ",".join(b_text[y:q]))
+        x, y = p, q
+    return found
 
 
 def _byte_letters() -> dict[str, int]:
@@ -158,31 +180,66 @@ def public_tokenizers_pair() -> Tokenizers:
 class _Aligner:
     """Whole texts by chunks, with a bounded store of chunks."""
 
-    def __init__(self, tokenizers: Tokenizers):
-        self.tokenizers = tokenizers
-        self.kept: dict[str, Aligned | None] = {}
-
-    def texts(self, texts: list[str | None]) -> Iterator[list[Aligned] | None]:
-        for text in texts:
-            found: list[Aligned | None] = []
-            if text and self.tokenizers.b_begins_at_spaces:
-                for k, window in enumerate(windows(text)):
-                    found += self._chunks(chunks(window[1:] if k else window))
-            elif text:
-                found += self._chunks([text])
-            yield None if not found or any(x is None for x in found) else found
-
-    def _chunks(self, parts: list[str]) -> list[Aligned | None]:
-        kept = self.kept
-        missing = list({p for p in parts if p not in kept})
-        if not missing:
-            return [kept[p] for p in parts]
-        new = dict(zip(missing, self.tokenizers.align(missing), strict=True))
-        found = [new[p] if p in new else kept[p] for p in parts]
-        if len(kept) + len(new) > KEPT:
-            kept.clear()
-        kept.update((p, x) for p, x in new.items() if len(p) <= SHORT)
-        return found
+    def __init__(self, tokenizers: Tokenizers, sides: bool):
+        self.tokenizers, self.sides = tokenizers, sides
+        self.kept: tuple[dict[str, Aligned | None], dict[str, Aligned | None]] = ({}, {})
+
+    def texts(self, texts: list[str | None]) -> list[list[Aligned] | None]:
+        """The chunks of each text; None where it has no tokens."""
+        at_spaces = self.tokenizers.b_begins_at_spaces
+        found: list[list[Aligned] | None] = []
+        for first, end in _byte_slices(texts, TOGETHER):
+            if end - first > 1 or not at_spaces:
+                parts = [[] if not t else chunks(t) if at_spaces else [t] for t in texts[first:end]]
+                table = self._table({p for own in parts for p in own})
+                found += [[table[p] for p in own] for own in parts]
+            else:  # may be very long: only one window's chunks are there at a time
+                own = []
+                for k, window in enumerate(windows(texts[first] or "")):
+                    parts = chunks(window[1:] if k else window) if window else []
+                    table = self._table(set(parts))
+                    own += [table[p] for p in parts]
+                found.append(own)
+        return [None if not own or any([x is None for x in own]) else own for own in found]
+
+    def _table(self, wanted: set[str]) -> dict[str, Aligned | None]:
+        """The wanted chunks. Two generations are kept: a full younger one takes the place of the older."""
+        young, old = self.kept
+        table: dict[str, Aligned | None] = {}
+        missing, edged = [], []
+        alone = not self.tokenizers.b_begins_at_spaces
+        for p in wanted:
+            if p in young:
+                table[p] = young[p]
+            elif p in old:
+                table[p] = young[p] = old[p]
+            elif "▁" in p:  # B reads that character as a space
+                table[p] = None
+            elif alone or p[0].isspace() or p[-1].isspace():  # a text's first or last; no other may follow its white space
+                edged.append([p])
+            else:
+                missing.append(p)
+        for new in [*edged, *(missing[i:j] for i, j in _byte_slices(missing, TOGETHER))]:
+            for p, x in zip(new, self.tokenizers.align(new, self.sides), strict=True):
+                table[p] = x
+                if len(p) <= SHORT and len(young) < KEPT // 2:
+                    young[p] = x
+        if len(young) >= KEPT // 2:
+            self.kept = ({}, young)
+        return table
+
+
+def _byte_slices(texts: list[str | None], size: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` characters together; a longer one is alone."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > first and held + n > size:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if texts:
+        yield first, len(texts)
 
 
 def align_tokens(documents: DataFrame, tokenizers: Callable[[], Tokenizers] = public_tokenizers_pair, spans: bool = True) -> DataFrame:
@@ -204,17 +261,17 @@ def align_tokens(documents: DataFrame, tokenizers: Callable[[], Tokenizers] = pu
             digest.update((";" if first else "").encode() + ";".join([x.groups for x in found[first : first + SLICE]]).encode())
         links = np.frombuffer(b"".join([x.links for x in found]), "<u8")
         pairs, times = np.unique(links, return_counts=True)
-        n_a, n_b = sum([len(x.a_ids) for x in found]) // 4, sum([len(x.b_ids) for x in found]) // 4
-        covered = [b"".join([getattr(x, side) for x in found]) for side in sides]
+        n_a, n_b = sum([x.n_a for x in found]), sum([x.n_b for x in found])
+        covered = [b"".join([x.sides[k] for x in found]) for k in range(len(sides))]
         n_groups = sum([x.n_groups for x in found])
         return (*covered, n_a, n_b, n_groups, len(links), digest.hexdigest(), pairs.tobytes(), times.astype(_U4).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _Aligner(tokenizers())
+        aligner = _Aligner(tokenizers(), spans)
         for batch in batches:
             for first in range(0, len(batch), BATCH):
                 part = batch.slice(first, BATCH)
-                found = aligner.texts(x.as_py() for x in part.column("text"))
+                found = aligner.texts([x.as_py() for x in part.column("text")])
                 rows = [nothing if f is None else values(f) for f in found]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.record_batch([part.column("doc_id"), *columns], names)

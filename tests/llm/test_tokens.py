@@ -236,13 +236,26 @@ def test_whole_texts_where_pieces_cross_spaces(spark):
     assert both.b_begins_at_spaces
     both.b_begins_at_spaces = False
     texts = ["one two three", " lead", "x"]
-    whole = [x[0] for x in alignment._Aligner(both).texts(texts)]
+    whole = [x[0] for x in alignment._Aligner(both, True).texts(texts)]
     both.b_begins_at_spaces = True
-    parts = list(alignment._Aligner(both).texts(texts))
-    assert [x.a_ids for x in whole] == [b"".join(y.a_ids for y in p) for p in parts]
+    parts = alignment._Aligner(both, True).texts(texts)
+    assert [x.sides[0] for x in whole] == [b"".join(y.sides[0] for y in p) for p in parts]
     assert [x.groups for x in whole] == [";".join(y.groups for y in p) for p in parts]
 
 
+def test_bounded_store_and_windows_change_nothing(monkeypatch):
+    both = alignment.public_tokenizers_pair()
+    text = " ".join(f"w{i % 37} caf\u00e9\u6f22 x{i}" for i in range(400))
+    expected = alignment._Aligner(both, True).texts([text, "a b", None, "\u2581"])
+    monkeypatch.setattr(alignment, "KEPT", 7)
+    monkeypatch.setattr(alignment, "TOGETHER", 50)
+    monkeypatch.setattr(spacechunks, "WINDOW", 100)
+    monkeypatch.setattr(spacechunks.windows, "__defaults__", (100,))
+    small = alignment._Aligner(both, True)
+    assert small.texts([text, "a b", None, "\u2581"]) == expected and sum(map(len, small.kept)) <= 7
+    assert expected[2] is None and expected[3] is None
+
+
 def test_one_passage_in_a_third_of_all_rows(spark):
     rng = random.Random(9)
     rows = [(k, "shared passage of words" if k % 3 == 0 else "".join(rng.choices("abc de", k=30))) for k in range(900)]
