@@ -1,24 +1,27 @@
 """AdaBoost (SAMME, two classes) over depth-1 trees.
 
-Each round is one aggregate: the weight per (feature, level, label), at most
-features x levels x 2 numbers, from which the round's stump is read. Row weights are
-recomputed from the stored rows and the stumps so far. Every ``FOLD_EVERY`` rounds the
-running log-weight is stored, which keeps the plan short and survives the loss
-of executors.
+Each round is one pass of :mod:`splits` over the stored rows: exact weights per (feature, value, label), running
+sums over the values in range chunks, and one best threshold per feature and chunk to the driver. A feature may have
+any number of values. All training sets of a search boost in lockstep, so a round of all of them is one pass. Row
+weights are recomputed from the stored rows and the stumps so far. Every ``FOLD_EVERY`` rounds the running
+log-weight is stored, which keeps the plan short and survives the loss of executors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lurescope.operators.ensembles import Ensemble, Tree
+from lurescope.operators.splits import GINI, ROWS, batch_arrays, best_splits, chunk_borders
 from lurescope.session import stored
 
-MAX_LEVELS = 32
 FOLD_EVERY = 10
 STUMP_SCHEMA = "round int, feature string, threshold double, left int, right int, alpha double"
 
@@ -35,101 +38,130 @@ class Stump:
         return F.when(F.col(self.feature) <= self.threshold, self.left).otherwise(self.right)
 
 
-def level_cuts(rows: DataFrame, columns: list[str]) -> dict[str, list[float]]:
-    """Split thresholds per column: between all levels, or at quantiles when there
-    are more than ``MAX_LEVELS``. The result holds at most that many numbers each."""
-    levels = rows.select(*columns).unpivot([], columns, "feature", "value").distinct()
-    probes = [i / MAX_LEVELS for i in range(1, MAX_LEVELS)]
-    sizes = levels.groupBy("feature").agg(
-        F.count("value").alias("n"), F.percentile_approx("value", probes, 10000).alias("cuts")
-    )
-    few = F.broadcast(sizes.where(F.col("n") <= MAX_LEVELS).select("feature"))
-    listed = levels.join(few, "feature").groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("values"))
-    cuts = {r["feature"]: sorted(set(r["cuts"])) for r in sizes.where(F.col("n") > MAX_LEVELS).collect()}
-    for r in listed.collect():
-        values = r["values"]
-        cuts[r["feature"]] = [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
-    return {c: cuts.get(c, []) for c in columns}
-
-
-def _level(column: str, cuts: list[float]) -> Column:
-    """How many thresholds lie below the value."""
-    level = F.lit(len(cuts))
-    for i in range(len(cuts) - 1, -1, -1):
-        level = F.when(F.col(column) <= cuts[i], i).otherwise(level)
-    return level
-
-
-def _best_stump(histogram: np.ndarray, columns: list[str], cuts: dict[str, list[float]]) -> tuple[Stump, float]:
-    """Lowest weighted Gini impurity; the first column and threshold win ties."""
-    total = histogram[0].sum(axis=0)
-    majority = int(total[1] > total[0])
-    best = (Stump(columns[0], 0.0, majority, majority, 0.0), total.min() / total.sum())
-    lowest = total[0] * total[1] / total.sum()
-    for f, c in enumerate(columns):
-        left = np.cumsum(histogram[f], axis=0)[: len(cuts[c])]
-        for i, l in enumerate(left):
-            r = total - l
-            if l.sum() <= 0 or r.sum() <= 0:
+def _wrong(stumps: list[Stump], columns: list[str], x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The weight that the stumps add to each row, as a logarithm."""
+    total = np.zeros(len(x))
+    for s in stumps:
+        vote = np.where(x[:, columns.index(s.feature)] <= s.threshold, s.left, s.right)
+        total += s.alpha * (vote != label)
+    return total
+
+
+def fit_adaboost_sets(rows: DataFrame, columns: list[str], sets: list[int], rounds: int, rate: float = 1.0) -> list[list[Stump]]:
+    """Boost over (values, label, copies array) for each training set, in lockstep.
+
+    A set stops early on a perfect or a useless stump.
+    """
+    models = range(len(sets))
+    borders = chunk_borders(rows, len(columns))
+    state = stored(rows.select("values", "label", "copies", F.array(*[F.lit(0.0)] * len(sets)).alias("log_w")))
+    stumps: list[list[Stump]] = [[] for _ in models]
+    pending: list[list[Stump]] = [[] for _ in models]
+    shift = [0.0 for _ in models]
+    boosting = list(models)
+    for _ in range(rounds):
+
+        def entries(batch: dict[str, np.ndarray], boosting=tuple(boosting), pending=pending, shift=tuple(shift)):
+            slots, at, stats = [], [], []
+            for slot, m in enumerate(boosting):
+                copies = batch["copies"][:, sets[m]]
+                row = np.flatnonzero(copies > 0)
+                label = batch["label"][row]
+                w = copies[row] * np.exp(batch["log_w"][row, m] + _wrong(pending[m], columns, batch["values"][row], label) - shift[m])
+                slots.append(np.full(len(row), slot))
+                at.append(row)
+                stats.append(np.stack([w * (label == 0), w * (label == 1)], axis=1))
+            return np.concatenate(slots), np.concatenate(at), np.concatenate(stats)
+
+        found = best_splits(state, ["label", "copies", "log_w"], entries, len(boosting), GINI, borders)
+        going = []
+        for slot, m in enumerate(boosting):
+            total, left = found.totals[slot], found.left[slot]
+            if total.sum() <= 0:
                 continue
-            impurity = l[0] * l[1] / l.sum() + r[0] * r[1] / r.sum()
-            if impurity < lowest - 1e-12 * total.sum():
-                sides = int(l[1] > l[0]), int(r[1] > r[0])
-                wrong = l[1 - sides[0]] + r[1 - sides[1]]
-                lowest = impurity
-                best = (Stump(c, float(cuts[c][i]), *sides, 0.0), wrong / total.sum())
-    return best
+            if found.feature[slot] >= 0 and found.gain[slot] > 1e-12 * total.sum():
+                right = total - left
+                sides = int(left[1] > left[0]), int(right[1] > right[0])
+                error = (left[1 - sides[0]] + right[1 - sides[1]]) / total.sum()
+                name, threshold = columns[found.feature[slot]], float(found.threshold[slot])
+            else:
+                sides = (int(total[1] > total[0]),) * 2
+                error, name, threshold = total.min() / total.sum(), columns[0], 0.0
+            if error >= 0.5:
+                continue
+            perfect = error <= 1e-15
+            stump = Stump(name, threshold, *sides, 1.0 if perfect else rate * log((1 - error) / error))
+            stumps[m].append(stump)
+            if not perfect:
+                pending[m].append(stump)
+                shift[m] += log(max(total.sum(), 1e-300))
+                going.append(m)
+        boosting = going
+        if not boosting:
+            break
+        if len(pending[boosting[0]]) == FOLD_EVERY:
+            state = stored(_weighted_on(state, columns, pending, shift))
+            pending, shift = [[] for _ in models], [0.0 for _ in models]
+    return stumps
+
+
+def _weighted_on(state: DataFrame, columns: list[str], pending: list[list[Stump]], shift: list[float]) -> DataFrame:
+    """``state`` with the pending stumps in its log-weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), ROWS):
+                a, part = batch_arrays(batch, first, ROWS), batch.slice(first, ROWS)
+                added = [_wrong(p, columns, a["values"], a["label"]) - s for p, s in zip(pending, shift, strict=True)]
+                weights = pa.array(list(a["log_w"] + np.stack(added, axis=1)), pa.list_(pa.float64()))
+                yield pa.record_batch([*part.columns[:3], weights], part.schema.names)
+
+    return state.mapInArrow(run, state.schema)
 
 
 def fit_adaboost(rows: DataFrame, columns: list[str], rounds: int, rate: float = 1.0) -> list[Stump]:
-    """Boost over (columns…, label 0/1, copies). Stops early on a perfect or useless stump."""
-    cuts = level_cuts(rows, columns)
-    width = max(len(c) for c in cuts.values()) + 1
-    levels = F.array(*[_level(c, cuts[c]) for c in columns])
-    state = rows.select(*columns, F.col("label").cast("int").alias("label"), "copies", F.lit(0.0).alias("log_w"))
-    state = stored(state)
-    stumps: list[Stump] = []
-    pending: list[Stump] = []
-    shift = 0.0
-    for _ in range(rounds):
-        weight = F.col("copies") * F.exp(_log_weight(pending) - shift)
-        cells = (
-            state.select("label", weight.alias("w"), F.posexplode(levels).alias("f", "level"))
-            .groupBy("f", "level", "label")
-            .agg(F.sum("w").alias("w"))
-        )
-        histogram = np.zeros((len(columns), width, 2))
-        for f, level, label, w in cells.collect():
-            histogram[f, level, label] = w
-        stump, error = _best_stump(histogram, columns, cuts)
-        if error >= 0.5:
-            break
-        alpha = 1.0 if error <= 0 else rate * log((1 - error) / error)
-        stump = Stump(stump.feature, stump.threshold, stump.left, stump.right, alpha)
-        stumps.append(stump)
-        if error <= 0:
-            break
-        pending.append(stump)
-        shift += log(max(histogram[0].sum(), 1e-300))
-        if len(pending) == FOLD_EVERY:
-            state = stored(state.withColumn("log_w", _log_weight(pending) - shift))
-            pending, shift = [], 0.0
-    return stumps
+    """Boost over (columns…, label 0/1, copies)."""
+    values = F.array(*[F.col(c).cast("double") for c in columns]).alias("values")
+    one = rows.select(values, F.col("label").cast("double").alias("label"), F.array(F.col("copies").cast("double")).alias("copies"))
+    return fit_adaboost_sets(one, columns, [0], rounds, rate)[0]
+
+
+def as_ensemble(stumps: list[Stump], columns: list[str]) -> Ensemble:
+    """The stumps as trees whose sum gives the same probabilities as :func:`apply_adaboost`."""
+    trees = []
+    for s in stumps:
+        tree = Tree()
+        left, right = tree.split(0, columns.index(s.feature), s.threshold)
+        tree.value[left], tree.value[right] = ((s.alpha if v == 1 else -s.alpha) for v in (s.left, s.right))
+        trees.append(tree)
+    total = sum(s.alpha for s in stumps)
+    return Ensemble("margin", trees, 2 / total if total > 0 else 2.0)
 
 
-def _log_weight(pending: list[Stump]) -> Column:
-    value = F.col("log_w")
-    for s in pending:
-        value = value + F.when(s.vote() != F.col("label"), s.alpha).otherwise(0.0)
+def _margin(stumps: list[Stump]) -> Column:
+    """Sum of the votes times their weights: one step function per feature, so the expression stays small."""
+    steps: dict[str, dict[float, float]] = {}
+    base = 0.0
+    for s in stumps:
+        left, right = (s.alpha if v == 1 else -s.alpha for v in (s.left, s.right))
+        base += right
+        if left != right:
+            at = steps.setdefault(s.feature, {})
+            at[s.threshold] = at.get(s.threshold, 0.0) + left - right
+    value = F.lit(base)
+    for feature, at in steps.items():
+        thresholds = sorted(at)
+        step = F.lit(0.0)
+        for k in reversed(range(len(thresholds))):  # up to a threshold, all steps from it on count
+            step = F.when(F.col(feature) <= thresholds[k], F.lit(sum(at[t] for t in thresholds[k:]))).otherwise(step)
+        value = value + step
     return value
 
 
 def apply_adaboost(df: DataFrame, stumps: list[Stump]) -> DataFrame:
     """Add ``prediction`` and ``probability`` [P(0), P(1)] from the normalised margin."""
     total = sum(s.alpha for s in stumps)
-    margin = F.lit(0.0)
-    for s in stumps:
-        margin = margin + F.when(s.vote() == 1, s.alpha).otherwise(-s.alpha)
+    margin = _margin(stumps)
     staged = df.withColumn("_margin", margin / total if total > 0 else margin)
     p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_margin") * -2))
     return staged.withColumns(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lurescope.functions.verdicts import with_verdict
 from lurescope.operators.adaboost import Stump, apply_adaboost, stump_table, stumps_from_table
+from lurescope.operators.ensembles import Ensemble
 from lurescope.operators.features import assemble
 from lurescope.operators.prepare import PreprocessorModel
 
@@ -37,16 +38,18 @@ def phishing_probability(df: DataFrame, classes: list[int] | None = None) -> Dat
 
 @dataclass
 class RiskModel:
-    """A fitted preprocessor with an MLlib pipeline or a list of boosted stumps."""
+    """A fitted preprocessor with trees, a list of boosted stumps or an MLlib pipeline."""
 
     columns: list[str]
     preprocessor: PreprocessorModel | None
-    classifier: PipelineModel | list[Stump]
+    classifier: Ensemble | list[Stump] | PipelineModel
 
     def predict_prepared(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` and ``probability`` to rows that are already transformed."""
         if isinstance(self.classifier, list):
             return apply_adaboost(df, self.classifier)
+        if isinstance(self.classifier, Ensemble):
+            return self.classifier.apply(df, self.columns)
         scored = self.classifier.transform(assemble(df, self.columns))
         scored = scored.withColumn("probability", class_probabilities(scored))
         return scored.drop("vector", "rawPrediction")
@@ -67,15 +70,18 @@ class RiskModel:
     def save(self, spark: SparkSession, path: str) -> None:
         if self.preprocessor is not None:
             self.preprocessor.save(f"{path}/preprocessor")
-        stumps = isinstance(self.classifier, list)
-        if stumps:
+        kind, combine, rate, base = "classifier", None, None, None
+        if isinstance(self.classifier, list):
+            kind = "stumps"
             stump_table(spark, self.classifier).coalesce(1).write.mode("overwrite").parquet(f"{path}/stumps")
+        elif isinstance(self.classifier, Ensemble):
+            kind, combine, rate, base = "trees", self.classifier.kind, self.classifier.rate, self.classifier.base
+            self.classifier.node_table(spark).write.mode("overwrite").parquet(f"{path}/trees")
         else:
             self.classifier.write().overwrite().save(f"{path}/classifier")
-        kind = "stumps" if stumps else "classifier"
-        info = [(kind, self.preprocessor is not None, self.columns)]
-        info = spark.createDataFrame(info, "kind string, prepared boolean, columns array<string>")
-        info.coalesce(1).write.mode("overwrite").parquet(f"{path}/info")
+        info = [(kind, self.preprocessor is not None, self.columns, combine, rate, base)]
+        shape = "kind string, prepared boolean, columns array<string>, combine string, rate double, base double"
+        spark.createDataFrame(info, shape).coalesce(1).write.mode("overwrite").parquet(f"{path}/info")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> RiskModel:
@@ -83,6 +89,8 @@ class RiskModel:
         prepared = PreprocessorModel.load(spark, f"{path}/preprocessor") if info["prepared"] else None
         if info["kind"] == "stumps":
             classifier = stumps_from_table(spark.read.parquet(f"{path}/stumps"))
+        elif info["kind"] == "trees":
+            classifier = Ensemble.from_table(spark.read.parquet(f"{path}/trees"), info["combine"], info["rate"], info["base"])
         else:
             classifier = PipelineModel.load(f"{path}/classifier")
         return RiskModel(list(info["columns"]), prepared, classifier)

@@ -30,6 +30,24 @@ def with_folds(rows: DataFrame, columns: list[str], folds: int) -> DataFrame:
     return dealt.withColumn("copies", share).where("copies > 0").drop("_start")
 
 
+def training_sets(rows: DataFrame, columns: list[str], folds: int) -> DataFrame:
+    """(values, label, copies, fold_copies): distinct rows with their counts in every training set of a search.
+
+    ``fold_copies`` deals the copies over the folds as :func:`with_folds` does; ``copies`` holds the
+    rest of each fold's data, and all of it in the last place.
+    """
+    start = F.pmod(F.xxhash64(*columns, "label"), F.lit(folds))
+    turns = [F.pmod(F.lit(k) - start, F.lit(folds)) for k in range(folds)]
+    shares = [F.floor((F.col("copies") + F.lit(folds - 1) - t) / F.lit(folds)).cast("double") for t in turns]
+    total = F.col("copies").cast("double")
+    return rows.select(
+        F.array(*[F.col(c).cast("double") for c in columns]).alias("values"),
+        F.col("label").cast("double").alias("label"),
+        F.array(*[total - s for s in shares], total).alias("copies"),
+        F.array(*shares).alias("fold_copies"),
+    )
+
+
 def bagging_units(rows: DataFrame, units: int = 32) -> DataFrame:
     """Split each distinct row into up to ``units`` equal shares with a ``weight``.
 

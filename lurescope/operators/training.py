@@ -1,23 +1,24 @@
-"""Grid search of the five classifiers and the model report."""
+"""Grid search of the five classifiers and the model report.
+
+A search grows all its models together: every fold's and the whole data's, for every learning rate and criterion, share
+the passes over the rows. Longer runs contain the shorter ones, so 50 and 100 trees or rounds are one run. One pass
+over the rows then measures all choices on their folds, and the fit on all rows is already there.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from itertools import product
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lurescope.contract import SPLIT_SEED
-from lurescope.operators.adaboost import apply_adaboost, fit_adaboost
+from lurescope.operators.adaboost import as_ensemble, fit_adaboost_sets
 from lurescope.operators.classify import RiskModel
-from lurescope.operators.features import assemble
+from lurescope.operators.ensembles import RESIDUAL, SECOND_ORDER, Ensemble, fit_boosted, fit_forests, fit_trees, fold_accuracy
 from lurescope.operators.metrics import classification_metrics
-from lurescope.operators.patterns import bagging_units, distinct_rows, with_folds
+from lurescope.operators.patterns import distinct_rows, training_sets
+from lurescope.operators.splits import ENTROPY, GINI
 from lurescope.session import stored
 
 # --- Fixed values: model order and published hyper-parameter grids ----------
@@ -26,24 +27,11 @@ GRIDS = {
     "DecisionTree": {"impurity": ["gini", "entropy"]},
     "GradientBoosting": {"stepSize": [0.1, 0.05], "maxIter": [50, 100]},
     "AdaBoost": {"rounds": [50, 100]},
-    "GbtDeep": {"stepSize": [0.1, 0.2], "maxIter": [50, 100]},
+    "SecondOrderBoosting": {"stepSize": [0.1, 0.2], "maxIter": [50, 100]},
 }
 FOLDS = 3
 # --- end of fixed values ----------------------------------------------------
 
-MAX_DEPTH = 30  # MLlib's limit; the published trees are unbounded
-
-
-def estimator(name: str):
-    common = {"featuresCol": "vector", "labelCol": "label", "weightCol": "weight", "seed": SPLIT_SEED}
-    if name == "RandomForest":
-        return RandomForestClassifier(featureSubsetStrategy="sqrt", maxDepth=MAX_DEPTH, **common)
-    if name == "DecisionTree":
-        return DecisionTreeClassifier(maxDepth=MAX_DEPTH, **common)
-    # GbtDeep stands where the published set has a second-order boosting library.
-    return GBTClassifier(maxDepth={"GradientBoosting": 3, "GbtDeep": 6}[name], **common)
-
-
 @dataclass
 class Trained:
     name: str
@@ -54,48 +42,47 @@ class Trained:
     test: dict = field(default_factory=dict)
 
 
-def _ada_accuracy(rows: DataFrame, columns: list[str], rounds: list[int], folds: int) -> dict[int, float]:
-    """CV accuracy per round count; a long run contains every shorter one."""
-    hits = dict.fromkeys(rounds, 0.0)
-    for fold in range(folds):
-        train = rows.where(F.col("fold") != fold).groupBy(*columns, "label").agg(F.sum("copies").alias("copies"))
-        stumps = fit_adaboost(train, columns, max(rounds))
-        for n in rounds:
-            held = apply_adaboost(rows.where(F.col("fold") == fold), stumps[:n])
-            right = F.sum(F.when(F.col("prediction") == F.col("label"), F.col("copies")).otherwise(0))
-            hits[n] += held.agg(F.try_divide(right, F.sum("copies"))).first()[0] or 0.0
-    return {n: h / folds for n, h in hits.items()}
-
-
-def _search_ada(dealt: DataFrame, whole: DataFrame, columns: list[str], grid: dict, folds: int):
-    rounds = grid["rounds"]
-    if len(rounds) > 1:
-        scores = _ada_accuracy(dealt, columns, rounds, folds)
-        best = max(rounds, key=lambda n: scores[n])
-    else:
-        best = rounds[0]
-    return fit_adaboost(whole, columns, best), {"rounds": best}
-
-
-def _search_mllib(name: str, dealt: DataFrame, whole: DataFrame, grid: dict, folds: int, parallelism: int):
-    units = bagging_units if name == "RandomForest" else lambda d: d.withColumn("weight", F.col("copies").cast("double"))
-    learner = estimator(name)
-    stage = Pipeline(stages=[learner])
-    builder = ParamGridBuilder()
-    for param, values in grid.items():
-        builder = builder.addGrid(learner.getParam(param), values)
-    choices = builder.build()
-    if len(choices) == 1:
-        best = choices[0]
-    else:
-        score = MulticlassClassificationEvaluator(labelCol="label", weightCol="weight", metricName="accuracy")
-        search = CrossValidator(
-            estimator=stage, estimatorParamMaps=choices, evaluator=score, numFolds=folds, foldCol="fold",
-            parallelism=parallelism, seed=SPLIT_SEED,
-        )
-        averages = search.fit(units(dealt)).avgMetrics
-        best = choices[max(range(len(choices)), key=lambda i: averages[i])]
-    return stage.fit(units(whole), best), {p.name: v for p, v in best.items()}
+def _fitted(name: str, rows: DataFrame, columns: list[str], grid: dict, sets: list[int]) -> dict[tuple[int, int], object]:
+    """Every choice of the grid on every training set: (choice, set) -> stumps or ensemble."""
+    width = len(columns)
+    choices = list(product(*grid.values()))
+    at = {p: i for i, p in enumerate(grid)}
+    fitted: dict[tuple[int, int], object] = {}
+    if name == "AdaBoost":
+        runs = fit_adaboost_sets(rows, columns, sets, max(grid["rounds"]))
+        return {(c, s): run[: choice[at["rounds"]]] for s, run in zip(sets, runs, strict=True) for c, choice in enumerate(choices)}
+    if name == "RandomForest":
+        forests = fit_forests(rows, width, sets, max(grid["numTrees"]), GINI, SPLIT_SEED)
+        for s, forest in zip(sets, forests, strict=True):
+            fitted |= {(c, s): Ensemble("mean", forest[: choice[at["numTrees"]]]) for c, choice in enumerate(choices)}
+        return fitted
+    if name == "DecisionTree":
+        for c, choice in enumerate(choices):
+            trees = fit_trees(rows, width, sets, {"gini": GINI, "entropy": ENTROPY}[choice[at["impurity"]]])
+            fitted |= {(c, s): Ensemble("mean", [tree]) for s, tree in zip(sets, trees, strict=True)}
+        return fitted
+    boosting = {"GradientBoosting": RESIDUAL, "SecondOrderBoosting": SECOND_ORDER}[name]
+    runs = fit_boosted(rows, width, sets, grid["stepSize"], max(grid["maxIter"]), boosting)
+    for c, choice in enumerate(choices):
+        fitted |= {(c, s): runs[choice[at["stepSize"]], s].first(choice[at["maxIter"]]) for s in sets}
+    return fitted
+
+
+def search(name: str, rows: DataFrame, columns: list[str], grid: dict, folds: int) -> tuple[object, dict, dict[int, float]]:
+    """(the best choice fitted on all rows, its parameters, mean fold accuracy per choice).
+
+    ``rows``: :func:`patterns.training_sets`. The first of equally accurate choices wins; a grid of one choice is
+    only fitted on all rows.
+    """
+    choices = list(product(*grid.values()))
+    alone = len(choices) == 1
+    fitted = _fitted(name, rows, columns, grid, [folds] if alone else list(range(folds + 1)))
+    scores: dict[int, float] = {}
+    if not alone:
+        held = {k: as_ensemble(m, columns) if isinstance(m, list) else m for k, m in fitted.items() if k[1] < folds}
+        scores = fold_accuracy(rows, folds, held)
+    best = max(range(len(choices)), key=lambda c: (scores.get(c, 0.0), -c))
+    return fitted[best, folds], dict(zip(grid, choices[best], strict=True)), scores
 
 
 def train_models(
@@ -105,7 +92,6 @@ def train_models(
     label: str,
     grids: dict[str, dict] | None = None,
     folds: int = FOLDS,
-    parallelism: int = 2,
 ) -> list[Trained]:
     """Tune every model by CV accuracy, refit it on all training rows and measure it.
 
@@ -113,15 +99,12 @@ def train_models(
     once; all fits, folds and metrics then run on those.
     """
     grids = grids or GRIDS
-    whole = stored(assemble(distinct_rows(train, columns, label), columns))
-    held = stored(assemble(distinct_rows(test, columns, label), columns))
-    dealt = with_folds(whole, columns, folds)
+    whole = stored(distinct_rows(train, columns, label))
+    held = stored(distinct_rows(test, columns, label))
+    sets = stored(training_sets(whole, columns, folds))
     results = []
     for ordinal, (name, grid) in enumerate(grids.items()):
-        if name == "AdaBoost":
-            fitted, params = _search_ada(dealt, whole, columns, grid, folds)
-        else:
-            fitted, params = _search_mllib(name, dealt, whole, grid, folds, parallelism)
+        fitted, params, _ = search(name, sets, columns, grid, folds)
         trained = Trained(name, ordinal, RiskModel(columns, None, fitted), params)
         trained.train, trained.test = _measure(trained.model, whole), _measure(trained.model, held)
         results.append(trained)
@@ -129,7 +112,7 @@ def train_models(
 
 
 def _measure(model: RiskModel, rows: DataFrame) -> dict:
-    scored = model.predict_prepared(rows.drop("vector"))
+    scored = model.predict_prepared(rows)
     return classification_metrics(scored, "label", "prediction", weight="copies").first().asDict()
 
 

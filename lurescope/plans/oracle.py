@@ -382,7 +382,67 @@ def _scaled(c: str) -> str:
 SCANS_OUT = f"""WITH {PAGE_SCORES}
 SELECT url, prediction, round(p_phishing, 6) AS probability, {JSON} AS features FROM scored"""
 
+BOOSTING_ROUNDS = 50
+
+
+def boosting(rounds: int = BOOSTING_ROUNDS) -> str:
+    """CTEs up to ``stumps``: one chain of tables per round, over the distinct labelled rows.
+
+    ``w`` are row weights, ``h`` their sums per (feature, value, label), ``g`` the gain of every threshold, ``s`` the
+    round's stump. Gains within 1e-10 of the node's impurity are ties.
+    """
+    numbers = ", ".join(f"({i}, '{c}', CAST({c} AS DOUBLE))" for i, c in enumerate(FEATURES))
+    steps = [
+        f"""{LABELLED},
+base AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY {ALL}, Result) AS id, {ALL}, CASE WHEN Result = -1 THEN 0 ELSE 1 END AS y, count(*) AS c
+  FROM labelled GROUP BY {ALL}, Result),
+long AS MATERIALIZED (SELECT id, y, u.f, u.feature, u.v FROM base, LATERAL (VALUES {numbers}) u(f, feature, v)),
+w0 AS MATERIALIZED (SELECT id, CAST(c AS DOUBLE) AS w FROM base)"""
+    ]
+    for k in range(1, rounds + 1):
+        alive = f"EXISTS (SELECT 1 FROM s{k - 1} WHERE error < 0.5 AND error > 1e-15)" if k > 1 else "true"
+        steps.append(f"""
+h{k} AS MATERIALIZED (
+  SELECT f, feature, v, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS a, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS b
+  FROM long JOIN w{k - 1} USING (id) GROUP BY f, feature, v),
+r{k} AS (
+  SELECT f, feature, v, lead(v) OVER o AS after, sum(a) OVER o AS l0, sum(b) OVER o AS l1,
+         sum(a) OVER (PARTITION BY f) AS t0, sum(b) OVER (PARTITION BY f) AS t1
+  FROM h{k} WINDOW o AS (PARTITION BY f ORDER BY v)),
+g{k} AS MATERIALIZED (
+  SELECT *, 2 * (t0 * t1 / (t0 + t1) - CASE WHEN after IS NULL THEN t0 * t1 / (t0 + t1) ELSE l0 * l1 / (l0 + l1)
+         + (t0 - l0) * (t1 - l1) / (t0 - l0 + t1 - l1) END) AS gain FROM r{k}),
+b{k} AS (
+  SELECT *, gain > 1e-12 * (t0 + t1) AS splits FROM g{k}
+  WHERE gain >= (SELECT max(gain) - 1e-10 * max(2 * t0 * t1 / (t0 + t1)) FROM g{k}) ORDER BY f, v LIMIT 1),
+c{k} AS (
+  SELECT CASE WHEN splits THEN feature ELSE '{FEATURES[0]}' END AS feature, CASE WHEN splits THEN (v + after) / 2 ELSE 0 END AS threshold,
+         CASE WHEN (splits AND l1 > l0) OR (NOT splits AND t1 > t0) THEN 1 ELSE 0 END AS "left",
+         CASE WHEN (splits AND t1 - l1 > t0 - l0) OR (NOT splits AND t1 > t0) THEN 1 ELSE 0 END AS "right",
+         CASE WHEN splits THEN least(l0, l1) + least(t0 - l0, t1 - l1) ELSE least(t0, t1) END / (t0 + t1) AS error, t0 + t1 AS total
+  FROM b{k}),
+s{k} AS MATERIALIZED (
+  SELECT {k - 1} AS round, *, CASE WHEN error <= 1e-15 THEN 1.0 ELSE ln((1 - error) / error) END AS alpha FROM c{k} WHERE error < 0.5 AND {alive}),
+w{k} AS MATERIALIZED (
+  SELECT id, w / total * CASE WHEN CASE WHEN v <= threshold THEN "left" ELSE "right" END <> y THEN exp(alpha) ELSE 1 END AS w
+  FROM w{k - 1} JOIN long USING (id) JOIN s{k} USING (feature))""")
+    steps.append("\nstumps AS (" + " UNION ALL ".join(f"SELECT round, feature, threshold, \"left\", \"right\", alpha FROM s{k}" for k in range(1, rounds + 1)) + ")")
+    return ",".join(steps)
+
+
 ORACLE = {
+    "adaboost_rounds": f"""WITH {boosting()}
+SELECT CAST(round AS INTEGER) AS round, feature, round(threshold, 6) AS threshold, CAST("left" AS INTEGER) AS "left",
+       CAST("right" AS INTEGER) AS "right", round(alpha, 6) AS alpha FROM stumps""",
+    "model_scores": f"""WITH {boosting()},
+pages_coded AS (SELECT * FROM (WITH {url_parts('pages')} SELECT page_id, {ALL} FROM coded)),
+pages_long AS (SELECT page_id, u.feature, u.v FROM pages_coded, LATERAL (VALUES {", ".join(f"('{c}', CAST({c} AS DOUBLE))" for c in FEATURES)}) u(feature, v)),
+margins AS (
+  SELECT page_id, sum(CASE WHEN CASE WHEN v <= threshold THEN "left" ELSE "right" END = 1 THEN alpha ELSE -alpha END) / sum(alpha) AS m
+  FROM pages_long JOIN stumps USING (feature) GROUP BY page_id),
+scored AS (SELECT page_id, 1 - 1 / (1 + exp(-2 * m)) AS p_phishing FROM margins)
+SELECT page_id, {verdict_columns('p_phishing')} FROM scored""",
     "url_features": f"WITH {url_parts('pages')} SELECT page_id, url, {ALL} FROM coded",
     "url_features_mutated": f"WITH {VARIANTS},{url_parts('variants')} SELECT page_id, variant, {ALL} FROM coded",
     "url_flag_summary": f"""WITH {VARIANTS},{url_parts('variants')},

@@ -487,24 +487,16 @@ def run_history(spark, sf_dir):
 
 # --- learning ---------------------------------------------------------------
 
-SMALL_GRIDS = {
-    "RandomForest": {"numTrees": [10]},
-    "DecisionTree": {"impurity": ["gini", "entropy"]},
-    "GradientBoosting": {"stepSize": [0.1], "maxIter": [5]},
-    "AdaBoost": {"rounds": [3, 5]},
-    "GbtDeep": {"stepSize": [0.2], "maxIter": [5]},
-}
+BOOSTING_ROUNDS = 50  # the first of the published round counts
 
 
 @query
 def train_models(spark, sf_dir):
-    """Model report over all labelled URL variants, with a short grid."""
+    """Model report over all labelled URL variants, with the published grids."""
     rows = inputs.labelled_pages(spark, sf_dir)
     keyed = rows.withColumn("row_key", F.concat_ws("/", "page_id", "variant"))
     split = quality.remap_label(quality.seeded_split(keyed, "row_key"), "Result")
-    results = training.train_models(
-        split.where("not is_test"), split.where("is_test"), FEATURES, "Result", SMALL_GRIDS
-    )
+    results = training.train_models(split.where("not is_test"), split.where("is_test"), FEATURES, "Result")
     report = training.model_report(spark, results)
     return report.select("model", "ordinal", _r6("train_f1"), _r6("test_f1"), _r6("test_accuracy"))
 
@@ -512,7 +504,7 @@ def train_models(spark, sf_dir):
 @query
 def adaboost_rounds(spark, sf_dir):
     rows = quality.remap_label(inputs.labelled_pages(spark, sf_dir), "Result")
-    stumps = adaboost.fit_adaboost(distinct_rows(rows, FEATURES, "Result"), FEATURES, 10)
+    stumps = adaboost.fit_adaboost(distinct_rows(rows, FEATURES, "Result"), FEATURES, BOOSTING_ROUNDS)
     table = adaboost.stump_table(spark, stumps)
     return table.withColumns({"alpha": F.round("alpha", 6), "threshold": F.round("threshold", 6)})
 
@@ -521,7 +513,7 @@ def adaboost_rounds(spark, sf_dir):
 def model_scores(spark, sf_dir):
     """Every page scored by a boosted model trained on the URL variants."""
     rows = quality.remap_label(inputs.labelled_pages(spark, sf_dir), "Result")
-    stumps = adaboost.fit_adaboost(distinct_rows(rows, FEATURES, "Result"), FEATURES, 10)
+    stumps = adaboost.fit_adaboost(distinct_rows(rows, FEATURES, "Result"), FEATURES, BOOSTING_ROUNDS)
     scored = classify.RiskModel(FEATURES, None, stumps).classify(inputs.page_features(spark, sf_dir))
     return scored.select("page_id", "prediction", "label", "phishing_probability", "confidence", "needs_review")
 

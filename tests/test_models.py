@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lurescope.operators import adaboost, gates, training
 from lurescope.operators.classify import RiskModel, phishing_probability
 from lurescope.operators.metrics import classification_metrics
-from lurescope.operators.patterns import distinct_rows
+from lurescope.operators.patterns import distinct_rows, training_sets, with_folds
 from lurescope.session import shared_folder
 
 
@@ -126,7 +126,7 @@ GRID = {
     "DecisionTree": {"impurity": ["gini", "entropy"]},
     "GradientBoosting": {"stepSize": [0.1], "maxIter": [3]},
     "AdaBoost": {"rounds": [2, 8]},
-    "GbtDeep": {"stepSize": [0.2], "maxIter": [3]},
+    "SecondOrderBoosting": {"stepSize": [0.2], "maxIter": [3]},
 }
 
 
@@ -148,3 +148,55 @@ def test_grid_search_reports_every_model(spark):
 def test_full_grids_are_the_published_ones():
     sizes = {m: int(np.prod([len(v) for v in g.values()])) for m, g in training.GRIDS.items()}
     assert sum(sizes.values()) == 14 and training.FOLDS == 3
+
+
+def test_adaboost_finds_thresholds_among_many_values(spark):
+    """Ten thousand values of one column: no level is left out."""
+    rng = np.random.default_rng(6)
+    x = np.stack([rng.permutation(10_000) / 3, rng.integers(0, 4, 10_000)], axis=1).astype(float)
+    y = ((x[:, 0] > 2345.6) ^ (rng.random(10_000) < 0.2)).astype(int)
+    rows = [(*map(float, r), int(v)) for r, v in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    stumps = adaboost.fit_adaboost(distinct_rows(df, ["a", "b"], "y"), ["a", "b"], 3)
+    # Running sums in plain numpy, one threshold between any two neighbouring values.
+    w = np.full(len(y), 1.0)
+    for s in stumps:
+        best = None
+        for f in (0, 1):
+            order = np.argsort(x[:, f], kind="stable")
+            v, a, b = x[order, f], np.cumsum((w * (y == 0))[order]), np.cumsum((w * (y == 1))[order])
+            cut = np.flatnonzero(v[1:] != v[:-1])
+            p, q = a[-1] - a[cut], b[-1] - b[cut]
+            impurity = a[cut] * b[cut] / (a[cut] + b[cut]) + p * q / (p + q)
+            k = int(np.argmin(impurity))
+            if best is None or impurity[k] < best[0] - 1e-9:
+                best = (impurity[k], "ab"[f], (v[cut[k]] + v[cut[k] + 1]) / 2)
+        assert (s.feature, s.threshold) == (best[1], pytest.approx(best[2]))
+        vote = np.where(x[:, "ab".index(s.feature)] <= s.threshold, s.left, s.right)
+        w = w * np.exp(s.alpha * (vote != y))
+
+
+def test_stumps_as_trees_and_sets_in_lockstep(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-1, 2, (300, 3)).astype(float)
+    y = ((x @ np.array([1.0, -1.0, 0.5]) + rng.normal(0, 0.7, 300)) > 0).astype(int)
+    copies = rng.integers(1, 4, (300, 2)).astype(float)
+    rows = [(list(map(float, r)), float(v), list(map(float, c))) for r, v, c in zip(x, y, copies, strict=True)]
+    df = spark.createDataFrame(rows, "values array<double>, label double, copies array<double>")
+    both = adaboost.fit_adaboost_sets(df, list("abc"), [0, 1], 13)
+    for s in (0, 1):
+        alone = df.select(*[F.get("values", F.lit(i)).alias(c) for i, c in enumerate("abc")], "label", F.get("copies", F.lit(s)).alias("copies"))
+        one = adaboost.fit_adaboost(alone, list("abc"), 13)
+        assert [(t.feature, t.threshold, t.left, t.right) for t in one] == [(t.feature, t.threshold, t.left, t.right) for t in both[s]]
+        scored = adaboost.apply_adaboost(alone, one).toPandas()
+        p = adaboost.as_ensemble(one, list("abc")).scorer()(scored[list("abc")].to_numpy())
+        assert np.allclose(p, [v[1] for v in scored["probability"]]) and ((p > 0.5) == (scored["prediction"] == 1)).all()
+
+
+def test_training_sets_deal_like_the_folds(spark):
+    columns = ["a", "b", "c"]
+    whole = distinct_rows(separable(spark, 200), columns, "y")
+    dealt = {(r["a"], r["b"], r["c"], r["label"], r["fold"]): r["copies"] for r in with_folds(whole, columns, 3).collect()}
+    for r in training_sets(whole, columns, 3).collect():
+        shares = [dealt.get((*r["values"], r["label"], k), 0) for k in range(3)]
+        assert r["fold_copies"] == shares and r["copies"] == [sum(shares) - s for s in shares] + [sum(shares)]
