@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.llm.components import components
+from lurescope.llm.handback import giving_back
 from lurescope.llm.textblocks import Block, blocks, mixed, ngrams, words
 from lurescope.session import stored
 
@@ -93,7 +94,7 @@ def _sets(documents: DataFrame, size: int, with_tokens: bool) -> DataFrame:
                 yield pa.record_batch(columns, ["doc_id", "text_hash", "n", "node", *["tokens"] * with_tokens])
 
     schema = "doc_id bigint, text_hash bigint, n bigint, node bigint" + ", tokens binary" * with_tokens
-    return documents.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(giving_back(run), schema)
 
 
 def _packed(keys: np.ndarray, columns: dict[str, np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
@@ -162,7 +163,7 @@ def _send_tokens(nodes: DataFrame, parts: int) -> DataFrame:
         if node:
             yield from pack(node, n, tokens)
 
-    return nodes.mapInArrow(run, "part int, entries binary, tokens binary")
+    return nodes.mapInArrow(giving_back(run), "part int, entries binary, tokens binary")
 
 
 def _shared_tokens(sent: DataFrame, parts: int) -> DataFrame:
@@ -186,13 +187,15 @@ def _shared_tokens(sent: DataFrame, parts: int) -> DataFrame:
         owner = np.repeat(np.arange(len(entry), dtype=np.int32), entry["count"])
         order = np.argsort(token)
         token, owner = token[order], owner[order]
+        del order
         start, count = _runs(token)
         many = np.repeat(count >= 2, count)
         frequency = np.repeat(np.minimum(255, np.round(8 * np.log2(count))).astype(np.uint8), count)[many]
         token, owner = token[many], owner[many]
+        del many
         order = np.argsort(owner, kind="stable")
         token, owner, frequency = token[order], owner[order], frequency[order]
-        del order, many
+        del order
         start, count = _runs(owner)
         found = entry[owner[start]]
         found["count"] = count
@@ -206,7 +209,7 @@ def _shared_tokens(sent: DataFrame, parts: int) -> DataFrame:
         if rows:
             yield pa.record_batch(list(rows.values()), list(rows))
 
-    return sent.mapInArrow(run, "part int, entries binary, tokens binary, frequency binary")
+    return sent.mapInArrow(giving_back(run), "part int, entries binary, tokens binary, frequency binary")
 
 
 def _ordered(token: np.ndarray, frequency: np.ndarray, order: int) -> np.ndarray:
@@ -227,10 +230,15 @@ def _survivors(returned: DataFrame, percent: int) -> DataFrame:
         if not entries:
             return
         entry, token, frequency = np.concatenate(entries), np.concatenate(tokens), np.concatenate(frequencies)
+        entries.clear()
+        tokens.clear()
+        frequencies.clear()
         node = np.repeat(entry["node"], entry["count"])
         size = np.repeat(entry["n"], entry["count"])
+        del entry
         order = np.lexsort((token, node))
         token, frequency, node, size = token[order], frequency[order], node[order], size[order]
+        del order
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))  # a node sent twice
         token, frequency, node, size = token[new], frequency[new], node[new], size[new]
         start, count = _runs(node)
@@ -251,7 +259,7 @@ def _survivors(returned: DataFrame, percent: int) -> DataFrame:
                 ["node", "n", "own", "tokens", "frequency"],
             )
 
-    return returned.mapInArrow(run, "node bigint, n bigint, own bigint, tokens binary, frequency binary")
+    return returned.mapInArrow(giving_back(run), "node bigint, n bigint, own bigint, tokens binary, frequency binary")
 
 
 def _prefixes(vectors: DataFrame, percent: int) -> DataFrame:
@@ -268,7 +276,7 @@ def _prefixes(vectors: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "node", "n", "rest"])
 
-    return vectors.mapInArrow(run, "token bigint, node bigint, n bigint, rest bigint")
+    return vectors.mapInArrow(giving_back(run), "token bigint, node bigint, n bigint, rest bigint")
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
@@ -293,7 +301,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
                     linked[i] = 100 * common >= percent * (n + m - common)
             yield pa.record_batch([column["a"].filter(pa.array(linked)), column["b"].filter(pa.array(linked))], ["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(giving_back(run), "a bigint, b bigint")
 
 
 def _size_class(n: Column) -> Column:
@@ -330,8 +338,8 @@ def links(vectors: DataFrame, percent: int) -> DataFrame:
 def _linked_nodes(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored ``doc_id, text_hash, n, node`` per row; ``node, least_id`` of every node; ``node, component`` of the linked ones."""
     spark = documents.sparkSession
-    # Each part is a partition of its own (by id, not by a hash of it), twice the usual number: a task sorts its part in memory.
-    parts = min(65_536, 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # Each part is a partition of its own (by id, not by a hash of it), four times the usual number: a task sorts its part in memory.
+    parts = min(65_536, 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     base = stored(_sets(documents, size, with_tokens=False))
     classes = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     several = classes.where("copies > 1").select("node", "least_id")

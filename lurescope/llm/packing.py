@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from lurescope.llm.handback import giving_back
 from lurescope.session import stored
 
 CAPACITY = 2048
@@ -100,7 +101,7 @@ def tokenized_pieces(documents: DataFrame, capacity: int = CAPACITY, encoder: Ca
             )
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(giving_back(run), schema)
 
 
 def placement_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -185,7 +186,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int | None = None
             yield pa.record_batch([*[batch.column(c) for c in names], pa.array(sequence), pa.array(table[at, 4])], [*names, "sequence_id", "offset"])
 
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return ranked.select(*names, "rank").mapInArrow(run, schema)
+    return ranked.select(*names, "rank").mapInArrow(giving_back(run), schema)
 
 
 def _groups(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

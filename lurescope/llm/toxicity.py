@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from lurescope.llm.handback import giving_back
 from lurescope.llm.linear import collect_sparse, labelled_sample, platt, sigmoid
 from lurescope.llm.textblocks import _LOWER, Block, blocks, mixed, ngrams, words
 
@@ -140,6 +141,5 @@ def reject_toxic(documents: DataFrame, model: ToxicityModel) -> DataFrame:
         dense: list[np.ndarray] = []
         for batch in batches:
             yield batch.filter(pa.array(_scorer(shared.value, dense, batch.column("text"), batch.num_rows) < 0.5))
-        pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(giving_back(run), documents.schema)
