@@ -338,8 +338,9 @@ def links(vectors: DataFrame, percent: int) -> DataFrame:
 def _linked_nodes(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored ``doc_id, text_hash, n, node`` per row; ``node, least_id`` of every node; ``node, component`` of the linked ones."""
     spark = documents.sparkSession
-    # Each part is a partition of its own (by id, not by a hash of it), four times the usual number: a task sorts its part in memory.
-    parts = min(65_536, 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # Each part is a partition of its own (by id, not by a hash of it), twice the usual number: a task sorts its part in memory.
+    # More would make the packets, of which every part sends one to every other, too many and too small.
+    parts = min(65_536, 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     base = stored(_sets(documents, size, with_tokens=False))
     classes = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     several = classes.where("copies > 1").select("node", "least_id")
