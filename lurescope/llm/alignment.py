@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,7 +41,7 @@ from lurescope.llm.spacechunks import chunks, windows
 from lurescope.llm.textblocks import mixed
 from lurescope.session import stored
 
-KEPT = 400_000
+KEPT = 700_000
 SHORT = 100
 TOGETHER = 1 << 20
 SHARED = 2_000_000
@@ -122,20 +123,21 @@ class Tokenizers:
         code = np.frombuffer(spaced.encode("utf-32-le"), "<u4")
         width = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
         before = np.concatenate(([0], np.cumsum(width)))
-        a_ends = token_ends(np.array(a_side.offsets, np.int64).reshape(-1, 2), self.a_sizes[a], before)
+        a_ends = token_ends(_lines(a_side.offsets), self.a_sizes[a], before)
         # B's spans are those of the text, so one character is missing in front.
-        b_spans = np.array(b_side["offsets"], np.int64).reshape(-1, 2) + 1
-        b_ends = token_ends(b_spans, self.b_sizes[b], before)
-        ends = np.union1d(a_ends, b_ends)
+        b_ends = token_ends(_lines(b_side["offsets"]) + 1, self.b_sizes[b], before)
+        both = np.sort(np.concatenate((a_ends, b_ends)), kind="stable")  # two rising runs, merged
+        again = both[1:] == both[:-1]
+        ends, cuts = both[np.concatenate(([True], ~again))], both[1:][again]
         links = (a[np.searchsorted(a_ends, ends)] << 32) | b[np.searchsorted(b_ends, ends)]
-        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
         a_cut, b_cut = np.searchsorted(a_ends, cuts) + 1, np.searchsorted(b_ends, cuts) + 1
         groups = _group_texts(a_side.ids, a_cut.tolist(), b_side["ids"], b_cut.tolist())
 
         at = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in parts])
-        if not np.isin(at, cuts).all():
+        place = np.minimum(np.searchsorted(cuts, at), len(cuts) - 1)
+        if (cuts[place] != at).any():
             raise ValueError("a token goes on over a single space")
-        g = [0, *(np.searchsorted(cuts, at) + 1).tolist()]
+        g = [0, *(place + 1).tolist()]
         k = [0, *(np.searchsorted(ends, at) + 1).tolist()]
         x, y = [0, *a_cut[np.array(g[1:]) - 1].tolist()], [0, *b_cut[np.array(g[1:]) - 1].tolist()]
         packed = links.astype("<u8").tobytes()
@@ -151,6 +153,10 @@ class Tokenizers:
         return found
 
 
+def _lines(spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
+
+
 def _group_texts(a: list[int], a_cut: list[int], b: list[int], b_cut: list[int]) -> list[str]:
     """``a1,a2|b1`` of every group; the cuts are the number of tokens up to each group's end."""
     a_text, b_text, x, y, found = [*map(str, a)], [*map(str, b)], 0, 0, []
