@@ -5,7 +5,7 @@ its commas to its parent, half of them to the grandparent and a falling share fu
 container's points are discounted by its link density. The best container is kept together
 with those of its siblings that score near it or are headings or running text; inside an article or main
 element all of that element is kept. Navigation,
-headers, footers, side columns, notices, adverts, forms, scripts, styles and reader comments go by
+headers (but an article's own), footers, side columns, notices, adverts, forms, scripts, styles and reader comments go by
 element, role or class, link lists by their density. A class drops no element around the main element, nor one named
 after layout around most of the running text or of the articles' text; if nothing is left, classes are not looked at.
 
@@ -22,25 +22,33 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
+_OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Fixed values of HTML: element groups.
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "noembed", "noframes", "xmp"}
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "object", "canvas", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture", "audio", "video", "map", "output", "ruby", "rt", "rp", "nobr"}
 DROPPED = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "head", "datalist", "progress", "meter"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist", "tooltip", "status", "feed"}
+#: Characters of a link from which it reads as a title, on average over a list.
+TITLE = 20
 #: Elements whose start ends an open element of the named kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = {"ul", "ol", "dl", "table", "body", "html"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements of formulas, read like text inside a sentence.
+FORMULA = {"math", "mrow", "mi", "mo", "mn", "ms", "mtext", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "munder", "mover", "munderover", "mstyle", "mspace", "mpadded", "mphantom", "menclose", "mtable", "mtr", "mtd", "semantics"}
+INLINE |= FORMULA
+RAW |= {"annotation", "annotation-xml"}
 NEVER_DROPPED = {"html", "body", "main", "article"}
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "div", "section", "article", "main", "li", "dd", "body"}
 
@@ -59,10 +67,11 @@ _GOOD = re.compile(r"(?:^|[\s_-])(?:article|main|content|body|post|entry|story|t
 
 
 class _Node:
-    __slots__ = ("by_class", "children", "dropped", "good", "length", "links", "linked", "parent", "score", "tag", "whole")
+    __slots__ = ("by_class", "children", "dropped", "good", "inside", "length", "links", "linked", "parent", "score", "tag", "whole")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool, good: bool, whole: str = "", by_class: str = ""):
         self.tag, self.parent, self.dropped, self.good = tag, parent, dropped, good
+        self.inside = parent is not None and (parent.inside or parent.whole == "article")  # an article
         self.whole = whole  # "article" or "main", by element or role
         self.by_class = by_class  # "layout" or "other", where its names ask to drop it
         self.children: list[_Node | str] = []  # blocks of text and block elements, in page order
@@ -83,7 +92,7 @@ def _is_dropped(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.IGNORECASE):
         return True
-    return tag == "header"
+    return False
 
 
 def _named(tag: str, attributes: dict[str, str]) -> str:
@@ -103,11 +112,65 @@ def _named(tag: str, attributes: dict[str, str]) -> str:
     return kind
 
 
+class _Scanner:
+    """Comments, declarations and tags of a page, one after the other, in time linear in its length.
+
+    A tag ends at the first ``>`` outside quotes. One that has none is text; the quotes its search came by are
+    remembered, as any later tag that comes to one of them has no end either.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.dead: set[int] = set()
+        self.near = (0, -1)  # no end or quote from the first position up to the second
+        self.final = {quote: page.rfind(quote) for quote in "\"'"}
+
+    def _stop(self, at: int) -> int:
+        if not self.near[0] <= at <= self.near[1]:
+            m = _STOP.search(self.page, at, self.last + 1)
+            self.near = (at, m.start() if m else self.last + 1)
+        return self.near[1]
+
+    def _end(self, at: int) -> int:
+        """Position of the ``>`` that ends a tag whose name ends at ``at``; -1 if there is none."""
+        page, seen = self.page, []
+        stop = self._stop(at)
+        while stop <= self.last and stop not in self.dead:
+            if page[stop] == ">":
+                return stop
+            seen.append(stop)
+            if stop == self.final[page[stop]]:
+                break
+            close = page.find(page[stop], stop + 1)
+            m = _STOP.search(page, close + 1, self.last + 1)
+            stop = m.start() if m else self.last + 1
+        self.dead.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it is an end tag, name ("" if no tag) and attributes of the next markup from ``at``."""
+        page = self.page
+        while (m := _OPENING.search(page, at)) is not None:
+            if m[0] == "<!--":
+                stop = page.find("-->", m.end())
+                return m.start(), (stop + 3 if stop >= 0 else len(page)), False, "", ""
+            if m.start() > self.last:
+                at = m.end()  # only an unclosed comment may follow the last ``>``
+                continue
+            stop = page.find(">", m.end()) if m[2] is None else self._end(m.end())
+            if stop >= 0:
+                return m.start(), stop + 1, bool(m[1]), m[2] or "", page[m.end() : stop]
+            at = m.end()
+        return None
+
+
 def parse(page: str) -> _Node:
     """The tree of block elements; text blocks are strings with single spaces."""
     root = _Node("html", None, False, False)
     node, run, linked, link_from = root, [], 0, None
     at = 0
+    scanner = _Scanner(page)
+    open_tags: Counter[str] = Counter()
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -136,10 +199,15 @@ def parse(page: str) -> _Node:
             if link_from is left:
                 link_from = None
             node = left.parent or root
-            if left is to or left is root:
+            if left is root:
+                return
+            open_tags[left.tag] -= 1
+            if left is to:
                 return
 
     def find(tags: set[str], within: set[str]) -> _Node | None:
+        if not any(open_tags[t] > 0 for t in tags):
+            return None
         up = node
         while up is not root and up.tag not in within:
             if up.tag in tags:
@@ -147,15 +215,16 @@ def parse(page: str) -> _Node:
             up = up.parent
         return None
 
-    while (m := _MARKUP.search(page, at)) is not None:
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    while (m := scanner.next(at)) is not None:
+        start, after, end, name, raw = m
+        text(page[at:start])
+        at = after
+        if not name:
             continue
-        end, tag = bool(m[1]), m[2].lower()
+        tag = name.lower()
         if not end and tag in RAW:
-            if not m[3].endswith("/") or tag in ("script", "style", "title", "textarea"):
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            if not raw.endswith("/") or tag in ("script", "style", "title", "textarea"):
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at, scanner.last + 1)
                 at = stop.end() if stop else len(page)
             continue
         if tag in VOID:
@@ -170,7 +239,7 @@ def parse(page: str) -> _Node:
                 node.links += 1
             continue
         if tag in INLINE:
-            attributes = {} if end else _attributes(m[3])
+            attributes = {} if end else _attributes(raw)
             if not attributes or not (_is_dropped(tag, attributes) or _named(tag, attributes)):
                 continue
         if end:
@@ -184,11 +253,13 @@ def parse(page: str) -> _Node:
                 close(opened)
         if tag in ("html", "body") and node is root:
             continue
-        attributes = _attributes(m[3])
+        attributes = _attributes(raw)
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
         role = attributes.get("role", "").lower()
         whole = tag if tag in ("article", "main") else role if role in ("article", "main") else ""
-        node = _Node(tag, node, node.dropped or _is_dropped(tag, attributes), bool(whole or _GOOD.search(names)), whole, _named(tag, attributes))
+        open_tags[tag] += 1
+        dropped = _is_dropped(tag, attributes) or tag == "header" and not open_tags["article"]
+        node = _Node(tag, node, node.dropped or dropped, bool(whole or _GOOD.search(names)), whole, _named(tag, attributes))
     tail = page[at:]
     text(tail if not re.match(r"<[/a-zA-Z!?]", tail) else "")
     flush()
@@ -259,6 +330,9 @@ def _score(root: _Node) -> list[_Node]:
 
 
 def _link_list(n: _Node) -> bool:
+    """Whether ``n`` is a menu or the like; inside an article, lists of titles and linked paragraphs are its own."""
+    if n.inside and (n.tag == "p" or n.linked >= TITLE * n.links):
+        return False
     return n.links > 2 and n.linked > 0.7 * n.length and n.tag in ("ul", "ol", "div", "section", "table", "dl", "p")
 
 

@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 import zlib
 
 import duckdb
@@ -162,6 +163,32 @@ VALUES = [
 REFUSED = ["4041894974608794", "000-11-2222", "666-11-2222", "999.1.1.1", "1.2.3.4.5", "2023-02-30", "4.0.", "12", "DE88 3704 0044 0532 0130 00"]
 
 
+def test_an_articles_own_parts_stay():
+    text = "A long sentence of the article, with commas, and more words to read here. " * 6
+    sources = "".join(f"<li><a href='{k}'>{k} source with a long name</a></li>" for k in ("First", "Second", "Third"))
+    page = f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>{text}</p><ul>{sources}</ul><p>Where <math><mi>x</mi><mo>=</mo><mn>3</mn></math> holds.</p></article>"
+    want = ["Title", text.strip(), *(f"{k} source with a long name" for k in ("First", "Second", "Third")), "Where x=3 holds."]
+    assert maintext.main_text(page).split("\n") == want
+    menu = f"<body><article><p>{text}</p><ul><li><a>Home</a><li><a>News</a><li><a>Sport</a></ul></article>"
+    assert maintext.main_text(menu) == text.strip()
+
+
+@pytest.mark.parametrize("piece, end", [("<a ", ""), ('<a x="', ""), ('<a ">" ', "'"), ('<a >"', ""), ("<!", ""), ("<", ""), ("<div>", "</p>" * 100_000), ("<p><b ", "'>"), ("<script>", ""), ("<!--", "")])
+def test_broken_markup_takes_linear_time(piece, end):
+    def seconds(times):
+        began = time.process_time()
+        maintext.main_text(piece * times + end)
+        return time.process_time() - began
+
+    small, large = seconds(20_000), seconds(200_000)
+    assert large < 2 or large < 30 * small  # ten times the page; a quadratic scan takes a hundred times as long
+
+
+def test_quotes_inside_broken_tags():
+    assert maintext.main_text("<p>one <a '<b \"' x \"> two</p>") == "one <a ' two"  # the outer tag never ends, the inner one does
+    assert maintext.main_text("<p>one</p><p title='a > b'>two</p>") == "one\ntwo"
+
+
 def test_pseudonyms_keep_formats_and_links(spark):
     rows = [(k, f"see {v}, then {v}.") for k, v in enumerate(VALUES)] + [(100 + k, f"see {v}, then.") for k, v in enumerate(REFUSED)]
     rows += [(200, "4041-8949-7460-8795 and 988-555-2485")]
