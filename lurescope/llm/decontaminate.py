@@ -3,8 +3,9 @@
 Texts are cut into words (runs of letters, inner apostrophes allowed) and numbers. A template replaces numbers
 by ``<num>``, a unit after a number by ``<unit>`` and capitalised words that do not begin a
 sentence by ``<name>``; other words are lower-cased. Windows of five tokens are hashed twice:
-as lower-cased words, and as a template where they hold a placeholder. The benchmark's windows
-are joined with the documents' by hash. Template matches count if their slots
+as lower-cased words, and as a template where they hold a placeholder and enough literal words: two of five tokens,
+half of a shorter window, one at least. A window of numbers or names alone says nothing about its text: it would meet
+every other such window, so it counts as words only. The benchmark's windows are joined with the documents' by hash. Template matches count if their slots
 are consistent: each value of the item stands for one value in the
 document and no two for the same. So re-parameterised
 questions are caught and chance matches of templates are not. Slots are compared over all matches of a (document, item)
@@ -74,15 +75,19 @@ def _plain_windows(window: int) -> Column:
 
 
 def _template_windows(window: int) -> Column:
-    """Start, hash and slots of the windows that hold a placeholder."""
+    """Start, hash and slots of the windows that hold a placeholder among enough literal words."""
     tokens = F.col("tokens")
 
     def described(i: Column) -> Column:
         part = F.slice(tokens, i, window)
         slots = F.transform(F.filter(part, lambda x: x["template"].startswith("<")), lambda x: F.concat_ws("|", x["template"], x["plain"]))
-        return F.struct((i - 1).alias("at"), F.xxhash64(F.lit("template"), part["template"]).alias("hash"), slots.alias("slots"))
+        return F.struct((i - 1).alias("at"), F.xxhash64(F.lit("template"), part["template"]).alias("hash"), slots.alias("slots"), F.size(part).alias("n"))
 
-    return F.filter(F.transform(_starts(tokens, window), described), lambda x: F.size(x["slots"]) > 0)
+    def telling(x: Column) -> Column:
+        filled = F.size(x["slots"])
+        return (filled > 0) & (x["n"] - filled >= F.greatest(F.lit(1), F.floor(x["n"] / 2)))
+
+    return F.filter(F.transform(_starts(tokens, window), described), telling)
 
 
 def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -169,7 +174,8 @@ doc AS (SELECT * FROM win WHERE side = 'd'),
 exact AS (SELECT DISTINCT doc.id AS doc_id, item.id AS item_id, item.i FROM doc JOIN item ON doc.ps = item.ps),
 alike AS (
   SELECT doc.id AS doc_id, item.id AS item_id, item.i, unnest(item.ps) AS a, unnest(doc.ps) AS b, unnest(item.ts) AS t
-  FROM doc JOIN item ON doc.ts = item.ts WHERE array_to_string(item.ts, ' ') LIKE '%<%'),
+  FROM doc JOIN item ON doc.ts = item.ts WHERE array_to_string(item.ts, ' ') LIKE '%<%'
+    AND len(list_filter(item.ts, lambda t: t NOT LIKE '<%')) >= greatest(1, len(item.ts) // 2)),
 loose AS (SELECT * FROM alike ANTI JOIN exact USING (doc_id, item_id, i)),
 slots AS (SELECT DISTINCT doc_id, item_id, t || '|' || a AS a, t || '|' || b AS b FROM loose WHERE t LIKE '<%'),
 fits AS (

@@ -209,6 +209,16 @@ def test_variants_and_chance_hits_hide_no_copy(spark):
     assert got == sorted((str(d), str(i)) for d in (1, 2, 5, None) for i in (0, None))
 
 
+def test_number_lists_are_no_copies(spark):
+    lists = spark.range(2000).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 40), k -> cast(abs(xxhash64(id, k)) % 100000 AS string)), ' ') AS text")
+    items = spark.range(500).selectExpr("id AS item_id", "array_join(transform(sequence(1, 40), k -> cast(abs(xxhash64(id + 5000, k)) % 100000 AS string)), ' ') AS text")
+    names = spark.createDataFrame([(-1, "the Anna Berta Clara Dora Emma Frida")], "item_id bigint, text string")
+    own = spark.createDataFrame([(9000, None), (9001, "the Gerd Hans Ingo Jan Karl Lutz")], "doc_id bigint, text string")
+    copy = items.where("item_id = 7").selectExpr("9002L AS doc_id", "text")
+    got = decontaminate.contaminated_pairs(lists.unionByName(own).unionByName(copy), items.unionByName(names)).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(9002, 7)]  # the same numbers are a copy, other numbers are not
+
+
 def test_decontamination_of_odd_rows(spark, odd, odd_rows, none):
     items = spark.createDataFrame([(0, odd_rows[0][1][:200], "own"), (None, "x", None), (5, None, None), (0, odd_rows[0][1][:200], "own")], "item_id bigint, text string, n string")
     kept = decontaminate.drop_contaminated(odd, items)
