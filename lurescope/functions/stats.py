@@ -12,8 +12,46 @@ SERIES_TERMS = 100
 SMALL_LAMBDA = 0.2
 
 
-def ks_p_value(d: Column, n1: Column, n2: Column) -> Column:
-    """Two-sided p-value of the two-sample KS statistic; null if a side is empty."""
+#: Products of the two sample sizes up to which the p-value is exact.
+EXACT_CELLS = 10_000
+
+
+def exact_ks_p_value(d: Column, n1: Column, n2: Column) -> Column:
+    """Exact two-sided p-value for small samples without ties, as a lattice-path recurrence.
+
+    An order of the pooled samples is a path from (0, 0) to (n1, n2), and all paths are alike likely. The p-value is
+    the share of paths that touch a point where the two running shares are ``d`` or more apart. The state is one row
+    of the lattice, over the smaller sample; a step of the larger sample makes the next row. Comparisons are made in
+    whole numbers: ``d`` times both sizes is one.
+    """
+    m, n = F.least(n1, n2).cast("int"), F.greatest(n1, n2).cast("int")
+    limit = F.round(d * m * n).cast("long")
+
+    def next_row(row: Column, i: Column) -> Column:
+        def with_cell(cells: Column, j: Column) -> Column:
+            apart = F.abs(i.cast("long") * m - j.cast("long") * n) >= limit
+            along = F.coalesce(F.get(row, j), F.lit(0.0)) * i + F.coalesce(F.get(cells, j - 1), F.lit(0.0)) * j
+            return F.concat(cells, F.array(F.when(apart, F.lit(1.0)).otherwise(along / F.greatest(i + j, F.lit(1)))))
+
+        return F.aggregate(F.sequence(F.lit(0), m), F.array().cast("array<double>"), with_cell)
+
+    last = F.aggregate(F.sequence(F.lit(0), n), F.array().cast("array<double>"), next_row)
+    return F.get(last, m)
+
+
+def ks_p_value(d: Column, n1: Column, n2: Column, exact_cells: int = EXACT_CELLS) -> Column:
+    """Two-sided p-value of the two-sample KS statistic; null if a side is empty.
+
+    Exact where the product of the sizes is at most ``exact_cells``, the corrected limiting form beyond.
+    """
+    small = (n1 > 0) & (n2 > 0) & (n1.cast("double") * n2 <= exact_cells)
+    # Sizes outside the exact range read as 1, so that no row is ever longer than the range.
+    size = lambda n: F.when(small, n).otherwise(F.lit(1))
+    return F.when(small, exact_ks_p_value(d, size(n1), size(n2))).otherwise(limiting_ks_p_value(d, n1, n2))
+
+
+def limiting_ks_p_value(d: Column, n1: Column, n2: Column) -> Column:
+    """The limiting form with its small-sample correction; null if a side is empty."""
     n1, n2 = n1.cast("double"), n2.cast("double")
     root = F.sqrt(n1 * n2 / (n1 + n2))
     lam = d * (root + F.lit(0.12) + F.lit(0.11) / root)

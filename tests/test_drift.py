@@ -1,9 +1,15 @@
 """KS, PSI and exact quantiles against numpy, and the two drift front ends."""
 
+from fractions import Fraction
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from lurescope.functions.stats import ks_p_value
 from lurescope.operators import distribution as dist
 from lurescope.operators import drift
 
@@ -103,3 +109,33 @@ def test_validation_drift(spark):
     assert rows["Result"]["p_value"] is None and not rows["Result"]["drift_status"]  # missing from current
     assert drift.drift_free(drift.validation_drift(base, current)).first()["drift_free"] is False
     assert drift.drift_free(drift.validation_drift(base, base)).first()["drift_free"] is True
+
+
+def enumerated_ks(n1, n2):
+    """(d times both sizes, p) by going through every order of the pooled samples."""
+    found = []
+    for places in combinations(range(n1 + n2), n1):
+        mine, seen, most = set(places), 0, 0
+        for k in range(n1 + n2):
+            seen += k in mine
+            most = max(most, abs(seen * n2 - (k + 1 - seen) * n1))
+        found.append(most)
+    return [(h, Fraction(sum(x >= h for x in found), comb(n1 + n2, n1))) for h in sorted(set(found))]
+
+
+def test_small_samples_have_exact_p(spark):
+    want = {(n1, n2, h): p for n1 in range(1, 9) for n2 in range(n1, 9) for h, p in enumerated_ks(n1, n2)}
+    rows = [(n1, n2, h, h / (n1 * n2)) for n1, n2, h in want] + [(n2, n1, h, h / (n1 * n2)) for n1, n2, h in want]
+    got = spark.createDataFrame(rows, "n1 long, n2 long, h long, d double").withColumn("p", ks_p_value(F.col("d"), F.col("n1"), F.col("n2")))
+    for r in got.collect():
+        assert r.p == pytest.approx(float(want[min(r.n1, r.n2), max(r.n1, r.n2), r.h]), rel=1e-12)
+
+
+def test_exact_and_limiting_p_meet(spark):
+    rows = [(100, 100, 0.2), (1, 10_000, 0.9), (100, 101, 0.2), (0, 5, 0.3), (5, 0, None), (7, 9, 0.0), (7, 9, 1.0)]
+    got = spark.createDataFrame(rows, "n1 long, n2 long, d double").select(ks_p_value(F.col("d"), F.col("n1"), F.col("n2"))).collect()
+    p = [r[0] for r in got]
+    reflected = 2 * sum((-1) ** (k - 1) * comb(200, 100 - 20 * k) for k in range(1, 6)) / comb(200, 100)  # equal sizes
+    assert p[0] == pytest.approx(reflected, rel=1e-9) and p[1] == pytest.approx(0.2, abs=1e-3)  # one value beyond a tenth from either end
+    assert p[2] == pytest.approx(p[0], abs=1e-2) and p[3] is None and p[4] is None
+    assert p[5] == 1.0 and p[6] == pytest.approx(2 / comb(16, 7))
