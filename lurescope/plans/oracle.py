@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lurescope.contract import FEATURES, LURE_WORDS, SHORTENERS
 from lurescope.functions import reports
+from lurescope.functions.stats import EXACT_CELLS
 from lurescope.functions.urls import DOTTED_QUAD
 from lurescope.operators.transcript import CHAT_PREAMBLE, TURNS_PER_PART
 from lurescope.plans.inputs import CODES, MEASURES, RULES
@@ -206,6 +207,18 @@ ks0 AS (
          max(abs(CAST(cum_ref AS DOUBLE) / nullif(tot_ref, 0) - CAST(cum_cur AS DOUBLE) / nullif(tot_cur, 0))) AS ks_d
   FROM running GROUP BY feature),
 ks AS (SELECT *, {ks_p()} AS ks_p FROM ks0)"""
+# The lattice of exact p-values cell by cell, one diagonal a step.
+KS_EXACT = f"""
+small AS (
+  SELECT feature, least(n_ref, n_cur) AS m, greatest(n_ref, n_cur) AS n, CAST(round(ks_d * n_ref * n_cur) AS BIGINT) AS far
+  FROM ks0 WHERE n_ref > 0 AND n_cur > 0 AND n_ref * n_cur <= {EXACT_CELLS}),
+lattice(feature, m, n, far, i, j, p) AS (
+  SELECT feature, m, n, far, 0::BIGINT, 0::BIGINT, CASE WHEN far <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM small
+  UNION ALL
+  SELECT feature, m, n, far, x, y, CASE WHEN abs(x * m - y * n) >= far THEN 1.0::DOUBLE ELSE sum(p * CASE WHEN x > i THEN x ELSE y END / (x + y)) END
+  FROM (SELECT l.*, i + di AS x, j + 1 - di AS y FROM lattice l CROSS JOIN (VALUES (0), (1)) AS step(di))
+  WHERE x <= n AND y <= m GROUP BY feature, m, n, far, x, y),
+exact AS (SELECT feature, p FROM lattice WHERE i = n AND j = m)"""
 PSI = """
 quant AS (
   SELECT feature, quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q
@@ -473,6 +486,10 @@ named AS (
 SELECT page_id, variant, DNSRecord, dns_domain, coalesce(resolves, false) AS dns_resolves,
        CASE WHEN resolves THEN ip END AS dns_ip
 FROM named LEFT JOIN dns ON dns.host = dns_domain""",
+    "drift_ks_small": f"""WITH RECURSIVE long AS (
+  SELECT CAST(s_nationkey AS VARCHAR) AS feature, CAST(s_acctbal AS DOUBLE) AS value, true AS is_ref FROM supplier
+  UNION ALL SELECT CAST(c_nationkey AS VARCHAR), CAST(c_acctbal AS DOUBLE), false FROM customer),{KS},{KS_EXACT}
+SELECT feature, n_ref, n_cur, round(ks_d, 6) AS ks_d, round(coalesce(exact.p, ks_p), 6) AS ks_p FROM ks LEFT JOIN exact USING (feature)""",
     "drift_ks": f"WITH {LINEITEM_LONG},{KS} SELECT feature, n_ref, n_cur, round(ks_d, 6) AS ks_d, round(ks_p, 6) AS ks_p FROM ks",
     "drift_psi": f"WITH {LINEITEM_LONG},{KS},{PSI},{report(MEASURES)} SELECT feature, psi FROM report",
     "histogram_counts": f"""WITH {LINEITEM_LONG},{KS},{PSI}
@@ -539,6 +556,7 @@ newest AS (SELECT * FROM scans ORDER BY created_at DESC, id DESC LIMIT 100),
 busiest AS (SELECT url FROM newest GROUP BY url ORDER BY count(*) DESC, url LIMIT 1)
 SELECT id, url, prediction, created_at FROM newest WHERE url = (SELECT url FROM busiest)""",
     "history_summary": f"WITH {SCAN_LOG},{history('scans')} SELECT url, previous_scans, past_verdicts FROM summary",
+    "stream_history": f"WITH {SCAN_LOG},{history('scans')} SELECT url, previous_scans, past_verdicts FROM summary",
     "history_enrich": f"""WITH {SCAN_LOG},{history('scans')},
 users AS (SELECT c_custkey, 'http://site' || c_custkey || '.example.com/' AS url FROM customer)
 SELECT c_custkey, url, coalesce(previous_scans, 0) AS previous_scans, coalesce(past_verdicts, '') AS past_verdicts
@@ -600,6 +618,9 @@ UNION ALL
 SELECT conv_id, coalesce((SELECT max(turn) // {TURNS_PER_PART} + 2 FROM earlier e WHERE e.conv_id = asked.conv_id), 1), 1,
        'User: ' || message || chr(10) || 'Assistant:' FROM asked""",
     "scan_log_roundtrip": SCANS_OUT,
+    "log_compaction_roundtrip": SCANS_OUT,
+    "catalog_roundtrip": f"""WITH {RULE_ROWS}, preds AS (SELECT 'all' AS g, label, medium AS prediction FROM rules),{weighted("g")}
+SELECT {text(MODEL_NAME)} AS name, 2 AS version, printf('%.6f', round(f1, 6)) AS test_f1, 'run-1' AS run_id FROM metrics""",
     "feature_store_roundtrip": f"""WITH {LABELLED}, t AS (SELECT count(*) AS n FROM labelled)
 SELECT 'test' AS split, CAST(ceil(n * 0.2) AS BIGINT) AS n, 'valid' AS kind FROM t
 UNION ALL SELECT 'train', CAST(n - ceil(n * 0.2) AS BIGINT), 'valid' FROM t""",

@@ -18,7 +18,7 @@ from lurescope.operators.intake import check_feedback, check_intake
 from lurescope.operators.patterns import distinct_rows, with_folds
 from lurescope.functions.verdicts import with_verdict
 from lurescope.plans import inputs, jobs
-from lurescope.session import shared_folder
+from lurescope.session import shared_folder, stored
 from lurescope.sources import catalog, logs, store
 from lurescope.sources.tables import read_table
 from lurescope.streaming import jobs as streams
@@ -119,6 +119,20 @@ def drift_ks(spark, sf_dir):
     return summary.select("feature", "n_ref", "n_cur", _r6("ks_d"), _r6("ks_p"))
 
 
+@query
+def drift_ks_small(spark, sf_dir):
+    """Balances of suppliers against customers per nation: few rows a side, where p is exact."""
+
+    def side(table, prefix, is_ref):
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        return rows.select(F.col(f"{prefix}_nationkey").cast("string").alias("feature"), F.col(f"{prefix}_acctbal").cast("double").alias("value"), F.lit(is_ref).alias("is_ref"))
+
+    both = side("supplier", "s", True).unionByName(side("customer", "c", False))
+    counts = both.groupBy("feature", "value").agg(F.count_if("is_ref").alias("n_ref"), F.count_if(~F.col("is_ref")).alias("n_cur"))
+    summary = distribution.summarise(distribution.cumulative_counts(counts), [])
+    return summary.select("feature", "n_ref", "n_cur", _r6("ks_d"), _r6("ks_p"))
+
+
 @query
 def drift_psi(spark, sf_dir):
     return drift.drift_report_from_counts(_lineitem_counts(spark, sf_dir), inputs.MEASURES).select("feature", "psi")
@@ -458,6 +472,35 @@ def scan_log_roundtrip(spark, sf_dir):
     return logs.read_log(spark, root, "scan_history").select("url", "prediction", _r6("probability"), "features")
 
 
+@query
+def log_compaction_roundtrip(spark, sf_dir):
+    """The scan log in batches, some folded, one written again and one new; read back whole."""
+    root = shared_folder(spark, "compacted-log")
+    logs.ensure_logs(spark, root)
+    scored = stored(jobs.score_urls(inputs.page_urls(spark, sf_dir), heuristic)[0])
+    share = F.pmod(F.xxhash64("url"), F.lit(3))
+    for k in (0, 1):
+        logs.log_scans(scored.where(share == k), root, f"batch-{k}")
+    logs.compact_log(spark, root, "scan_history")
+    logs.vacuum_log(spark, root, "scan_history")
+    for k in (1, 2):
+        logs.log_scans(scored.where(share == k), root, f"batch-{k}")
+    logs.compact_log(spark, root, "scan_history")
+    return logs.read_log(spark, root, "scan_history").select("url", "prediction", _r6("probability"), "features")
+
+
+@query
+def catalog_roundtrip(spark, sf_dir):
+    """A version for each of the rules' champions, promoted if better; the catalog's own view of the champion."""
+    root = shared_folder(spark, "catalog")
+    rules = metrics.classification_metrics(inputs.rule_predictions(spark, sf_dir), "label", "medium", [])
+    f1 = round(rules.first()["f1"], 6)
+    for k, share in enumerate((0.5, 1.0, 0.75)):
+        version = catalog.register_version(spark, root, f"run-{k}", f"models/{k}")
+        catalog.promote_if_better(spark, root, version, f1 * share)
+    return catalog.production_info(catalog.read_versions(spark, root), catalog.read_aliases(spark, root))
+
+
 @query
 def feature_store_roundtrip(spark, sf_dir):
     """Snapshot, split and routing of the labelled rows, read back."""
@@ -550,6 +593,19 @@ def stream_enrich(spark, sf_dir):
     return _summary_text(spark.read.parquet(f"{root}/rows"))
 
 
+@query
+def stream_history(spark, sf_dir):
+    """The events' scan log arrives in several batches, in no order of time; the stream's own state is the history."""
+    root = shared_folder(spark, "stream-history")
+    scans = inputs.scan_log(spark, sf_dir).select("id", "url", "prediction", "created_at")
+    order = F.pmod(F.xxhash64("id"), F.lit(3))
+    for k in (2, 1, 0):
+        scans.where(order == k).write.mode("append").parquet(f"{root}/arriving")
+    arriving = streams.read_stream(spark, f"{root}/arriving", scans.schema, files_per_batch=8)
+    streams.history_stream(arriving, root, f"{root}/checkpoint").awaitTermination()
+    return _summary_text(streams.live_history(spark, root))
+
+
 @query
 def stream_feedback(spark, sf_dir):
     root = shared_folder(spark, "stream-feedback")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+import json
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lurescope.contract import FEATURES
+from lurescope.contract import FEATURES, PAST_VERDICTS
+from lurescope.functions.reports import history_verdict
 from lurescope.operators.classify import Classifier
 from lurescope.operators.drift import drift_report_from_counts
 from lurescope.plans.jobs import score_urls
@@ -117,3 +125,62 @@ def stored_drift(
     counts = stored_counts(spark, root)
     counts = counts.where(F.col("day") >= F.lit(since).cast("date")) if since else counts
     return window_drift(reference_counts, counts, columns)
+
+
+#: Shares a URL's scans are dealt to: a URL with a third of all scans is folded by as many tasks.
+HISTORY_SHARES = 16
+
+
+def _newer(scan: list[Any]) -> tuple:
+    """Sorts as ``created_at`` and ``id`` do in the batch history: nulls are the oldest."""
+    at, name, _ = scan
+    return at is not None, at or 0, name is not None, name or ""
+
+
+def _fold_scans(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    n, newest = state.get if state.exists else (0, "[]")
+    kept = json.loads(newest)
+    for batch in batches:
+        n += len(batch)
+        scans = ([None if pd.isna(at) else int(at), None if pd.isna(name) else name, verdict] for at, name, verdict in zip(batch["at"], batch["id"], batch["verdict"], strict=True))
+        kept = heapq.nlargest(PAST_VERDICTS, [*kept, *heapq.nlargest(PAST_VERDICTS, scans, key=_newer)], key=_newer)
+    newest = json.dumps(kept)
+    state.update((n, newest))
+    named = json.dumps([{"at": at, "id": name, "verdict": verdict} for at, name, verdict in kept])
+    yield pd.DataFrame({"url": [key[0]], "share": [key[1]], "n": [n], "newest": [named]})
+
+
+def history_stream(scans: DataFrame, root: str, checkpoint: str, shares: int = HISTORY_SHARES, trigger: dict | None = None) -> StreamingQuery:
+    """Keep each URL's scan count and newest scans as state of the stream itself; ``live_history`` reads them.
+
+    The state of a (URL, share) is a count and five scans, whatever its history. Scans may arrive in any order and at any
+    time: counts add up and the five newest of parts contain the five newest of all. A batch stores the
+    states it changed under its own partition, so a repeated batch is stored once.
+    """
+    rows = scans.select(
+        "url",
+        F.pmod(F.xxhash64("id", "created_at"), F.lit(shares)).cast("int").alias("share"),
+        F.unix_micros("created_at").alias("at"),
+        F.col("id").cast("string").alias("id"),
+        history_verdict(F.col("prediction")).alias("verdict"),
+    )
+    out = "url string, share int, n long, newest string"
+    scans.sparkSession.createDataFrame([], out + ", batch_id string").write.mode("ignore").partitionBy("batch_id").parquet(f"{root}/url_history")
+    states = rows.groupBy("url", "share").applyInPandasWithState(_fold_scans, out, "n long, newest string", "update", GroupStateTimeout.NoTimeout)
+
+    def work(batch: DataFrame, epoch: int) -> None:
+        _replace(batch, f"{root}/url_history", f"{epoch:012d}")
+
+    writer = states.writeStream.outputMode("update").foreachBatch(work).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def live_history(spark: SparkSession, root: str) -> DataFrame:
+    """(url, previous_scans, past_verdicts) as of the last batch, equal to the summary of the whole log."""
+    rows = spark.read.schema("url string, share int, n long, newest string, batch_id string").parquet(f"{root}/url_history")
+    latest = rows.groupBy("url", "share").agg(F.max_by(F.struct("n", "newest"), "batch_id").alias("s"))
+    scans = F.from_json("s.newest", "array<struct<at: long, id: string, verdict: string>>")
+    # At most five scans a share are gathered per URL.
+    merged = latest.groupBy("url").agg(F.sum("s.n").alias("previous_scans"), F.flatten(F.collect_list(scans)).alias("scans"))
+    newest = F.slice(F.sort_array("scans", asc=False), 1, PAST_VERDICTS)
+    return merged.select("url", "previous_scans", F.transform(newest, lambda x: x["verdict"]).alias("past_verdicts"))

@@ -1,6 +1,8 @@
 """Logs, history, catalog, batch jobs and streams end to end."""
 
 import datetime as dt
+import glob
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from lurescope.operators.classify import heuristic_classify
 from lurescope.plans import inputs, jobs
 from lurescope.plans.skew import salted_left_join
 from lurescope.session import shared_folder
-from lurescope.sources import catalog, logs, store
+from lurescope.sources import catalog, logs, markers, store
 from lurescope.sources.tables import read_dataset
 from lurescope.streaming import jobs as streams
 
@@ -85,6 +87,92 @@ def test_feedback_accepts_and_rejects(spark):
     assert seed.columns == [*FEATURES, TARGET] and {r[TARGET] for r in seed.collect()} == {-1, 1}
 
 
+def test_racing_writers_share_no_version(spark):
+    root = shared_folder(spark, "catalog")
+    catalog.ensure_catalog(spark, root)
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda k: catalog.register_version(spark, root, f"r{k}", f"p{k}"), range(8)))
+    rows = catalog.read_versions(spark, root).collect()
+    assert sorted(got) == list(range(1, 9)) and {int(r["version"]): r["run_id"] for r in rows} == {v: f"r{k}" for k, v in enumerate(got)}
+    # A claim without a row is passed over; other models count for themselves.
+    assert catalog.claim_version(spark, root, 9) == 9 and catalog.register_version(spark, root, "late", "p") == 10
+    assert catalog.register_version(spark, root, "other", "p", "second") == 1
+
+
+def test_markers_are_put_once(spark):
+    marker = f"{shared_folder(spark, 'claims')}/commits/1"
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: markers.put_if_absent(spark, marker, f"text {k}"), range(8)))
+    assert won.count(True) == 1 and markers.read_text(spark, marker) == f"text {won.index(True)}"
+    assert markers.names(spark, marker.removesuffix("/1")) == ["1"] and markers.names(spark, marker + "-none") == []
+
+
+def test_compaction_keeps_every_batch_once(spark, monkeypatch):
+    root = shared_folder(spark, "logs")
+    logs.ensure_logs(spark, root)
+
+    def append(batch, n):
+        rows = [(f"{batch}-{k}", f"http://{batch}.org/{k}", 1, 0.5, "[]", None, dt.datetime(2024, 1, 1)) for k in range(n)]
+        logs.append_log(spark.createDataFrame(rows, SCAN_LOG), root, "scan_history", batch)
+
+    def ids():
+        return sorted(r["id"] for r in logs.read_log(spark, root, "scan_history").select("id").collect())
+
+    assert not logs.compact_log(spark, root, "scan_history") and logs.vacuum_log(spark, root, "scan_history") == 0 and ids() == []
+    for batch, n in (("a", 3), ("b c:d", 2), ("e", 1)):
+        append(batch, n)
+    want = ["a-0", "a-1", "a-2", "b c:d-0", "b c:d-1", "e-0"]
+    began = logs.read_log(spark, root, "scan_history").select("id")
+
+    with monkeypatch.context() as m:  # lost before the commit: the log is as it was
+        m.setattr(logs, "put_if_absent", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            logs.compact_log(spark, root, "scan_history")
+    assert ids() == want
+
+    assert logs.compact_log(spark, root, "scan_history") and ids() == want
+    assert sorted(r["id"] for r in began.collect()) == want  # a reader from before
+    append("a", 3)  # a batch that is written again
+    append("f", 2)
+    want += ["f-0", "f-1"]
+    assert ids() == want
+    with monkeypatch.context() as m:  # another compaction commits in between
+        put = logs.put_if_absent
+        m.setattr(logs, "put_if_absent", lambda *x: m.undo() or logs.compact_log(spark, root, "scan_history") and put(*x))
+        assert not logs.compact_log(spark, root, "scan_history")
+    assert ids() == want
+    assert logs.vacuum_log(spark, root, "scan_history") == 6  # four batches, two folders without a manifest
+    assert ids() == want
+    append("e", 1)
+    append("g", 1)
+    want += ["g-0"]
+    assert logs.compact_log(spark, root, "scan_history", rows_per_file=4, whole=True) and ids() == want
+    assert len(list(glob.glob(f"{root}/scan_history_folded/part-*/rows/*.parquet"))) >= 3
+    logs.vacuum_log(spark, root, "scan_history")
+    assert ids() == want and len(glob.glob(f"{root}/scan_history_folded/part-*")) == 1
+
+
+def test_live_history_equals_the_log_in_any_order(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(f"{k:04d}", None if k % 50 == 7 else f"http://{'hot' if k % 3 == 0 else k % 11}.org", k % 5 == 0 and 1 or 0, None if k % 40 == 9 else at + dt.timedelta(seconds=k * 37 % 90)) for k in range(400)]
+    log = spark.createDataFrame(rows, "id string, url string, prediction int, created_at timestamp")
+    want = sorted((str(r.url), r.previous_scans, r.past_verdicts) for r in history.history_summary(log.where("url IS NOT NULL"), None).collect())
+    for order in ("id", "reverse(id)"):
+        root = shared_folder(spark, "live")
+        for k in range(3):
+            log.orderBy(F.expr(order)).offset(k * 134).limit(134).coalesce(1).write.mode("append").parquet(f"{root}/arriving")
+        arriving = streams.read_stream(spark, f"{root}/arriving", log.schema, files_per_batch=1)
+        for _ in range(2):  # the second run finds nothing new
+            streams.history_stream(arriving, root, f"{root}/checkpoint").awaitTermination()
+        got = streams.live_history(spark, root).collect()
+        assert sorted((r.url, r.previous_scans, r.past_verdicts) for r in got if r.url is not None) == want
+        assert [r.previous_scans for r in got if r.url is None] == [8]
+    root = shared_folder(spark, "live")
+    log.limit(0).write.parquet(f"{root}/arriving")
+    streams.history_stream(streams.read_stream(spark, f"{root}/arriving", log.schema), root, f"{root}/checkpoint").awaitTermination()
+    assert streams.live_history(spark, root).collect() == []
+
+
 def test_catalog(spark):
     root = shared_folder(spark, "catalog")
     assert catalog.register_version(spark, root, "r1", "p1") == 1
