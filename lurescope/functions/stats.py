@@ -66,6 +66,20 @@ def limiting_ks_p_value(d: Column, n1: Column, n2: Column) -> Column:
     return F.when((n1 > 0) & (n2 > 0), F.when(lam < SMALL_LAMBDA, F.lit(1.0)).otherwise(bounded))
 
 
+def sketch_value(value: Column, accuracy: float = 0.01) -> Column:
+    """A value's bucket on a logarithmic grid, as a value within ``accuracy`` of it (relative).
+
+    Counts of such values are a quantile sketch: they add up in any order, and a column has a few hundred of them
+    however many rows there are. Zero, infinities and nulls stay; NaN counts as null.
+    """
+    value = value.cast("double")
+    ratio = F.lit((1 + accuracy) / (1 - accuracy))
+    bucket = F.pow(ratio, F.ceil(F.log(F.abs(value)) / F.log(ratio)))
+    middle = F.signum(value) * bucket * 2 / (ratio + 1)
+    exact = (value == 0) | (F.abs(value) == F.lit(float("inf")))
+    return F.when(exact, value).when(~F.isnan(value), middle)
+
+
 def psi_term(expected_share: Column, actual_share: Column) -> Column:
     e = F.greatest(expected_share, F.lit(PSI_FLOOR))
     a = F.greatest(actual_share, F.lit(PSI_FLOOR))

@@ -639,4 +639,22 @@ long AS (
   UNION ALL SELECT 'value_band', CAST(value_band AS DOUBLE), true FROM banded WHERE event_type = 'purchase'
   UNION ALL SELECT 'hour_band', CAST(hour_band AS DOUBLE), true FROM banded WHERE event_type = 'purchase'),
 {KS},{PSI},{report(["value_band", "hour_band"])} SELECT * FROM report""",
+    "stream_event_days": """WITH span AS (SELECT min(CAST(ts AS DATE)) AS first, max(CAST(ts AS DATE)) AS last FROM events),
+placed AS (
+  SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, epoch_ms(ts) AS ms, value, event_id % 10 AS turn,
+         CAST(floor(date_diff('day', first, CAST(ts AS DATE)) * 4 / (date_diff('day', first, last) + 1)) AS INT) AS quarter
+  FROM events, span),
+arrived AS (SELECT *, CASE turn WHEN 3 THEN quarter + 1 WHEN 7 THEN 4 ELSE quarter END AS arrival FROM placed),
+newest AS (SELECT arrival, max(ms) AS ms FROM arrived GROUP BY 1),
+marks AS (
+  SELECT arrival, max(ms) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5 * 86400000 AS mark FROM newest),
+judged AS (
+  SELECT day, value, coalesce(epoch_ms(CAST(CAST(day AS DATE) + 1 AS TIMESTAMP)) <= mark, false) AS late FROM arrived JOIN marks USING (arrival)),
+sketched AS (
+  SELECT day, CASE WHEN value > 100 THEN -1 WHEN value > 30 THEN 0 ELSE 1 END AS band,
+         CASE WHEN value = 0 THEN value ELSE sign(value) * pow(1.01 / 0.99::DOUBLE, ceil(ln(abs(value)) / ln(1.01 / 0.99::DOUBLE))) * 2 / (1.01 / 0.99::DOUBLE + 1) END AS middle
+  FROM judged WHERE NOT late)
+SELECT day, 'value_band' AS feature, CAST(band AS DOUBLE) AS value, count(*) AS n FROM sketched GROUP BY ALL
+UNION ALL SELECT day, 'value_sketch', round(middle, 4), count(*) FROM sketched GROUP BY ALL
+UNION ALL SELECT day, 'late', CAST(NULL AS DOUBLE), count(*) FROM judged WHERE late GROUP BY ALL""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lurescope.contract import FEATURES, NEIGHBOURS, RECENT_SCANS
 from lurescope.functions import reports
-from lurescope.functions.stats import metric_tag
+from lurescope.functions.stats import metric_tag, sketch_value
 from lurescope.operators import adaboost, classify, distribution, drift, gates, history, impute, metrics, quality, scale
 from lurescope.operators import training, transcript
 from lurescope.operators.dns import lookup_dns
@@ -647,3 +647,31 @@ def stream_drift(spark, sf_dir):
     fixed = fixed.select(band.cast("double").alias("value_band"), hour.cast("double").alias("hour_band"))
     reference = fixed.unpivot([], columns, "feature", "value").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     return streams.stored_drift(spark, root, reference, columns)
+
+
+EVENT_LATENESS_DAYS = 5
+
+
+@query
+def stream_event_days(spark, sf_dir):
+    """Daily counts by event time, with a watermark; values are sketched. What came too late is counted apart.
+
+    Events arrive in five rounds by date; of every ten, one arrives a round late and one in the last round.
+    """
+    root = shared_folder(spark, "stream-event-days")
+    events = read_table(spark, sf_dir, "events")
+    span = events.agg(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last")).first()
+    quarter = F.floor(F.datediff(F.to_date("ts"), F.lit(span["first"])) * 4 / ((span["last"] - span["first"]).days + 1))
+    turn = F.col("event_id") % 10
+    arrival = F.when(turn == 3, quarter + 1).when(turn == 7, F.lit(4)).otherwise(quarter)
+    columns = ["value_band", "value_sketch"]
+    band = F.when(F.col("value") > 100, -1).when(F.col("value") > 30, 0).otherwise(1)
+    for k in range(5):
+        events.where(arrival == k).write.mode("append").parquet(f"{root}/arriving")
+        arriving = streams.read_stream(spark, f"{root}/arriving", events.schema, files_per_batch=1_000_000)
+        stream = arriving.select("ts", band.alias("value_band"), sketch_value(F.col("value")).alias("value_sketch"))
+        lateness = f"{EVENT_LATENESS_DAYS} days"
+        streams.event_time_drift_stream(stream, root, f"{root}/checkpoint", columns, lateness=lateness).awaitTermination()
+    late = streams.late_rows(spark, root).select("day", F.lit("late").alias("feature"), F.lit(None).cast("double").alias("value"), "n")
+    both = streams.event_day_counts(spark, root).unionByName(late)
+    return both.withColumns({"day": F.col("day").cast("string"), "value": F.round("value", 4)})

@@ -127,6 +127,88 @@ def stored_drift(
     return window_drift(reference_counts, counts, columns)
 
 
+#: Shares a day's rows are dealt to: a day with a third of all rows is counted by as many tasks.
+DAY_SHARES = 16
+
+
+def _fold_days(columns: list[str]):
+    """State worker of one (day, share): its counts while the day is open, the number of rows that came later."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        closed = pd.isna(key[0]) or key[0] <= state.getCurrentWatermarkMs()
+        counts = {(c, v): n for c, v, n in json.loads(state.get[0])} if state.exists else {}
+        late = 0
+        for batch in batches:
+            if closed:
+                late += len(batch)
+                continue
+            for c in columns:
+                for value, n in batch[c].value_counts(dropna=False).items():
+                    place = (c, None if pd.isna(value) else float(value))
+                    counts[place] = counts.get(place, 0) + int(n)
+        kept = json.dumps([[c, v, n] for (c, v), n in counts.items()])
+        if not closed:
+            state.update((kept,))
+        elif state.exists:
+            state.remove()  # the stored counts of the day are final
+        named = None if closed else json.dumps([{"feature": c, "value": v, "n": n} for (c, v), n in counts.items()])
+        yield pd.DataFrame({"day_end": [None if pd.isna(key[0]) else key[0]], "share": [key[1]], "counts": [named], "n_late": [late]}).astype({"day_end": "Int64"})
+
+    return fold
+
+
+def event_time_drift_stream(
+    stream: DataFrame,
+    root: str,
+    checkpoint: str,
+    columns: list[str] | None = None,
+    ts: str = "ts",
+    lateness: str = "1 day",
+    shares: int = DAY_SHARES,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Count rows by day of their event time as state of the stream; a day closes when the watermark passes its end.
+
+    The watermark trails the newest event time of earlier batches by ``lateness``. Rows of open days change the day's
+    counts however late they are; rows of closed days change nothing and are counted in a side table, read by
+    :func:`late_rows`. Counted and late rows add up to all rows. Rows without a time belong to no day and count as late.
+    Columns are counted value by value: pass continuous ones through ``sketch_value``, so that a day's state is bounded.
+    A batch stores the days it changed under its own partition, so a repeated batch is stored once.
+    """
+    columns = columns or FEATURES
+    day_end = F.unix_millis(F.date_trunc("day", ts) + F.expr("INTERVAL 1 DAY"))
+    share = F.pmod(F.xxhash64(ts, *columns), F.lit(shares)).cast("int")
+    rows = stream.withWatermark(ts, lateness).select(
+        day_end.alias("_day_end"), share.alias("_share"), ts, *[F.col(c).cast("double").alias(c) for c in columns]
+    )
+    out = "day_end long, share int, counts string, n_late long"
+    stream.sparkSession.createDataFrame([], out + ", batch_id string").write.mode("ignore").partitionBy("batch_id").parquet(f"{root}/event_days")
+    days = rows.groupBy("_day_end", "_share").applyInPandasWithState(_fold_days(columns), out, "counts string", "update", GroupStateTimeout.NoTimeout)
+
+    def work(batch: DataFrame, epoch: int) -> None:
+        _replace(batch, f"{root}/event_days", f"{epoch:012d}")
+
+    writer = days.writeStream.outputMode("update").foreachBatch(work).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _event_days(spark: SparkSession, root: str) -> DataFrame:
+    rows = spark.read.schema("day_end long, share int, counts string, n_late long, batch_id string").parquet(f"{root}/event_days")
+    return rows.withColumn("day", F.to_date(F.timestamp_millis(F.col("day_end") - 1)))
+
+
+def event_day_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(day, feature, value, n) as of the last batch, in the form :func:`window_drift` takes."""
+    states = _event_days(spark, root).where("counts IS NOT NULL").groupBy("day", "share").agg(F.max_by("counts", "batch_id").alias("counts"))
+    entries = states.select("day", F.inline(F.from_json("counts", "array<struct<feature: string, value: double, n: long>>")))
+    return entries.groupBy("day", "feature", "value").agg(F.sum("n").alias("n"))
+
+
+def late_rows(spark: SparkSession, root: str) -> DataFrame:
+    """(day, n): rows that came after their day had closed; the null day holds rows without a time."""
+    return _event_days(spark, root).where("n_late > 0").groupBy("day").agg(F.sum("n_late").alias("n"))
+
+
 #: Shares a URL's scans are dealt to: a URL with a third of all scans is folded by as many tasks.
 HISTORY_SHARES = 16
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lurescope.contract import FEATURES, FEEDBACK_LOG, SCAN_LOG, TARGET
+from lurescope.functions.stats import sketch_value
 from lurescope.operators import history
 from lurescope.operators.classify import heuristic_classify
 from lurescope.plans import inputs, jobs
@@ -276,3 +277,49 @@ def test_window_counts_keep_the_latest_total(spark):
     run()
     found = {r["value"]: r["n"] for r in streams.stored_counts(spark, root).collect()}
     assert found == {0.0: 1, 1.0: 3}
+
+
+def event_days(spark, arrivals, lateness="1 day", shares=3):
+    """The stream's counts and late rows after batches of (ts, value)."""
+    root = shared_folder(spark, "event-days")
+    for rows in arrivals:
+        batch = spark.createDataFrame(rows, "ts timestamp, f double")
+        batch.coalesce(1).write.mode("append").parquet(f"{root}/arriving")
+        for _ in range(2):  # the second run finds nothing new
+            arriving = streams.read_stream(spark, f"{root}/arriving", batch.schema)
+            streams.event_time_drift_stream(arriving, root, f"{root}/cp", ["f"], lateness=lateness, shares=shares).awaitTermination()
+    counts = {(r.day and r.day.day, r.value): r.n for r in streams.event_day_counts(spark, root).collect()}
+    return counts, {r.day and r.day.day: r.n for r in streams.late_rows(spark, root).collect()}, root
+
+
+def test_late_rows_within_the_watermark_change_their_day(spark):
+    at = lambda day, hour=1: dt.datetime(2024, 1, day, hour)
+    first = [(at(1), 1.0), (at(1), 1.0), (at(2, 23), 0.0)]
+    in_time = [(at(1, 5), 1.0), (at(1, 23), None), (at(4, 2), float("nan"))]  # day 1 ends after the mark of 1 January 23:00
+    too_late = [(at(1), 1.0), (at(2), 7.0), (at(3), 5.0), (None, 9.0)]  # the mark is 3 January 02:00 now
+    counts, late, root = event_days(spark, [first, in_time, too_late])
+    assert counts == {(1, 1.0): 3, (1, None): 1, (2, 0.0): 1, (4, None): 1, (3, 5.0): 1}
+    assert late == {1: 1, 2: 1, None: 1}
+    reference = spark.createDataFrame([("f", 1.0, 4)], "feature string, value double, n long")
+    report = streams.window_drift(reference, streams.event_day_counts(spark, root).where("day = '2024-01-01'"), ["f"])
+    assert report.count() == 1
+    assert event_days(spark, [[]])[:2] == ({}, {})
+
+
+def test_event_days_of_a_hot_day_add_up(spark):
+    rows = [(dt.datetime(2024, 1, 1 + (k % 3 == 0) * (k % 9 + 1)), float(k % 4)) for k in range(600)]
+    one, many = (event_days(spark, [rows[:400], rows[400:]], "30 days", shares)[:2] for shares in (1, 7))
+    assert one == many and sum(one[0].values()) == 600 and not one[1]
+
+
+def test_sketched_values_keep_quantiles(spark):
+    values = [0.0, -3.5, 1e-9, 12345.678, float("inf"), float("nan"), None, *[k * 1.37 for k in range(1, 1000)]]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", sketch_value(F.col("v")).alias("s"))
+    rows = df.collect()
+    for v, s in rows:
+        if v is None or v != v:
+            assert s is None
+        else:
+            assert s == v or abs(s - v) <= 0.0100001 * abs(v)
+    median = lambda c: df.where("v < 1e6 AND v > 0").agg(F.percentile(c, 0.5)).first()[0]
+    assert abs(median("s") / median("v") - 1) < 0.011 and len({s for _, s in rows}) < 400
