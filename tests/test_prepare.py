@@ -93,6 +93,49 @@ def test_imputer_tiles_agree(spark, monkeypatch):
     assert np.array_equal(imputed(spark, x, x), whole)
 
 
+def plain_nearest(block, donors, k):
+    """Per gap the k least (distance, donor) pairs, all donors compared."""
+    out = {}
+    for i, r in enumerate(block):
+        for f in np.flatnonzero(np.isnan(r)):
+            near = []
+            for j, q in enumerate(donors):
+                both = ~np.isnan(r) & ~np.isnan(q)
+                if not np.isnan(q[f]) and both.any():
+                    near.append((len(r) * ((r - q)[both] ** 2).sum() / both.sum(), j))
+            out[i, int(f)] = sorted(near)[:k]
+    return out
+
+
+@pytest.mark.parametrize("values", ["codes", "continuous"])
+def test_donor_index_equals_all_comparisons(values):
+    rng = np.random.default_rng(8)
+    draw = (lambda n: rng.integers(-1, 2, (n, 7)).astype(float)) if values == "codes" else (lambda n: rng.normal(size=(n, 7)).round(1))
+    donors, block = draw(500), draw(60)
+    donors[rng.random(donors.shape) < 0.15] = np.nan
+    block[rng.random(block.shape) < 0.3] = np.nan
+    block[0], donors[3] = np.nan, np.nan
+    donors = np.unique(donors, axis=0)
+    for run in (1, 16, 1000):
+        row, gap, distance, donor, compared = impute.DonorIndex(donors, run).nearest(block, 3)
+        got = {(int(i), int(f)): [(d, int(j)) for d, j in zip(ds, js) if np.isfinite(d)] for i, f, ds, js in zip(row, gap, distance, donor)}
+        want = plain_nearest(block, donors, 3)
+        assert got.keys() == want.keys()
+        for slot, near in want.items():
+            assert [j for _, j in got[slot]] == [j for _, j in near] and np.allclose([d for d, _ in got[slot]], [d for d, _ in near])
+        assert compared <= -(-len(donors) // run) * len(block)
+
+
+def test_donor_index_skips_far_runs():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 7)) * 50
+    donors = np.concatenate([c + rng.normal(size=(64, 7)) for c in centres])
+    block = centres[:1] + rng.normal(size=(30, 7))
+    block[:, 2] = np.nan
+    index = impute.DonorIndex(donors, 64)
+    assert index.nearest(block, 3)[-1] <= len(block) * len(index.starts) // 4
+
+
 def test_imputer_without_shared_columns_uses_the_mean(spark):
     train = np.array([[1, np.nan, 1, 1, 1], [0, np.nan, 0, 0, 0], [1, np.nan, 1, 1, 1.0]])
     x = np.array([[np.nan, 1, np.nan, np.nan, np.nan]])
