@@ -658,3 +658,15 @@ SELECT day, 'value_band' AS feature, CAST(band AS DOUBLE) AS value, count(*) AS
 UNION ALL SELECT day, 'value_sketch', round(middle, 4), count(*) FROM sketched GROUP BY ALL
 UNION ALL SELECT day, 'late', CAST(NULL AS DOUBLE), count(*) FROM judged WHERE late GROUP BY ALL""",
 }
+ORACLE |= {
+    "drift_report_roundtrip": ORACLE["drift_report"],
+    "run_log_roundtrip": ORACLE["run_history"],
+    "matrix_roundtrip": f"SELECT *, CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM ({ORACLE['robust_scale']})",
+    "dataset_roundtrip": f"""WITH {LABELLED}, sides AS (SELECT unnest(['reference', 'current']) AS side)
+SELECT side, Result, count(*) AS n, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in FEATURES)} FROM labelled, sides GROUP BY side, Result""",
+    "preprocessor_roundtrip": f"""WITH filled AS ({ORACLE['knn_impute']}),
+rows_ AS (SELECT {", ".join(CODES)} FROM (SELECT *, unnest(range(n)) AS copy FROM filled)),
+params AS (SELECT {", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS q_{c}" for c in CODES)} FROM rows_),
+scaled AS (SELECT {", ".join(f"round(({c} - q_{c}[2]) / CASE WHEN q_{c}[3] = q_{c}[1] THEN 1 ELSE q_{c}[3] - q_{c}[1] END, 4) + 0 AS {c}" for c in CODES)} FROM rows_, params)
+SELECT {", ".join(CODES)}, count(*) AS n FROM scaled GROUP BY ALL""",
+}

@@ -11,7 +11,7 @@ from lurescope.contract import FEATURES, NEIGHBOURS, RECENT_SCANS
 from lurescope.functions import reports
 from lurescope.functions.stats import metric_tag, sketch_value
 from lurescope.operators import adaboost, classify, distribution, drift, gates, history, impute, metrics, quality, scale
-from lurescope.operators import training, transcript
+from lurescope.operators import prepare, training, transcript
 from lurescope.operators.dns import lookup_dns
 from lurescope.operators.features import extract_features, feature_array, features_json, flag_mask, flagged, masked_names
 from lurescope.operators.intake import check_feedback, check_intake
@@ -20,7 +20,7 @@ from lurescope.functions.verdicts import with_verdict
 from lurescope.plans import inputs, jobs
 from lurescope.session import shared_folder, stored
 from lurescope.sources import catalog, logs, store
-from lurescope.sources.tables import read_table
+from lurescope.sources.tables import conform, read_drift_inputs, read_table
 from lurescope.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -514,18 +514,75 @@ def feature_store_roundtrip(spark, sf_dir):
     return stored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.lit(kind).alias("kind"))
 
 
-@query
-def run_history(spark, sf_dir):
-    """Sources as training runs: the newest ten."""
+def _source_runs(spark, sf_dir):
     rows = metrics.classification_metrics(inputs.rule_predictions(spark, sf_dir), "label", "medium", ["source"])
-    log = rows.select(
+    return rows.select(
         F.col("source").alias("id"),
         F.concat(F.lit("run-"), F.col("source")).alias("run_id"),
         _r6("accuracy"),
         F.round("f1", 6).alias("f1_score"),
         F.timestamp_seconds(F.lit(1700000000) + F.col("n_rows")).alias("created_at"),
     )
-    return history.run_history(log)
+
+
+@query
+def run_history(spark, sf_dir):
+    """Sources as training runs: the newest ten."""
+    return history.run_history(_source_runs(spark, sf_dir))
+
+
+@query
+def dataset_roundtrip(spark, sf_dir):
+    """The labelled rows as CSV with a header, read as both sides of a drift run and cast to the contract."""
+    path = shared_folder(spark, "dataset") + ".csv"
+    inputs.labelled_pages(spark, sf_dir).select(*FEATURES, "Result").write.option("header", True).csv(path)
+    base, current = (conform(side) for side in read_drift_inputs(spark, path))
+    sides = base.withColumn("side", F.lit("reference")).unionByName(current.withColumn("side", F.lit("current")))
+    return sides.groupBy("side", "Result").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in FEATURES])
+
+
+@query
+def drift_report_roundtrip(spark, sf_dir):
+    """The drift report as a JSON sink of two runs, one written again; the second run's read back."""
+    root = shared_folder(spark, "reports")
+    report = stored(drift_report(spark, sf_dir))
+    for run_id in ("r1", "r2", "r2"):
+        path = store.write_report(report, root, "drift_report", run_id)
+    written = spark.read.schema(report.schema.add("run_id", "string")).json(path)
+    return written.where("run_id = 'r2'").drop("run_id")
+
+
+@query
+def matrix_roundtrip(spark, sf_dir):
+    """Scaled measures as the stored matrix of both splits."""
+    root = shared_folder(spark, "matrix")
+    scaled = stored(robust_scale(spark, sf_dir))
+    is_test = F.col("l_orderkey") % 5 == 0
+    store.write_matrix(scaled.where(is_test), root, "r1", "test")
+    store.write_matrix(scaled.where(~is_test), root, "r1", "train")
+    return spark.read.parquet(f"{root}/matrix").drop("run_id")
+
+
+@query
+def preprocessor_roundtrip(spark, sf_dir):
+    """Imputer and scaler fitted on the coded rows, saved, loaded and applied."""
+    path = shared_folder(spark, "preprocessor")
+    codes = inputs.lineitem_codes(spark, sf_dir)
+    prepare.Preprocessor(inputs.CODES).fit(codes).save(path)
+    ready = prepare.PreprocessorModel.load(spark, path).transform(codes)
+    rounded = ready.select(*[F.round(c, 4).alias(c) for c in inputs.CODES])
+    return rounded.groupBy(*inputs.CODES).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def run_log_roundtrip(spark, sf_dir):
+    """Sources as training runs, appended to the run log; its newest ten."""
+    root = shared_folder(spark, "run-log")
+    logs.ensure_logs(spark, root)
+    runs = _source_runs(spark, sf_dir).withColumn("model_path", F.concat(F.lit("models/"), "run_id"))
+    for batch in ("first", "first"):  # a repeated batch is stored once
+        logs.append_log(runs, root, "pipeline_runs", batch)
+    return history.run_history(logs.read_log(spark, root, "pipeline_runs").drop("model_path"))
 
 
 # --- learning ---------------------------------------------------------------
