@@ -660,6 +660,7 @@ UNION ALL SELECT day, 'late', CAST(NULL AS DOUBLE), count(*) FROM judged WHERE l
 }
 ORACLE |= {
     "drift_report_roundtrip": ORACLE["drift_report"],
+    "champion_scores": ORACLE["model_scores"],
     "run_log_roundtrip": ORACLE["run_history"],
     "matrix_roundtrip": f"SELECT *, CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM ({ORACLE['robust_scale']})",
     "dataset_roundtrip": f"""WITH {LABELLED}, sides AS (SELECT unnest(['reference', 'current']) AS side)

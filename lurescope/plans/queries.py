@@ -618,6 +618,22 @@ def model_scores(spark, sf_dir):
     return scored.select("page_id", "prediction", "label", "phishing_probability", "confidence", "needs_review")
 
 
+@query
+def champion_scores(spark, sf_dir):
+    """A short and a full boosting saved and registered, the better one promoted, loaded as champion; every page scored by it."""
+    root = shared_folder(spark, "champion")
+    rows = quality.remap_label(inputs.labelled_pages(spark, sf_dir), "Result")
+    stumps = adaboost.fit_adaboost(distinct_rows(rows, FEATURES, "Result"), FEATURES, BOOSTING_ROUNDS)
+    for run_id, rounds in (("short", 1), ("full", BOOSTING_ROUNDS)):
+        path = f"{root}/models/{run_id}"
+        classify.RiskModel(FEATURES, None, stumps[:rounds]).save(spark, path)
+        version = catalog.register_version(spark, root, run_id, path)
+        catalog.promote_if_better(spark, root, version, rounds / (rounds + 1))
+    champion = jobs.load_champion(spark, root)
+    scored = champion.classify(inputs.page_features(spark, sf_dir))
+    return scored.select("page_id", "prediction", "label", "phishing_probability", "confidence", "needs_review")
+
+
 # --- streams ----------------------------------------------------------------
 
 
