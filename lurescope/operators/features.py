@@ -13,6 +13,18 @@ from lurescope.operators.dns import with_dns_code
 PARTS = ["u", "netloc", "scheme", "port_no", "parse_error"]
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add (or replace) columns that later filters read instead of computing them again.
+
+    They come out of a one-row generator. A filter on a plain projection is moved below it and brings the whole
+    expressions along, spelled out once per mention: for features read back from JSON that is thousands of patterns a row.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    names = {name: f"_once_{name}" for name in columns}
+    staged = df.select("*", F.inline(F.array(made)).alias(*names.values()))
+    return staged.drop(*columns).withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     """Add the normalised URL, its parts and ``parse_error``.
 
@@ -24,16 +36,14 @@ def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     bad = urls.bad_brackets(F.col("netloc"))
     staged = staged.withColumns({"_bad": bad, "_port": urls.port_text(F.col("netloc"))})
     number = urls.port_number(F.col("_port"))
-    return staged.withColumns(
-        {
-            "scheme": F.when(F.col("_bad"), F.lit("")).when(F.col("u").startswith("https"), "https").otherwise("http"),
-            "port_no": F.when(~F.col("_bad"), number),
-            "parse_error": F.when(F.col("_bad"), "invalid_ipv6").when(
-                (F.col("_port") != "") & number.isNull(), "invalid_port"
-            ),
-            "netloc": F.when(F.col("_bad"), F.col(url)).otherwise(F.col("netloc")),
-        }
-    ).drop("_bad", "_port")
+    staged = staged.withColumn("_number", number)
+    return computed_once(
+        staged,
+        scheme=F.when(F.col("_bad"), F.lit("")).when(F.col("u").startswith("https"), "https").otherwise("http"),
+        port_no=F.when(~F.col("_bad"), F.col("_number")),
+        parse_error=F.when(F.col("_bad"), "invalid_ipv6").when((F.col("_port") != "") & F.col("_number").isNull(), "invalid_port"),
+        netloc=F.when(F.col("_bad"), F.col(url)).otherwise(F.col("netloc")),
+    ).drop("_bad", "_port", "_number")
 
 
 def extract_features(

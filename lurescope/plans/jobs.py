@@ -32,9 +32,9 @@ class TrainingResult:
 
 def feedback_rows(feedback: DataFrame) -> DataFrame:
     """Logged corrections as labelled rows of the dataset contract."""
-    from lurescope.operators.features import features_from_json
+    from lurescope.operators.features import computed_once, features_from_json
 
-    parsed = feedback.withColumn("f", features_from_json(F.col("features"))).where(F.col("f").isNotNull())
+    parsed = computed_once(feedback, f=features_from_json(F.col("features"))).where(F.col("f").isNotNull())
     columns = [F.coalesce(F.col(f"f.{c}"), F.lit(1)).cast("bigint").alias(c) for c in FEATURES]
     label = F.when(F.col("correct_label") == 0, -1).otherwise(1).cast("bigint")
     return parsed.select(*columns, label.alias(TARGET))

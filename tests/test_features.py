@@ -151,3 +151,19 @@ def test_result_does_not_depend_on_partitioning(spark, sf_dir):
     urls = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     results = [sorted(map(tuple, extract_features(urls.repartition(n)).collect())) for n in (1, 7, 64)]
     assert results[0] == results[1] == results[2]
+
+
+def test_filters_do_not_spell_out_the_parts_again(spark):
+    """A row's parts, features and their JSON are computed once, whatever filters follow."""
+    from lurescope.plans.jobs import feedback_rows
+    from lurescope.sources.logs import prepare_feedback
+
+    given = [("http://a-b.com:81/x", 0, 1), ("http://a.b:99999/", 1, 1), ("http://[::1/x", 0, 0), (None, 1, None), ("http://c.fr/", 1, 4)]
+    source = spark.createDataFrame(given, "url string, correct_label int, predicted_label int").repartition(2)
+    rows, rejects = prepare_feedback(source)
+    contract = feedback_rows(rows)
+    plan = contract._jdf.queryExecution().optimizedPlan().toJSON()
+    assert 0 < plan.count("expressions.RLike") < 40
+    assert [r["url"] for r in rejects.collect()] == ["http://a.b:99999/"]
+    found = {(r["Prefix_Suffix"], r["port"], r["Abnormal_URL"], r["Result"]) for r in contract.collect()}
+    assert (-1, -1, 1, -1) in found and contract.count() == 4
