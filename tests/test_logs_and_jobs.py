@@ -323,3 +323,19 @@ def test_sketched_values_keep_quantiles(spark):
             assert s == v or abs(s - v) <= 0.0100001 * abs(v)
     median = lambda c: df.where("v < 1e6 AND v > 0").agg(F.percentile(c, 0.5)).first()[0]
     assert abs(median("s") / median("v") - 1) < 0.011 and len({s for _, s in rows}) < 400
+
+
+def test_stream_history_keeps_one_state_for_a_cold_url(spark):
+    """Forty scans of a URL are one state, not sixteen; only a URL that is hot in a part is dealt to shares."""
+    root = shared_folder(spark, "history-states")
+    cold = "SELECT concat('http://c', k, '/') AS url, concat(k, '-', i) AS id, i % 7 AS i, i % 3 AS p FROM (SELECT explode(sequence(0, 19)) AS k) LATERAL VIEW explode(sequence(0, 39)) AS i"
+    hot = "SELECT 'http://hot/' AS url, concat('h', id) AS id, id AS i, id % 2 AS p FROM range(4000)"
+    odd = "SELECT * FROM VALUES (NULL, 'a', 1, 0), (NULL, NULL, NULL, 1), ('http://c0/', NULL, NULL, NULL), ('http://c0/', 'z', NULL, 0) AS t(url, id, i, p)"
+    scans = spark.sql(f"SELECT url, id, timestamp_seconds(i) AS created_at, cast(p AS int) AS prediction FROM ({cold} UNION ALL {hot} UNION ALL {odd})")
+    scans.coalesce(1).write.parquet(f"{root}/arriving")
+    log = spark.read.parquet(f"{root}/arriving")
+    streams.history_stream(streams.read_stream(spark, f"{root}/arriving", log.schema), root, f"{root}/checkpoint").awaitTermination()
+    states = {r["url"]: r["n"] for r in spark.read.parquet(f"{root}/url_history").groupBy("url").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(states[f"http://c{k}/"] == 1 for k in range(20)) and len(states) == 22
+    assert sorted(map(repr, streams.live_history(spark, root).collect())) == sorted(map(repr, history.history_summary(log, None).select("url", "previous_scans", "past_verdicts").where("url IS NOT NULL").collect() + streams.live_history(spark, root).where("url IS NULL").collect()))
+    assert streams.live_history(spark, root).where("url IS NULL").first()["previous_scans"] == 2
