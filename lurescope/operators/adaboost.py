@@ -14,12 +14,13 @@ from dataclasses import dataclass
 from math import log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurescope.operators.ensembles import Ensemble, Tree
-from lurescope.operators.splits import GINI, ROWS, batch_arrays, best_splits, chunk_borders
+from lurescope.operators.splits import GINI, ROWS, Block, batch_arrays, best_splits, chunk_borders, fit_in_tasks, is_small
 from lurescope.session import stored
 
 FOLD_EVERY = 10
@@ -50,11 +51,29 @@ def _wrong(stumps: list[Stump], columns: list[str], x: np.ndarray, label: np.nda
 def fit_adaboost_sets(rows: DataFrame, columns: list[str], sets: list[int], rounds: int, rate: float = 1.0) -> list[list[Stump]]:
     """Boost over (values, label, copies array) for each training set, in lockstep.
 
-    A set stops early on a perfect or a useless stump.
+    A set stops early on a perfect or a useless stump. Few distinct rows (:func:`splits.is_small`) boost in one task a set.
     """
-    models = range(len(sets))
-    borders = chunk_borders(rows, len(columns))
     state = stored(rows.select("values", "label", "copies", F.array(*[F.lit(0.0)] * len(sets)).alias("log_w")))
+    if not is_small(state):
+        return _boost(state, columns, sets, rounds, rate, chunk_borders(state, len(columns)))
+
+    def fit(block: Block, m: int) -> pd.DataFrame:
+        own = pa.array([[0.0]] * len(block.batch), pa.list_(pa.float64()))
+        block = Block(pa.record_batch([*block.batch.columns, own], [*block.batch.schema.names, "log_w"]))
+        found = _boost(block, columns, [sets[m]], rounds, rate, [[] for _ in columns])[0]
+        names = [c.split()[0] for c in STUMP_SCHEMA.split(", ")]
+        frame = pd.DataFrame([(i, s.feature, s.threshold, s.left, s.right, s.alpha) for i, s in enumerate(found)], columns=names)
+        return frame.astype({"round": "int32", "left": "int32", "right": "int32", "feature": str, "threshold": float, "alpha": float})
+
+    table = fit_in_tasks(state.drop("log_w"), len(sets), fit, STUMP_SCHEMA).sort_values("round")
+    own = [table[table["_model"] == m] for m in range(len(sets))]
+    return [[Stump(*r) for r in zip(*(t[c].tolist() for c in ("feature", "threshold", "left", "right", "alpha")), strict=True)] for t in own]
+
+
+def _boost(
+    state: DataFrame | Block, columns: list[str], sets: list[int], rounds: int, rate: float, borders: list[list[float]]
+) -> list[list[Stump]]:
+    models = range(len(sets))
     stumps: list[list[Stump]] = [[] for _ in models]
     pending: list[list[Stump]] = [[] for _ in models]
     shift = [0.0 for _ in models]
@@ -100,13 +119,13 @@ def fit_adaboost_sets(rows: DataFrame, columns: list[str], sets: list[int], roun
         if not boosting:
             break
         if len(pending[boosting[0]]) == FOLD_EVERY:
-            state = stored(_weighted_on(state, columns, pending, shift))
+            state = _weighted_on(state, columns, pending, shift)
             pending, shift = [[] for _ in models], [0.0 for _ in models]
     return stumps
 
 
-def _weighted_on(state: DataFrame, columns: list[str], pending: list[list[Stump]], shift: list[float]) -> DataFrame:
-    """``state`` with the pending stumps in its log-weights."""
+def _weighted_on(state: DataFrame | Block, columns: list[str], pending: list[list[Stump]], shift: list[float]) -> DataFrame | Block:
+    """``state`` with the pending stumps in its log-weights, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +135,7 @@ def _weighted_on(state: DataFrame, columns: list[str], pending: list[list[Stump]
                 weights = pa.array(list(a["log_w"] + np.stack(added, axis=1)), pa.list_(pa.float64()))
                 yield pa.record_batch([*part.columns[:3], weights], part.schema.names)
 
-    return state.mapInArrow(run, state.schema)
+    return state.mapped(run) if isinstance(state, Block) else stored(state.mapInArrow(run, state.schema))
 
 
 def fit_adaboost(rows: DataFrame, columns: list[str], rounds: int, rate: float = 1.0) -> list[Stump]:

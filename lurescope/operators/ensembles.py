@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from lurescope.operators.splits import FRIEDMAN, ROWS, Criterion, batch_arrays, best_splits, chunk_borders, second_order
+from lurescope.operators.splits import FRIEDMAN, ROWS, Block, Criterion, batch_arrays, best_splits, chunk_borders, fit_in_tasks, is_small, second_order
 from lurescope.session import stored
 
 FOLD_EVERY = 10
@@ -89,7 +89,7 @@ Statistics = Callable[[dict[str, np.ndarray], int], tuple[np.ndarray, np.ndarray
 
 
 def grow_trees(
-    rows: DataFrame,
+    rows: DataFrame | Block,
     payload: list[str],
     statistics: Statistics,
     models: int,
@@ -264,7 +264,8 @@ SECOND_ORDER = Boosting("second_order", 6)
 def fit_boosted(rows: DataFrame, width: int, sets: list[int], rates: list[float], rounds: int, boosting: Boosting) -> dict[tuple[float, int], Ensemble]:
     """One ensemble per (rate, set), all grown in lockstep; its first n trees are the ensemble of n rounds.
 
-    The margins so far are stored every ``FOLD_EVERY`` rounds; later trees are walked again from there.
+    The margins so far are stored every ``FOLD_EVERY`` rounds; later trees are walked again from there. Few distinct rows
+    (:func:`splits.is_small`) boost in one task a model, as hundreds of jobs would take far longer than their rows.
     """
     models = [(rate, s) for rate in rates for s in sets]
     ones = rows.agg(*[F.sum(F.get("copies", F.lit(s)) * c).alias(f"{n}{s}") for s in sets for n, c in (("one", F.col("label")), ("all", F.lit(1)))]).first()
@@ -273,8 +274,25 @@ def fit_boosted(rows: DataFrame, width: int, sets: list[int], rates: list[float]
         share = (ones[f"one{s}"] or 0) / (ones[f"all{s}"] or 1)
         share = min(max(share, np.finfo(np.float32).eps), 1 - np.finfo(np.float32).eps)
         base.append(log(share / (1 - share)) if boosting.kind == "residual" else 0.0)
-    borders = chunk_borders(rows, width)
     state = stored(rows.select("values", "label", "copies", F.array(*[F.lit(float(b)) for b in base]).alias("margin")))
+    if is_small(state):
+
+        def fit(block: Block, m: int) -> pd.DataFrame:
+            own = pa.array([[base[m]]] * len(block.batch), pa.list_(pa.float64()))
+            block = Block(pa.record_batch([*block.batch.columns, own], [*block.batch.schema.names, "margin"]))
+            return _node_frame(_boost(block, width, [models[m]], rounds, boosting, [[] for _ in range(width)])[0])
+
+        nodes = fit_in_tasks(state.drop("margin"), len(models), fit, NODE_SCHEMA)
+        done = [_trees_of(nodes[nodes["_model"] == m].sort_values(["tree", "node"])) for m in range(len(models))]
+    else:
+        done = _boost(state, width, models, rounds, boosting, chunk_borders(state, width))
+    return {key: Ensemble("margin", done[m], key[0], base[m]) for m, key in enumerate(models)}
+
+
+def _boost(
+    state: DataFrame | Block, width: int, models: list[tuple[float, int]], rounds: int, boosting: Boosting, borders: list[list[float]]
+) -> list[list[Tree]]:
+    """The trees of every (rate, set), in the order of their rounds."""
     done: list[list[Tree]] = [[] for _ in models]
     pending: list[list[FrozenTree]] = [[] for _ in models]
 
@@ -294,13 +312,13 @@ def fit_boosted(rows: DataFrame, width: int, sets: list[int], rates: list[float]
             done[m].append(tree)
         pending = [[*p, t.frozen()] for p, t in zip(pending, trees, strict=True)]
         if len(pending[0]) == FOLD_EVERY:
-            state = stored(_moved(state, pending, [rate for rate, _ in models]))
+            state = _moved(state, pending, [rate for rate, _ in models])
             pending = [[] for _ in models]
-    return {key: Ensemble("margin", done[m], key[0], base[m]) for m, key in enumerate(models)}
+    return done
 
 
-def _moved(state: DataFrame, pending: list[list[FrozenTree]], rates: list[float]) -> DataFrame:
-    """``state`` with the pending trees in its margins."""
+def _moved(state: DataFrame | Block, pending: list[list[FrozenTree]], rates: list[float]) -> DataFrame | Block:
+    """``state`` with the pending trees in its margins, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,7 +328,20 @@ def _moved(state: DataFrame, pending: list[list[FrozenTree]], rates: list[float]
                 part = batch.slice(first, ROWS)
                 yield pa.record_batch([*part.columns[:3], pa.array(list(margin), pa.list_(pa.float64()))], part.schema.names)
 
-    return state.mapInArrow(run, state.schema)
+    return state.mapped(run) if isinstance(state, Block) else stored(state.mapInArrow(run, state.schema))
+
+
+def _node_frame(trees: list[Tree]) -> pd.DataFrame:
+    parts = [
+        pd.DataFrame({"tree": k, "node": range(len(t.feature)), "feature": t.feature, "threshold": t.threshold, "left": t.left, "right": t.right, "value": t.value})
+        for k, t in enumerate(trees)
+    ]
+    whole = pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in NODE_SCHEMA.split(", ")})
+    return whole.astype({c: {"int": "int32", "double": "float64"}[t] for c, t in (f.split() for f in NODE_SCHEMA.split(", "))})
+
+
+def _trees_of(nodes: pd.DataFrame) -> list[Tree]:
+    return [Tree(*(g[c].tolist() for c in ("feature", "threshold", "left", "right", "value"))) for _, g in nodes.groupby("tree")]
 
 
 # --- fitted ensembles -------------------------------------------------------
@@ -366,18 +397,12 @@ class Ensemble:
 
     def node_table(self, spark: SparkSession) -> DataFrame:
         """(tree, node, feature, threshold, left, right, value)."""
-        parts = [
-            pd.DataFrame({"tree": k, "node": range(len(t.feature)), "feature": t.feature, "threshold": t.threshold, "left": t.left, "right": t.right, "value": t.value})
-            for k, t in enumerate(self.trees)
-        ]
-        whole = pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
-        return spark.createDataFrame(whole, NODE_SCHEMA)
+        return spark.createDataFrame(_node_frame(self.trees), NODE_SCHEMA)
 
     @staticmethod
     def from_table(table: DataFrame, kind: str, rate: float, base: float) -> Ensemble:
         frame = table.orderBy("tree", "node").toPandas()
-        trees = [Tree(*(g[c].tolist() for c in ("feature", "threshold", "left", "right", "value"))) for _, g in frame.groupby("tree")]
-        return Ensemble(kind, trees, rate, base)
+        return Ensemble(kind, _trees_of(frame), rate, base)
 
 
 @dataclass

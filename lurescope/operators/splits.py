@@ -10,6 +10,10 @@ A feature with many values is cut into range chunks at sketch quantiles, so no t
 whole chunks give each chunk its offset (a first, small pass, made only where there is more than one chunk). The
 driver gets one row per (node, feature, chunk): the chunk's best threshold. Gains that differ by less than
 ``TIE`` count as equal; the first feature, then the lowest threshold wins.
+
+Learners that need hundreds of passes one after the other (boosting) pay for the passes, not for the rows, where there are few
+distinct ones. Up to ``LOCAL_ROWS`` of them, :func:`fit_in_tasks` gives every model a task of its own, which makes the
+same passes over its :class:`Block`; beyond that bound the passes are Spark jobs over all tasks.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +34,7 @@ MAX_CHUNKS = 1024
 SKETCH_ACCURACY = 10000
 ROWS = 4096
 HELD = 1_000_000
+LOCAL_ROWS = 20_000
 TIE = 1e-10
 
 # (batch arrays) -> node slot of each entry, its row, and its statistics (one line per entry)
@@ -109,6 +115,43 @@ class Splits:
     gain: np.ndarray
 
 
+@dataclass
+class Block:
+    """At most ``LOCAL_ROWS`` distinct rows held by one task."""
+
+    batch: pa.RecordBatch
+
+    def mapped(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Block:
+        return Block(pa.Table.from_batches(list(run(iter([self.batch])))).combine_chunks().to_batches()[0])
+
+
+def is_small(rows: DataFrame) -> bool:
+    """Whether stored rows fit a :class:`Block` (none at all: nothing to hold)."""
+    return 0 < rows.limit(LOCAL_ROWS + 1).count() <= LOCAL_ROWS
+
+
+def fit_in_tasks(rows: DataFrame, models: int, fit: Callable[[Block, int], pd.DataFrame], schema: str) -> pd.DataFrame:
+    """``fit(block of all rows, model)`` for every model, each in a task of its own; the results with ``_model``.
+
+    ``rows`` are small (:func:`is_small`), which bounds the broadcast and what a task holds.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        model = table.column("_model").to_numpy()
+        for m in np.unique(model):
+            block = Block(table.filter(pa.array(model == m)).select(names).combine_chunks().to_batches()[0])
+            yield pa.RecordBatch.from_pandas(fit(block, int(m)).assign(_model=int(m)), preserve_index=False)
+
+    spark = rows.sparkSession
+    each = spark.range(0, models, 1, models).withColumnRenamed("id", "_model").crossJoin(F.broadcast(rows))
+    return each.mapInArrow(run, schema + ", _model long").toPandas()
+
+
 def chunk_borders(rows: DataFrame, width: int, chunk_values: int = CHUNK_VALUES) -> list[list[float]]:
     """Borders per feature: none up to ``chunk_values`` distinct values, else sketch quantiles of them.
 
@@ -279,7 +322,7 @@ def _offsets(totals: pa.Table, width: int) -> dict[tuple[int, int, int], tuple]:
 
 
 def best_splits(
-    rows: DataFrame,
+    rows: DataFrame | Block,
     payload: list[str],
     entries: Entries,
     slots: int,
@@ -295,14 +338,20 @@ def best_splits(
     """
     width = criterion.width
     shape = "slot int, feature int, chunk int, value double, " + ", ".join(f"s{k} double" for k in range(width))
-    cells = rows.select("values", *payload).mapInArrow(_cell_maker(entries, candidates, borders, width), shape)
-    offsets = None
-    if any(borders):
-        cells = stored(cells)
-        placed = cells.repartition(*_KEYS)
-        offsets = _offsets(placed.mapInArrow(_chunk_totals(width), shape).toArrow(), width)
     found_shape = "slot int, feature int, gain double, threshold double, " + ", ".join([f"l{k} double" for k in range(width)] + [f"t{k} double" for k in range(width)])
-    found = cells.repartition(*_KEYS).mapInArrow(_best_in_chunk(criterion, offsets), found_shape).toArrow()
+    make = _cell_maker(entries, candidates, borders, width)
+    if isinstance(rows, Block):
+        parts = list(_best_in_chunk(criterion, None)(make(iter([rows.batch.select(["values", *payload])]))))
+        names = [c.split()[0] for c in found_shape.split(", ")]
+        found = pa.Table.from_batches(parts) if parts else pa.table({c: np.zeros(0, np.int32 if c in _KEYS else float) for c in names})
+    else:
+        cells = rows.select("values", *payload).mapInArrow(make, shape)
+        offsets = None
+        if any(borders):
+            cells = stored(cells)
+            placed = cells.repartition(*_KEYS)
+            offsets = _offsets(placed.mapInArrow(_chunk_totals(width), shape).toArrow(), width)
+        found = cells.repartition(*_KEYS).mapInArrow(_best_in_chunk(criterion, offsets), found_shape).toArrow()
     slot, feature, gain, threshold = (found.column(c).to_numpy() for c in ("slot", "feature", "gain", "threshold"))
     left = np.stack([found.column(f"l{k}").to_numpy() for k in range(width)], axis=1)
     total = np.stack([found.column(f"t{k}").to_numpy() for k in range(width)], axis=1)

@@ -208,3 +208,36 @@ def test_accuracy_over_folds(spark):
     found = ensembles.fold_accuracy(df, 2, {(0, 0): model, (0, 1): model, (1, 0): none, (1, 1): none})
     assert found == {0: pytest.approx((1 + 0.5) / 2), 1: pytest.approx((0.5 + 1) / 2)}
     assert df.where(F.lit(False)).count() == 0
+
+
+def test_few_rows_boost_in_one_task_a_model(spark, monkeypatch):
+    """Rounds of a small table are no jobs of their own, and give the trees and stumps of the passes over all tasks."""
+    from lurescope.operators import adaboost
+
+    x, y = data(150, seed=21)
+    copies = np.random.default_rng(4).integers(0, 4, (150, 3)).astype(float)
+    rows = table(spark, x, y, copies).cache()
+    rows.count()
+    names = [f"c{i}" for i in range(4)]
+
+    def all_of(group):
+        spark.sparkContext.setJobGroup(group, group)
+        boosted = [ensembles.fit_boosted(rows, 4, [0, 2], [0.1, 0.2], ensembles.FOLD_EVERY + 1, b) for b in (RESIDUAL, SECOND_ORDER)]
+        stumps = adaboost.fit_adaboost_sets(rows, names, [0, 1, 2], adaboost.FOLD_EVERY + 1)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("rest", "rest")
+        return boosted, stumps, jobs
+
+    boosted, stumps, jobs = all_of("few")
+    assert jobs < 40
+    monkeypatch.setattr(splits, "LOCAL_ROWS", 100)
+    wide, wide_stumps, wide_jobs = all_of("many")
+    assert wide_jobs > 3 * jobs
+    for a, b in zip(boosted, wide, strict=True):
+        assert set(a) == set(b)
+        for key, model in a.items():
+            assert model.base == b[key].base and len(model.trees) == len(b[key].trees)
+            assert np.allclose(model.scorer()(x), b[key].scorer()(x), atol=1e-9)
+            assert [t.feature for t in model.trees] == [t.feature for t in b[key].trees]
+    assert [[(s.feature, s.threshold, s.left, s.right) for s in run] for run in stumps] == [[(s.feature, s.threshold, s.left, s.right) for s in run] for run in wide_stumps]
+    rows.unpersist()
