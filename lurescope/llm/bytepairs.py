@@ -8,7 +8,7 @@ neighbours: the right one dies, and only the ranks of the merged part and of the
 change, so it costs three point updates of logarithmic length. A match of n bytes takes
 O(n log n), whatever its bytes, where the plain search for the least rank takes O(n^2).
 
-Equal matches have equal ids, so each worker keeps those of short matches in a bounded store
+Equal matches have equal ids, so each worker keeps those of short matches, over all its tasks, in a bounded store
 (``KEPT``, emptied when full); matches of more than ``SHORT`` characters are encoded anew. Long texts are
 matched window by window, cut at single spaces, where every match of such a pattern begins anew
 (``spacechunks``; a pattern without that property is declared with ``spaces_begin=False``). All work is a
@@ -25,7 +25,9 @@ byte string whose length is no multiple of four; null ids are decoded to no byte
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,48 +41,52 @@ from lurescope.llm.spacechunks import windows
 SHORT = 64
 KEPT = 400_000
 SLICE = 50_000
-_NONE = 1 << 40  # above every rank
+_NONE = 1 << 62  # above every rank and place
 
 
 def merged_ids(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one match: merges of the leftmost pair of least rank until no pair is a token."""
-    n = len(piece)
-    if n == 1 or piece in ranks:
+    if piece in ranks:
         return [ranks[piece]]
+    n, get = len(piece), ranks.get
     leaves = 1 << (n - 1).bit_length()
-    rank = [_NONE] * leaves  # of the part that starts here with the next one
+    # A leaf: rank of the part that starts here with the next one, and its place; the least is the leftmost of least rank.
+    tree = [_NONE] * (2 * leaves)
     for i in range(n - 1):
-        rank[i] = ranks.get(piece[i : i + 2], _NONE)
-    tree = [0] * leaves + list(range(leaves))  # position of the leftmost least rank below a node
+        rank = get(piece[i : i + 2])
+        if rank is not None:
+            tree[leaves + i] = rank * leaves + i
     for node in range(leaves - 1, 0, -1):
         left, right = tree[2 * node], tree[2 * node + 1]
-        tree[node] = right if rank[right] < rank[left] else left
+        tree[node] = right if right < left else left
     after = list(range(1, n + 1))  # start of the next live part
     before = list(range(-1, n - 1))
 
-    def update(at: int, value: int) -> None:
-        rank[at] = value
-        node = (at + leaves) >> 1
-        while node:
-            left, right = tree[2 * node], tree[2 * node + 1]
-            tree[node] = right if rank[right] < rank[left] else left
+    def update(at: int, end: int) -> None:
+        """The part at ``at`` pairs up to ``end`` now (0: with nothing). Nodes above one that stays as it was stay as well."""
+        rank = get(piece[at:end]) if end else None
+        value = _NONE if rank is None else rank * leaves + at
+        node = at + leaves
+        while tree[node] != value:
+            tree[node] = value
+            if node == 1:
+                return
+            other = tree[node ^ 1]
+            value = other if other < value else value
             node >>= 1
 
-    def joined(at: int) -> int:
-        """Rank of the part at ``at`` with its live neighbour."""
-        middle = after[at]
-        return ranks.get(piece[at : after[middle]], _NONE) if middle < n else _NONE
-
-    while rank[tree[1]] < _NONE:
-        at = tree[1]
+    while tree[1] < _NONE:
+        at = tree[1] & (leaves - 1)
         gone = after[at]
-        after[at] = after[gone]
-        if after[at] < n:
-            before[after[at]] = at
-        update(gone, _NONE)
-        update(at, joined(at))
+        end = after[at] = after[gone]
+        update(gone, 0)
+        if end < n:
+            before[end] = at
+            update(at, after[end])
+        else:
+            update(at, 0)
         if before[at] >= 0:
-            update(before[at], joined(before[at]))
+            update(before[at], end)
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : after[at]]])
@@ -88,6 +94,23 @@ def merged_ids(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class _Store(dict):
+    """Packed ids of matches; what is missing is merged, and kept if it is short."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, match: str) -> bytes:
+        merged = merged_ids(match.encode(), self.ranks)
+        ids = struct.pack(f"<{len(merged)}I", *merged)
+        if len(match) <= SHORT:
+            if len(self) >= KEPT:
+                self.clear()
+            self[match] = ids
+        return ids
+
+
 class BytePairs:
     """A vocabulary of ranks (bytes -> id) with its pattern; encodes and decodes whole texts."""
 
@@ -99,7 +122,7 @@ class BytePairs:
         self.find = regex.compile(pattern).findall
         self.spaces_begin = spaces_begin
         self.tokens = {i: token for token, i in ranks.items()}
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Store(ranks)
 
     @staticmethod
     def load(path: str, pattern: str, spaces_begin: bool = True) -> BytePairs:
@@ -108,32 +131,28 @@ class BytePairs:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
         return BytePairs(ranks, pattern, spaces_begin)
 
-    def _packed(self, match: str) -> bytes:
-        ids = np.array(merged_ids(match.encode(), self.ranks), dtype="<u4").tobytes()
-        if len(match) <= SHORT:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[match] = ids
-        return ids
-
     def encode(self, text: str | None) -> bytes:
         """The packed ids of a text."""
         if not text:
             return b""
         parts = windows(text) if self.spaces_begin else [text]
-        kept = self.kept
-        return b"".join([b"".join([kept.get(m) or self._packed(m) for m in self.find(part)]) for part in parts])
+        ids = self.kept.__getitem__
+        return b"".join([b"".join(map(ids, self.find(part))) for part in parts])
 
     def decode(self, ids: bytes | None) -> bytes:
         """The bytes that packed ids stand for."""
         numbers, tokens, slices = np.frombuffer(ids or b"", dtype="<u4"), self.tokens, []
         for first in range(0, len(numbers), SLICE):
-            slices.append(b"".join([tokens[i] for i in numbers[first : first + SLICE].tolist()]))
+            slices.append(b"".join(map(tokens.__getitem__, numbers[first : first + SLICE].tolist())))
         return b"".join(slices)
 
 
+@cache
 def public_pairs() -> BytePairs:
-    """The public byte-level vocabulary, where the installed package has it on this machine."""
+    """The public byte-level vocabulary, where the installed package has it on this machine.
+
+    A worker process keeps it and its store of matches from task to task.
+    """
     import public_tokenizers
 
     return BytePairs.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -261,3 +261,12 @@ def test_one_passage_in_a_third_of_all_rows(spark):
     rows = [(k, "shared passage of words" if k % 3 == 0 else "".join(rng.choices("abc de", k=30))) for k in range(900)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
     assert rows_of(alignment.alignment_digests(df, shared_limit=30)) == plain_alignment(rows)
+
+
+def test_a_worker_keeps_its_matches_over_tasks():
+    from lurescope.llm import bytepairs
+
+    pairs = bytepairs.public_pairs()
+    pairs.encode("Zwirbeldachs und Quastenflosser")
+    assert bytepairs.public_pairs() is pairs and " Quastenflosser" in bytepairs.public_pairs().kept
+    assert pairs.encode("é" * 70) and "é" * 70 not in pairs.kept
