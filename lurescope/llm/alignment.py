@@ -7,9 +7,11 @@ share a span; their ends inside it come from the bytes they decode to. Places wh
 token both end cut both into groups; between neighbouring ends of either side lies exactly one pair of
 overlapping tokens, a link.
 
-Both tokenizers begin anew at a single space (``spacechunks``), so a text's tokens are those of its chunks; whether
-the pieces allow it is read off B's vocabulary, and without that whole texts are encoded. Equal chunks are aligned
-once per task, while the bounded store (``KEPT``) has them.
+Both tokenizers begin anew at a single space (``spacechunks``), so a text's tokens are those of its chunks. Inside a chunk they
+begin anew where plain letters and digits meet marks (``_INNER``), so a chunk's tokens are those of its units, and a word
+is aligned once whatever marks follow it. Whether the pieces allow either is read off B's vocabulary; without that, chunks or
+whole texts are encoded as they are. A worker process keeps a bounded store (``KEPT``) of aligned units from task to task; units
+that it lacks are encoded together, in texts of about ``ENCODED`` characters, as both libraries take more time for a long one.
 
 Corpus counts: a pair's count is the number of rows that hold it linked. Each task counts its own rows' pairs first;
 counts go to partitions by A's id, where they are summed and the highest of each id is found. The most
@@ -25,9 +27,12 @@ text is read whole; a lost executor repeats its own partitions.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
 
@@ -44,15 +49,20 @@ from lurescope.session import stored
 KEPT = 700_000
 SHORT = 100
 TOGETHER = 1 << 20
+ENCODED = 1 << 13
 SHARED = 2_000_000
 PER_PART = 1_000_000
 BATCH = 500
 SLICE = 50_000
 _U4 = np.dtype("<u4")
+# Latin letters and digits meet ASCII marks or line feeds. A's splitter ends a unit there, save in ``'s`` and its like; a unit
+# may end with one line feed, but not with more, which A splits by what is behind them.
+_PLAIN, _MARK = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~"
+_INNER = re.compile(f"(?<=[{_PLAIN}])(?=[\\n{_MARK}])|(?:(?<=[{_MARK}])(?<!')|(?<=\\S\\n))(?=[{_PLAIN}])")
 
 
 class Aligned(NamedTuple):
-    """One chunk: the digest's text, its links as packed pairs, sizes, and packed ids and byte lengths of both sides."""
+    """One unit of a chunk, or a chunk: the digest's text, its links as packed pairs, sizes, and packed ids and byte lengths of both sides."""
 
     groups: str
     links: bytes  # little-endian unsigned 64-bit: A's id above B's
@@ -104,22 +114,38 @@ class Tokenizers:
             bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        #: Every id (B's after A's) as it is written before another of its side, before ``|`` and before ``;``.
+        ids = [*map(str, range(len(self.a_bytes))), *map(str, range(len(self.b_bytes)))]
+        self.written = [i + mark for mark in ",|;" for i in ids]
+        self.written_sizes = np.array([len(w) for w in self.written], np.int64)
         #: No piece goes on over a space after another character, so no piece leaves its chunk.
         self.b_begins_at_spaces = all("▁" not in p.lstrip("▁") for p in pieces)
+        own = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        #: No piece goes on over a change between plain characters and marks, so no piece leaves its unit.
+        self.b_begins_at_marks = self.b_begins_at_spaces and not any(_INNER.search(p) for p in own)
 
-    def align(self, parts: list[str], sides: bool = False) -> list[Aligned | None]:
-        """Alignment of chunks, which are encoded together as one text; None where a side's bytes aren't those of space+chunk."""
-        text = " ".join(parts)
-        spaced = " " + text
-        raw = spaced.encode()
+    def units(self, chunk: str) -> list[str]:
+        """The parts of a chunk whose tokens don't depend on what is around them. Only the first one has the space in front."""
+        return _INNER.split(chunk) if self.b_begins_at_marks else [chunk]
+
+    def align(self, parts: list[str], sides: bool = False, begins: list[bool] | None = None) -> list[Aligned | None]:
+        """Alignment of units, which are encoded together as one text; None where a side's bytes aren't those of space+chunk.
+
+        ``begins``: which units begin a chunk, after a space; the others go on. Without it, all do.
+        """
+        spaced = " " + " ".join(parts) if begins is None else "".join([" " + p if new else p for p, new in zip(parts, begins, strict=True)])
+        text, raw = spaced[1:], spaced.encode()
         a_side = self.a.encode(spaced, add_special_tokens=False)
         b_side = self.b.encode_as_offset_mapping(text)
-        a, b = np.array(a_side.ids, np.int64), np.array(b_side["ids"], np.int64)
-        if b"".join([self.a_bytes[i] for i in a_side.ids]) != raw or b"".join([self.b_bytes[i] for i in b_side["ids"]]) != raw:
-            if len(parts) == 1:
-                return [None]
-            half = len(parts) // 2
-            return self.align(parts[:half], sides) + self.align(parts[half:], sides)
+        a_ids, b_ids = a_side.ids, b_side["ids"]
+        if b"".join([self.a_bytes[i] for i in a_ids]) != raw or b"".join([self.b_bytes[i] for i in b_ids]) != raw:
+            first = range(len(parts)) if begins is None else np.flatnonzero(begins).tolist()
+            if len(first) == 1:
+                return [None] * len(parts)
+            half = first[len(first) // 2]
+            left, right = (None, None) if begins is None else (begins[:half], begins[half:])
+            return self.align(parts[:half], sides, left) + self.align(parts[half:], sides, right)
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
         code = np.frombuffer(spaced.encode("utf-32-le"), "<u4")
         width = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
         before = np.concatenate(([0], np.cumsum(width)))
@@ -131,44 +157,46 @@ class Tokenizers:
         ends, cuts = both[np.concatenate(([True], ~again))], both[1:][again]
         links = (a[np.searchsorted(a_ends, ends)] << 32) | b[np.searchsorted(b_ends, ends)]
         a_cut, b_cut = np.searchsorted(a_ends, cuts) + 1, np.searchsorted(b_ends, cuts) + 1
-        groups = _group_texts(a_side.ids, a_cut.tolist(), b_side["ids"], b_cut.tolist())
+        groups, group_ends = self._group_texts(a, a_cut, b, b_cut)
 
-        at = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in parts])
+        sizes = [len(p) if p.isascii() else len(p.encode()) for p in parts]
+        at = np.cumsum(sizes) + (np.arange(1, len(parts) + 1) if begins is None else np.cumsum(begins))
         place = np.minimum(np.searchsorted(cuts, at), len(cuts) - 1)
         if (cuts[place] != at).any():
-            raise ValueError("a token goes on over a single space")
-        g = [0, *(place + 1).tolist()]
-        k = [0, *(np.searchsorted(ends, at) + 1).tolist()]
-        x, y = [0, *a_cut[np.array(g[1:]) - 1].tolist()], [0, *b_cut[np.array(g[1:]) - 1].tolist()]
+            raise ValueError("a token goes on over a single space or a mark")
+        n_links, n_a, n_b = (np.diff(x, prepend=0).tolist() for x in (np.searchsorted(ends, at) + 1, a_cut[place], b_cut[place]))
+        n_groups, texts = np.diff(place + 1, prepend=0).tolist(), group_ends[place].tolist()
         packed = links.astype("<u8").tobytes()
         whole = [v.astype(_U4).tobytes() for v in (a, np.diff(a_ends, prepend=0), b, np.diff(b_ends, prepend=0))] if sides else None
-        found = []
-        for i in range(len(parts)):
+        found, g, k, x, y = [], 0, 0, 0, 0
+        for end, count, linked, in_a, in_b in zip(texts, n_groups, n_links, n_a, n_b, strict=True):
             own = None
             if whole is not None:
-                a_part, b_part = slice(4 * x[i], 4 * x[i + 1]), slice(4 * y[i], 4 * y[i + 1])
+                a_part, b_part = slice(4 * x, 4 * (x + in_a)), slice(4 * y, 4 * (y + in_b))
                 own = (whole[0][a_part], whole[1][a_part], whole[2][b_part], whole[3][b_part])
-            text = ";".join(groups[g[i] : g[i + 1]])
-            found.append(Aligned(text, packed[8 * k[i] : 8 * k[i + 1]], g[i + 1] - g[i], x[i + 1] - x[i], y[i + 1] - y[i], own))
+            found.append(Aligned(groups[g : end - 1], packed[8 * k : 8 * (k + linked)], count, in_a, in_b, own))
+            g, k, x, y = end, k + linked, x + in_a, y + in_b
         return found
 
+    def _group_texts(self, a: np.ndarray, a_cut: np.ndarray, b: np.ndarray, b_cut: np.ndarray) -> tuple[str, np.ndarray]:
+        """``a1,a2|b1;`` of every group, joined, and where each ends; the cuts are the number of tokens up to each group's end."""
+        n = len(self.a_bytes) + len(self.b_bytes)
+        a_kind, b_kind = a.copy(), b + len(self.a_bytes)
+        a_kind[a_cut - 1] += n
+        b_kind[b_cut - 1] += 2 * n
+        # A's tokens stand after B's of all groups before, B's after A's up to their own group.
+        a_group, b_group = np.diff(a_cut, prepend=0), np.diff(b_cut, prepend=0)
+        kinds = np.empty(len(a) + len(b), np.int64)
+        kinds[np.arange(len(a)) + np.repeat(b_cut - b_group, a_group)] = a_kind
+        kinds[np.arange(len(b)) + np.repeat(a_cut, b_group)] = b_kind
+        written = self.written
+        return "".join([written[i] for i in kinds.tolist()]), np.cumsum(self.written_sizes[kinds])[a_cut + b_cut - 1]
+
 
 def _lines(spans: list[tuple[int, int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
 
 
-def _group_texts(a: list[int], a_cut: list[int], b: list[int], b_cut: list[int]) -> list[str]:
-    """``a1,a2|b1`` of every group; the cuts are the number of tokens up to each group's end."""
-    a_text, b_text, x, y, found = [*map(str, a)], [*map(str, b)], 0, 0, []
-    for p, q in zip(a_cut, b_cut, strict=True):
-        if p - x == 1 and q - y == 1:
-            found.append(a_text[x] + "|" + b_text[y])
-        else:
-            found.append(",".join(a_text[x:p]) + "|" + ",".join(b_text[y:q]))
-        x, y = p, q
-    return found
-
-
 def _byte_letters() -> dict[str, int]:
     """The published rule of byte-level vocabularies: printable bytes stand for themselves, the rest from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -184,11 +212,12 @@ def public_tokenizers_pair() -> Tokenizers:
 
 
 class _Aligner:
-    """Whole texts by chunks, with a bounded store of chunks."""
+    """Whole texts by chunks, with a bounded store of units: by themselves the first of a chunk, in a tuple those without a space in front."""
 
     def __init__(self, tokenizers: Tokenizers, sides: bool):
         self.tokenizers, self.sides = tokenizers, sides
-        self.kept: tuple[dict[str, Aligned | None], dict[str, Aligned | None]] = ({}, {})
+        self.kept: tuple[dict[str | tuple[str], Aligned | None], ...] = ({}, {})
+        self.joined: dict[str, Aligned | None] = {}  # chunks of several units, a fifth of all that is kept
 
     def texts(self, texts: list[str | None]) -> list[list[Aligned] | None]:
         """The chunks of each text; None where it has no tokens."""
@@ -197,44 +226,103 @@ class _Aligner:
         for first, end in _byte_slices(texts, TOGETHER):
             if end - first > 1 or not at_spaces:
                 parts = [[] if not t else chunks(t) if at_spaces else [t] for t in texts[first:end]]
-                table = self._table({p for own in parts for p in own})
-                found += [[table[p] for p in own] for own in parts]
+                table = self._table(set().union(*parts))
+                found += [[*map(table.__getitem__, own)] for own in parts]
             else:  # may be very long: only one window's chunks are there at a time
                 own = []
                 for k, window in enumerate(windows(texts[first] or "")):
                     parts = chunks(window[1:] if k else window) if window else []
-                    table = self._table(set(parts))
-                    own += [table[p] for p in parts]
+                    own += map(self._table(set(parts)).__getitem__, parts)
                 found.append(own)
         return [None if not own or any([x is None for x in own]) else own for own in found]
 
     def _table(self, wanted: set[str]) -> dict[str, Aligned | None]:
         """The wanted chunks. Two generations are kept: a full younger one takes the place of the older."""
         young, old = self.kept
-        table: dict[str, Aligned | None] = {}
-        missing, edged = [], []
+        new = wanted.difference(young)
+        table: dict[str, Aligned | None] = {p: young[p] for p in wanted.difference(new)}
+        fresh: dict[str | tuple[str], Aligned | None] = {}  # units that the younger one lacks
+        edged, missing, several = [], [], []
         alone = not self.tokenizers.b_begins_at_spaces
-        for p in wanted:
-            if p in young:
-                table[p] = young[p]
-            elif p in old:
-                table[p] = young[p] = old[p]
+        for p in new:
+            if p in old:
+                fresh[p] = old[p]
+            elif p in self.joined:
+                table[p] = self.joined[p]
             elif "▁" in p:  # B reads that character as a space
-                table[p] = None
-            elif alone or p[0].isspace() or p[-1].isspace():  # a text's first or last; no other may follow its white space
+                fresh[p] = None
+            elif alone or p != p.strip():  # a text's first or last; no other may follow its white space
                 edged.append([p])
-            else:
+            elif p.isalnum() or len(units := self.tokenizers.units(p)) == 1:
                 missing.append(p)
-        for new in [*edged, *(missing[i:j] for i, j in _byte_slices(missing, TOGETHER))]:
-            for p, x in zip(new, self.tokenizers.align(new, self.sides), strict=True):
-                table[p] = x
-                if len(p) <= SHORT and len(young) < KEPT // 2:
-                    young[p] = x
-        if len(young) >= KEPT // 2:
-            self.kept = ({}, young)
+            else:
+                several.append((p, units, [(u,) for u in units[1:]]))
+        waiting = several
+        while edged or missing or waiting:  # a second time only for units of a chunk without tokens
+            claimed, inside = {*missing}, []
+            for chunk in waiting:
+                first, later = chunk[1][0], chunk[2]
+                if lacking := [k for k in later if k not in young and k not in fresh and k not in claimed]:
+                    fresh.update([(k, old[k]) for k in lacking if k in old])
+                    if lacking := [k for k in lacking if k not in old]:
+                        inside.append(chunk)
+                        claimed.update(lacking)
+                if first not in young and first not in fresh and first not in claimed:
+                    if first in old:
+                        fresh[first] = old[first]
+                    else:
+                        missing.append(first)
+                        claimed.add(first)
+            missing.sort()  # both libraries are faster where neighbours begin alike
+            for own in [*edged, *(missing[i:j] for i, j in _byte_slices(missing, ENCODED))]:
+                fresh.update(zip(own, self.tokenizers.align(own, self.sides), strict=True))
+            for i, j in _byte_slices([p for p, _, _ in inside], ENCODED):
+                parts, begins = [u for _, units, _ in inside[i:j] for u in units], [k == 0 for _, units, _ in inside[i:j] for k in range(len(units))]
+                found = iter(self.tokenizers.align(parts, self.sides, begins))
+                for p, _, later in inside[i:j]:
+                    first, *rest = [next(found) for _ in range(len(later) + 1)]
+                    if first is None:
+                        table[p] = None
+                    else:
+                        fresh.update(zip(later, rest, strict=True))
+            edged, missing = [], []
+            waiting = [x for x in waiting if x[0] not in table and any([k not in fresh and k not in young for k in x[2]])]
+        for p in new.intersection(fresh):
+            table[p] = fresh[p]
+        for p, units, later in several:
+            if p not in table:
+                table[p] = x = _joined([fresh[k] if k in fresh else young[k] for k in (units[0], *later)])
+                if len(p) <= SHORT and len(self.joined) < KEPT // 5:
+                    self.joined[p] = x
+        if len(self.joined) >= KEPT // 5:
+            self.joined = {}
+        for k, x in fresh.items():
+            if len(young) >= 2 * KEPT // 5:
+                young, old = {}, young
+            if len(k if isinstance(k, str) else k[0]) <= SHORT:
+                young[k] = x
+        self.kept = (young, old)
         return table
 
 
+def _joined(units: list[Aligned | None]) -> Aligned | None:
+    """A chunk from its units; None where one has no tokens."""
+    if None in units:
+        return None
+    if len(units) == 2 and units[0].sides is None:
+        x, y = units
+        return Aligned(x.groups + ";" + y.groups, x.links + y.links, x.n_groups + y.n_groups, x.n_a + y.n_a, x.n_b + y.n_b, None)
+    groups, links, n_groups, n_a, n_b, sides = zip(*units, strict=True)
+    own = None if sides[0] is None else tuple(map(b"".join, zip(*sides, strict=True)))
+    return Aligned(";".join(groups), b"".join(links), sum(n_groups), sum(n_a), sum(n_b), own)
+
+
+@lru_cache(maxsize=1)
+def _worker_aligner(tokenizers: Callable[[], Tokenizers], sides: bool) -> _Aligner:
+    """A worker process keeps its aligner, with its store, from task to task."""
+    return _Aligner(tokenizers(), sides)
+
+
 def _byte_slices(texts: list[str | None], size: int) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``size`` characters together; a longer one is alone."""
     first, held = 0, 0
@@ -273,12 +361,16 @@ def align_tokens(documents: DataFrame, tokenizers: Callable[[], Tokenizers] = pu
         return (*covered, n_a, n_b, n_groups, len(links), digest.hexdigest(), pairs.tobytes(), times.astype(_U4).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _Aligner(tokenizers(), spans)
+        aligner = _worker_aligner(tokenizers, spans)
         for batch in batches:
             for first in range(0, len(batch), BATCH):
                 part = batch.slice(first, BATCH)
-                found = aligner.texts([x.as_py() for x in part.column("text")])
-                rows = [nothing if f is None else values(f) for f in found]
+                gc.disable()  # millions of spans would set it off time and again; none is in a cycle
+                try:
+                    found = aligner.texts(part.column("text").to_pylist())
+                    rows = [nothing if f is None else values(f) for f in found]
+                finally:
+                    gc.enable()
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.record_batch([part.column("doc_id"), *columns], names)
 

@@ -270,3 +270,34 @@ def test_a_worker_keeps_its_matches_over_tasks():
     pairs.encode("Zwirbeldachs und Quastenflosser")
     assert bytepairs.public_pairs() is pairs and " Quastenflosser" in bytepairs.public_pairs().kept
     assert pairs.encode("é" * 70) and "é" * 70 not in pairs.kept
+
+
+def test_words_between_marks_are_encoded_once(monkeypatch):
+    both = alignment.public_tokenizers_pair()
+    assert both.units("it's,\nAb") == ["it", "'s", ",\n", "Ab"] and both.units("a.\n\nb_漢,c") == ["a", ".\n\nb", "_漢,", "c"]
+    given, align = [], both.align
+    monkeypatch.setattr(both, "align", lambda parts, *more: given.extend(parts) or align(parts, *more))
+    aligner = alignment._Aligner(both, False)
+    aligner.texts(["Zwirbel, quast. x"])
+    given.clear()
+    aligner.texts(["quast, Zwirbel. quast Zwirbel", "x."])
+    assert given == []
+    worker = alignment._worker_aligner(alignment.public_tokenizers_pair, False)
+    assert alignment._worker_aligner(alignment.public_tokenizers_pair, False) is worker
+
+
+def test_units_join_to_the_whole_texts_tokens():
+    both, plain = alignment.public_tokenizers_pair(), alignment.public_tokenizers_pair()
+    assert both.b_begins_at_marks
+    plain.b_begins_at_marks = plain.b_begins_at_spaces = False  # whole texts
+    rng = random.Random(4)
+    alphabet = [*"abC'’s.,!_\n\t 12é½ß́×漢#<▁", "  ", "don't", "''", "\r\n", "\n\n", "<|endoftext|>", "\x85", "\x1c", "the"]
+    units, whole = (alignment._Aligner(x, True) for x in (both, plain))
+    for _ in range(60):
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(40)]
+        for text, parts, one in zip(texts, units.texts(texts), whole.texts(texts), strict=True):
+            assert (parts is None) == (one is None), text
+            if parts is not None:
+                assert ";".join(x.groups for x in parts) == one[0].groups and b"".join(x.links for x in parts) == one[0].links, text
+                assert [b"".join(x.sides[k] for x in parts) for k in range(4)] == [*one[0].sides], text
+                assert [sum(x[k] for x in parts) for k in (2, 3, 4)] == [*one[0][2:5]], text
