@@ -8,7 +8,7 @@ token both end cut both into groups; between neighbouring ends of either side li
 overlapping tokens, a link.
 
 Both tokenizers begin anew at a single space (``spacechunks``), so a text's tokens are those of its chunks. Inside a chunk they
-begin anew where plain letters and digits meet marks (``_INNER``), so a chunk's tokens are those of its units, and a word
+begin anew where plain letters and digits meet marks (``_INNER``), so a short chunk's tokens are those of its units, and a word
 is aligned once whatever marks follow it. Whether the pieces allow either is read off B's vocabulary; without that, chunks or
 whole texts are encoded as they are. A worker process keeps a bounded store (``KEPT``) of aligned units from task to task; units
 that it lacks are encoded together, in texts of about ``ENCODED`` characters, as both libraries take more time for a long one.
@@ -253,7 +253,7 @@ class _Aligner:
                 fresh[p] = None
             elif alone or p != p.strip():  # a text's first or last; no other may follow its white space
                 edged.append([p])
-            elif p.isalnum() or len(units := self.tokenizers.units(p)) == 1:
+            elif len(p) > SHORT or p.isalnum() or len(units := self.tokenizers.units(p)) == 1:  # long ones would be millions of units
                 missing.append(p)
             else:
                 several.append((p, units, [(u,) for u in units[1:]]))
@@ -292,7 +292,7 @@ class _Aligner:
         for p, units, later in several:
             if p not in table:
                 table[p] = x = _joined([fresh[k] if k in fresh else young[k] for k in (units[0], *later)])
-                if len(p) <= SHORT and len(self.joined) < KEPT // 5:
+                if len(self.joined) < KEPT // 5:
                     self.joined[p] = x
         if len(self.joined) >= KEPT // 5:
             self.joined = {}

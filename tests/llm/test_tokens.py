@@ -282,6 +282,8 @@ def test_words_between_marks_are_encoded_once(monkeypatch):
     given.clear()
     aligner.texts(["quast, Zwirbel. quast Zwirbel", "x."])
     assert given == []
+    aligner.texts(["".join(f"{i}," for i in range(5_000))])  # a long chunk stays whole, its units aren't held one by one
+    assert len(given) == 1
     worker = alignment._worker_aligner(alignment.public_tokenizers_pair, False)
     assert alignment._worker_aligner(alignment.public_tokenizers_pair, False) is worker
 
